@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe
+from .mixing import OP6_SQL, op6_mixing
+from .secrets import op7_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_mixing": op6_mixing,
+        "op7_secrets": op7_secrets,
         "op9_bpe": op9_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_mixing": OP6_SQL,
+    }
