@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe
+from .fingerprints import op4_fingerprints
 from .mixing import OP6_SQL, op6_mixing
 from .secrets import op7_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_fingerprints": op4_fingerprints,
         "op6_mixing": op6_mixing,
         "op7_secrets": op7_secrets,
         "op9_bpe": op9_bpe,
