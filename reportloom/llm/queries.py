@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe
+from .chat import op5_chat
 from .fingerprints import op4_fingerprints
+from .media import op8_media
 from .mixing import OP6_SQL, op6_mixing
 from .secrets import op7_secrets
 
@@ -15,8 +17,10 @@ from .secrets import op7_secrets
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_fingerprints": op4_fingerprints,
+        "op5_chat": op5_chat,
         "op6_mixing": op6_mixing,
         "op7_secrets": op7_secrets,
+        "op8_media": op8_media,
         "op9_bpe": op9_bpe,
     }
 
