@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op9_bpe
 from .chat import op5_chat
 from .fingerprints import op4_fingerprints
+from .html import op2_html
 from .media import op8_media
 from .mixing import OP6_SQL, op6_mixing
 from .secrets import op7_secrets
@@ -16,6 +17,7 @@ from .secrets import op7_secrets
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html": op2_html,
         "op4_fingerprints": op4_fingerprints,
         "op5_chat": op5_chat,
         "op6_mixing": op6_mixing,
