@@ -10,14 +10,18 @@ from .bpe import op9_bpe
 from .chat import op5_chat
 from .fingerprints import op4_fingerprints
 from .html import op2_html
+from .language import op1_language
 from .media import op8_media
 from .mixing import OP6_SQL, op6_mixing
 from .secrets import op7_secrets
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": op1_language,
         "op2_html": op2_html,
+        "op3_toxicity": op3_toxicity,
         "op4_fingerprints": op4_fingerprints,
         "op5_chat": op5_chat,
         "op6_mixing": op6_mixing,
