@@ -10,6 +10,7 @@ from .bpe import op9_bpe
 from .chat import op5_chat
 from .fingerprints import op4_fingerprints
 from .html import op2_html
+from .jaccard import op10_jaccard
 from .language import op1_language
 from .media import op8_media
 from .mixing import OP6_SQL, op6_mixing
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secrets": op7_secrets,
         "op8_media": op8_media,
         "op9_bpe": op9_bpe,
+        "op10_jaccard": op10_jaccard,
     }
 
 
