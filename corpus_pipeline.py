@@ -1,17 +1,60 @@
-"""The corpus pipeline: language ID, near duplicates, secret scans, mixing and BPE, each over all that is left."""
+"""The corpus pipeline: language ID, near duplicates, secret scans, mixing and BPE, each over all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; docs are the rows the stage before left, written as
+Parquet and read again. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reportloom.llm import bpe, jaccard, language, mixing, secrets
+from reportloom.llm.common import written
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is in one of the languages of the corpus; rows without letters or in no known language go."""
+    return language.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of texts with five-word similarity of 0.8 or more: that of the least id."""
+    return jaccard.one_of_each(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by their kind in brackets; n_chars follows."""
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    return mixing.mixed(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the token ids (packed little-endian unsigned 32-bit), their count, and the digest of the decoded text."""
+    ids = bpe.encode_decode(docs)
+    return ids.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
 
-from reportloom.llm.bpe import digests
+STAGES = [
+    ("language_id", known_language),
+    ("ngram_jaccard", near_duplicates),
+    ("secret_scans", without_secrets),
+    ("mixing", mixed),
+    ("bpe", encoded),
+]
 
-STAGES = [("bpe", lambda spark, docs, sf_dir: digests(docs))]
+#: SQL cannot express trained language models, redaction by linked spans or BPE merges.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"stage-{name}")
     return docs
