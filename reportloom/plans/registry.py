@@ -2,18 +2,748 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import dates, rounds, urls
+from ..functions import text as tx
+from ..operators import classify, discovery, facts, geometry, publish, query, reference, resolve
+from ..sources import pages as html
+from . import views as v
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+TAX = v.TAXONOMY
+STOP = r"index|flash|\breturn dashboard\b"
+PRODUCTS = ["displacement report", "site profiles?", "report round"]
+YEARS = list(range(2013, 2020))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _with(views: str, select: str) -> str:
+    return f"WITH {views} {select}"
+
+
+def query_of(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def _join(c: str) -> F.Column:
+    return F.array_join(c, "; ")
+
+
+# ---- text, types, geography ----
+
+
+@query_of("norm_text", f"SELECT doc_id, {v.NORM.format('text')} AS norm FROM documents")
+def _(s, d):
+    return v.read(s, d, "documents").select("doc_id", tx.normalised(F.col("text")).alias("norm"))
+
+
+_T, _S = "n_title", "n_summary"
+_NORMED = f"normed AS (SELECT *, {v.NORM.format('title')} AS n_title, {v.NORM.format('summary')} AS n_summary, {v.states_sql('title')} AS own FROM report_titles)"
+
+
+def _rules_sql() -> str:
+    out = []
+    for where, c in (("title", _T), ("summary", _S)):
+        for rule in TAX.rules:
+            for term in rule.include:
+                want = term.lower() if term.strip() != term else classify._norm(term).strip()
+                tests = [f"contains({c}, '{want}')"] + [f"NOT contains({c}, '{classify._norm(x).strip()}')" for x in rule.exclude] + (["len(own) > 0"] if rule.require_state else [])
+                out.append(f"WHEN {' AND '.join(tests)} THEN '{rule.key}|{rule.label}|{where}:{term.strip()}'")
+    return f"CASE {' '.join(out)} ELSE 'other|Other|' END"
+
+
+CLASSED = f"classed AS (SELECT *, split_part(hit, '|', 1) AS component_key, split_part(hit, '|', 2) AS component, split_part(hit, '|', 3) AS matched_on FROM (SELECT *, {_rules_sql()} AS hit FROM normed))"
+_CV = f"{v.V1}, {_NORMED}, {CLASSED}"
+
+
+def classed(s: SparkSession, d: str) -> DataFrame:
+    c = classify.classified(F.col("title"), F.col("summary"), TAX)
+    return v.report_titles(s, d).withColumn("_c", c).select("*", F.col("_c.key").alias("component_key"), F.col("_c.label").alias("component"), F.col("_c.matched_on").alias("matched_on")).drop("_c")
+
+
+@query_of("classify_first_match", _with(_CV, "SELECT url, component_key, component, matched_on FROM classed"))
+def _(s, d):
+    return classed(s, d).select("url", "component_key", "component", "matched_on")
+
+
+@query_of("classify_require_state", _with(_CV, "SELECT component_key, len(own)::INT AS n_states, count(*) AS n FROM classed WHERE contains(n_title, '2-high') GROUP BY ALL"))
+def _(s, d):
+    has = tx.normalised(F.col("title")).contains("2-high")
+    return classed(s, d).where(has).groupBy("component_key", F.size(classify.states(F.col("title"), TAX)).alias("n_states")).agg(F.count("*").alias("n"))
+
+
+@query_of("scope_filter", _with(v.V1, r"SELECT url FROM report_titles WHERE regexp_matches(title, '(?i)^\s*(africa|asia|europe|am[eé]rica)\b')"))
+def _(s, d):
+    return v.report_titles(s, d).where(classify.in_scope(F.col("title"), TAX)).select("url")
+
+
+@query_of("multi_label_states", _with(v.V1, f"SELECT url, array_to_string({v.states_sql('title')}, '; ') AS states FROM report_titles"))
+def _(s, d):
+    return v.report_titles(s, d).select("url", _join(classify.states(F.col("title"), TAX)).alias("states"))
+
+
+_REGION_OF = {st: r.name for r in TAX.regions for st in r.states}
+
+
+def _regions_sql(kind: str) -> str:
+    out = []
+    for r in TAX.regions:
+        alias = "|".join(f"(^|[^a-z]){a.lower()}([^a-z]|$)" for a in r.aliases)
+        own = f"list_has_any(own, {r.states!r}::VARCHAR[])"
+        test = {"own": own, "mixed": f"({own} OR regexp_matches(n_title, '{alias}'))", "last": f"regexp_matches(n_summary, '{alias}')"}[kind]
+        out.append(f"CASE WHEN {test} THEN '{r.name}' END")
+    return f"list_filter([{', '.join(out)}], lambda x: x IS NOT NULL)"
+
+
+REGIONED = f"regioned AS (SELECT *, CASE WHEN len(own) > 0 THEN {_regions_sql('own')} WHEN len({_regions_sql('mixed')}) > 0 THEN {_regions_sql('mixed')} ELSE {_regions_sql('last')} END AS regions FROM classed)"
+_RV = f"{_CV}, {REGIONED}"
+
+
+def regioned(s: SparkSession, d: str) -> DataFrame:
+    c = classed(s, d).withColumn("states", classify.states(F.col("title"), TAX))
+    return c.withColumn("regions", classify.regions(F.col("title"), F.col("summary"), F.col("states"), TAX))
+
+
+@query_of("region_resolve", _with(_RV, "SELECT url, array_to_string(regions, '; ') AS regions FROM regioned"))
+def _(s, d):
+    return regioned(s, d).select("url", _join("regions").alias("regions"))
+
+
+_DEFAULT = "CASE WHEN len(own) = 0 AND date IS NOT NULL THEN CASE WHEN component_key = 'urgent' AND date < '2015-01-01' THEN 'Asia' WHEN component_key = 'ring' AND date < '2017-01-01' THEN 'Europe' END END"
+
+
+@query_of("default_region", _with(_RV, f"SELECT url, coalesce({_DEFAULT}, array_to_string(regions, '; ')) AS regions FROM regioned"))
+def _(s, d):
+    r = regioned(s, d)
+    return r.select("url", _join(F.coalesce(classify.default_region(F.col("component_key"), F.col("date"), F.col("states"), TAX), F.col("regions"))).alias("regions"))
+
+
+@query_of("subject_states", _with(v.V1, f"SELECT url, array_to_string({v.states_sql('names')}, '; ') AS states FROM (SELECT url, array_to_string(regexp_extract_all(split_part(summary, '. ', 1), '([A-Z][a-zA-Z_0-9]+(?:\\s[A-Z][a-z]+)?)\\s+States?\\b', 1), ' ') AS names FROM report_titles)"))
+def _(s, d):
+    return v.report_titles(s, d).select("url", _join(classify.subject_states(F.col("summary"), TAX)).alias("states"))
+
+
+@query_of("cover_states", _with(v.V1, f"SELECT url, array_to_string({v.states_sql('hit')}, '; ') AS states FROM (SELECT url, regexp_extract('Movements across ' || 'Sites, and ' || 'Towns States in ' || nation, '\\b(?:in|across)\\s+((?:[A-Z][a-z]+,?\\s+(?:and\\s+)?){{1,4}}?)States?\\b', 1) AS hit FROM report_titles)".replace("{{", "{").replace("}}", "}")))
+def _(s, d):
+    cover = F.concat(F.lit("Movements across Sites, and Towns States in "), "nation")
+    return v.report_titles(s, d).select("url", _join(classify.cover_states(cover, TAX)).alias("states"))
+
+
+@query_of("gazetteer_states", _with(v.V1, r"SELECT url, CASE WHEN regexp_matches(split_part(summary, '. ', 1), '\bRingville\b') THEN 'NATION_2' ELSE '' END AS states FROM report_titles"))
+def _(s, d):
+    return v.report_titles(s, d).select("url", _join(classify.gazetteer_states(F.col("summary"), TAX)).alias("states"))
+
+
+@query_of("allowed_states", _with(_CV, "SELECT url, array_to_string(CASE WHEN component_key = 'needs' THEN list_filter(own, lambda x: x IN ('NATION_0', 'NATION_2', 'NATION_20')) ELSE own END, '; ') AS states FROM classed"))
+def _(s, d):
+    c = classed(s, d)
+    return c.select("url", _join(classify.allowed(classify.states(F.col("title"), TAX), F.col("component_key"), TAX)).alias("states"))
+
+
+@query_of("document_kind", r"""SELECT doc_id, CASE WHEN needs <> '' THEN 'needs' WHEN atlas <> '' OR base <> '' THEN 'atlas' ELSE 'unknown' END AS kind, trim(CASE WHEN needs <> '' THEN needs WHEN atlas <> '' THEN atlas ELSE base END) AS evidence FROM (
+SELECT doc_id, regexp_extract(t, '(?i).{0,70}needs?\s+monitoring.{0,70}') AS needs, regexp_extract(t, '(?i).{0,70}(idp and returnee atlas|idp atlas|\batlas\b).{0,50}') AS atlas, regexp_extract(t, '(?i).{0,60}(baseline assessment|site assessment|mobility tracking).{0,60}') AS base
+FROM (SELECT doc_id, regexp_replace(left(text, 200) || CASE doc_id % 4 WHEN 0 THEN ' the Needs Monitoring of all' WHEN 1 THEN ' an ATLAS of all' WHEN 2 THEN ' a Site Assessment now' ELSE '' END, '\s+', ' ', 'g') AS t FROM documents WHERE lang = 'en'))""")
+def _(s, d):
+    k = F.col("doc_id") % 4
+    t = F.concat(F.left("text", F.lit(200)), F.when(k == 0, " the Needs Monitoring of all").when(k == 1, " an ATLAS of all").when(k == 2, " a Site Assessment now").otherwise(""))
+    return v.read(s, d, "documents").where("lang = 'en'").select("doc_id", classify.document_kind(t).alias("k")).select("doc_id", "k.kind", "k.evidence")
+
+
+# ---- dates and numbers ----
+
+_MON = "(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(left({0}, 3))))"
+
+
+def _one_date(p: str) -> str:
+    def iso(rx: str, y: int, m: int, day: int) -> str:
+        g = lambda k: f"regexp_extract({p}, '{rx}', {k})"
+        return f"CASE WHEN {_MON.format(g(m))} > 0 THEN {g(y)} || '-' || lpad({_MON.format(g(m))}::VARCHAR, 2, '0') || '-' || lpad({g(day)}::INT::VARCHAR, 2, '0') END"
+
+    return f"coalesce({iso(r'\b([A-Za-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})\b', 3, 1, 2)}, {iso(r'\b(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\b', 3, 2, 1)}, nullif(regexp_extract({p}, '(\\d{{4}})-(\\d{{2}})-(\\d{{2}})'), ''))"
+
+
+_PARSED = f"list_filter(list_transform(string_split(date_raw, ' | '), lambda p: {_one_date('trim(p)')}), lambda x: x IS NOT NULL)[1]"
+
+
+@query_of("parse_date", _with(v.V1, f"SELECT url, {_PARSED} AS date FROM report_titles"))
+def _(s, d):
+    return v.report_titles(s, d).select("url", dates.parse_date(F.col("date_raw")).alias("date"))
+
+
+_TRX = r"(?:(\d{1,2})\s*(?:st|nd|rd|th)?\s+)?([A-Za-z]{3,9})\.?,?\s+(\d{4})\b"
+_TDATE = f"list_filter(list_transform(regexp_extract_all(title, '{_TRX}'), lambda h: CASE WHEN regexp_extract(h, '{_TRX}', 3)::INT BETWEEN 2010 AND 2035 AND {_MON.format(f'regexp_extract(h, {chr(39)}{_TRX}{chr(39)}, 2)')} > 0 THEN regexp_extract(h, '{_TRX}', 3) || '-' || lpad({_MON.format(f'regexp_extract(h, {chr(39)}{_TRX}{chr(39)}, 2)')}::VARCHAR, 2, '0') || '-' || lpad(coalesce(nullif(regexp_extract(h, '{_TRX}', 1), ''), '1')::INT::VARCHAR, 2, '0') END), lambda x: x IS NOT NULL)[-1]"
+
+
+@query_of("title_date", _with(v.V1, f"SELECT url, {_TDATE} AS date FROM report_titles"))
+def _(s, d):
+    return v.report_titles(s, d).select("url", dates.title_date(F.col("title")).alias("date"))
+
+
+@query_of("year_from_title", _with(v.V1, r"SELECT url, (regexp_extract_all(title, '\b(20[1-3]\d)\b', 1)[-1])::INT AS year FROM report_titles"))
+def _(s, d):
+    return v.report_titles(s, d).select("url", dates.year_from_title(F.col("title")).alias("year"))
+
+
+@query_of("date_basis", _with(v.V1, f"""SELECT url, CASE WHEN from_title THEN tdate ELSE date END AS date, CASE WHEN from_title THEN '{dates.NO_PAGE_DATE}' WHEN date IS NOT NULL AND tdate IS NULL AND coalesce(abs(date_diff('day', date::DATE, fetched::DATE)) <= 1, false) THEN '{dates.NO_SITE_DATE}' ELSE 'publication date' END AS basis FROM (
+SELECT *, (date IS NOT NULL AND tdate IS NOT NULL AND CASE WHEN fetched IS NOT NULL THEN abs(date_diff('day', date::DATE, fetched::DATE)) <= 2 AND left(date, 4)::INT > left(tdate, 4)::INT ELSE left(date, 4)::INT - left(tdate, 4)::INT >= 2 AND abs(date_diff('day', date::DATE, DATE '{v.AS_OF}')) <= 45 END) OR (date IS NULL AND tdate IS NOT NULL) AS from_title FROM (
+SELECT url, fetched, coalesce({_PARSED}, date) AS date, CASE WHEN key % 6 <> 0 THEN {_TDATE} END AS tdate FROM report_titles))"""))
+def _(s, d):
+    r = v.report_titles(s, d)
+    title = F.when(F.col("key") % 6 != 0, F.col("title")).otherwise("no date")
+    x = dates.resolved(F.coalesce(dates.parse_date(F.col("date_raw")), F.col("date")), title, F.col("fetched"), v.AS_OF)
+    return r.select("url", x.alias("x")).select("url", "x.date", "x.basis")
+
+
+@query_of("round_number", _with(v.V1, r"SELECT url, CASE WHEN NOT regexp_matches(title, '(?i)not specified') THEN nullif(regexp_extract(title, '(?i)\bround\s*#?\s*(\d{1,2})\b', 1), '')::INT END AS round FROM report_titles"))
+def _(s, d):
+    return v.report_titles(s, d).select("url", rounds.round_number(F.col("title"), r"not specified", PRODUCTS).alias("round"))
+
+
+@query_of("roman_round", """WITH RECURSIVE r AS (SELECT DISTINCT o_orderkey % 89 + 1 AS n FROM orders), t AS (SELECT n, n AS rest, '' AS s FROM r UNION ALL
+SELECT n, rest - x.val, s || x.sym FROM t, LATERAL (SELECT val, sym FROM (VALUES (50,'L'),(40,'XL'),(10,'X'),(9,'IX'),(5,'V'),(4,'IV'),(1,'I')) q(val, sym) WHERE val <= rest ORDER BY val DESC LIMIT 1) x WHERE rest > 0)
+SELECT n::BIGINT AS n, n::INT AS value FROM t WHERE rest = 0 AND length(s) <= 7""")
+def _(s, d):
+    n = v.read(s, d, "orders").select((F.col("o_orderkey") % 89 + 1).alias("n")).distinct()
+    tens = F.element_at(F.array(*[F.lit(x) for x in ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX"]]), (F.floor(F.col("n") / 10) + 1).cast("int"))
+    ones = F.element_at(F.array(*[F.lit(x) for x in ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]]), (F.col("n") % 10 + 1).cast("int"))
+    text = F.concat(F.lit("Round "), tens, ones)
+    return n.select("n", rounds.round_number(text, STOP, PRODUCTS).alias("value")).where("value IS NOT NULL")
+
+
+@query_of("zone", _with(v.V1, r"SELECT url, CASE WHEN regexp_matches(title, '(?i)middle[\s-]*east|asia') THEN 'E' ELSE 'W' END AS zone FROM report_titles"))
+def _(s, d):
+    return v.report_titles(s, d).select("url", rounds.zone(F.col("title"), r"middle[\s-]*east|asia", "E", "W").alias("zone"))
+
+
+@query_of("is_main", _with(v.V1, r"SELECT url, regexp_matches(title, '(?i)report round\s+\d+') AND NOT regexp_matches(title, '(?i)low|medium') AS main FROM report_titles"))
+def _(s, d):
+    return v.report_titles(s, d).select("url", rounds.is_main(F.col("title"), r"report round\s+\d+", "low|medium").alias("main"))
+
+
+@query_of("string_fns", _with(v.V1, "SELECT url, lower(title) AS low, trim(summary) AS trimmed, starts_with(title, 'ASIA') AS starts, ends_with(title, ')') AS ends, (instr(title, 'Report') - 1)::INT AS first_at, (length(title) - instr(reverse(title), 'o'))::INT AS last_at, replace(title, ' ', '_') AS swapped, array_to_string(list_slice(string_split(title, ' '), 1, 3), '+') AS parts, length(title)::INT AS size FROM report_titles"))
+def _(s, d):
+    t = F.col("title")
+    return v.report_titles(s, d).select("url", F.lower(t).alias("low"), F.trim("summary").alias("trimmed"), F.startswith(t, F.lit("ASIA")).alias("starts"), F.endswith(t, F.lit(")")).alias("ends"), (F.instr(t, "Report") - 1).alias("first_at"), tx.last_locate("o", t).alias("last_at"), F.replace(t, F.lit(" "), F.lit("_")).alias("swapped"), F.array_join(F.slice(F.split(t, " "), 1, 3), "+").alias("parts"), F.length(t).alias("size"))
+
+
+@query_of("math_fns", _with(v.V6, "SELECT name, min(x) AS x0, max(x) AS x1, round(sum(abs(x - y)), 4) AS apart, round(cos(radians(avg(y))), 8) AS k FROM ring_points GROUP BY name"))
+def _(s, d):
+    return v.ring_points(s, d).groupBy("name").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.round(F.sum(F.abs(F.col("x") - F.col("y"))), 4).alias("apart"), F.round(F.cos(F.radians(F.avg("y"))), 8).alias("k"))
+
+
+# ---- duplicates, rounds ----
+
+
+@query_of("dedupe_earliest", _with(f"{v.V1}, {v.V1B}", f"SELECT url, date, title FROM (SELECT *, row_number() OVER (PARTITION BY {v.TITLE_KEY.format('title')} ORDER BY coalesce(date, '9999'), url) AS rn FROM dup_titles) WHERE rn = 1"))
+def _(s, d):
+    return resolve.dedupe_earliest(v.dup_titles(s, d))
+
+
+def ranges_of(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([(z, lo, hi) for z, (lo, hi) in TAX.round_ranges.items()], "zone string, lo int, hi int")
+
+
+@query_of("range_rule", _with(v.V1, "SELECT url, round <> 0 AND (zone = 'AFRICA' AND round BETWEEN 40 AND 50 OR zone = 'ASIA' AND round BETWEEN 10 AND 12) AS ruled FROM report_titles"))
+def _(s, d):
+    return resolve.in_range(v.report_titles(s, d).withColumn("round_zone", F.col("zone")), ranges_of(s)).select("url", "ruled")
+
+
+def evidence(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("key")
+    r = v.report_titles(s, d).withColumn("round_zone", F.col("zone")).withColumn("files", F.when(k % 6 == 0, F.array(F.lit("/f/a%20Needs-Monitoring.PDF"), F.lit("/f/b.xlsx"))).when(k % 6 == 1, F.array(F.lit("/f/list.pdf"), F.lit("/f/My+Atlas.pdf"))).when(k % 6 == 2, F.array(F.lit("/f/x.pdf"))))
+    r = r.withColumn("check_kind", F.when(k % 4 == 0, "atlas").when(k % 4 == 1, "unknown")).withColumn("body", F.when(k % 8 == 3, "with need monitoring findings"))
+    r = resolve.in_range(r, ranges_of(s))
+    x = resolve.cascade(F.col("files"), F.col("check_kind"), F.lit("seen"), F.col("body"), F.when(k % 9 == 0, "needs").otherwise("atlas"), F.col("priority"), F.col("ruled"), F.col("rule_lo"), F.col("rule_hi"), F.col("zone"))
+    return r.withColumn("x", x)
+
+
+_EVIDENCE = """evidence AS (SELECT *, round <> 0 AND (zone = 'AFRICA' AND round BETWEEN 40 AND 50 OR zone = 'ASIA' AND round BETWEEN 10 AND 12) AS ruled FROM report_titles)"""
+
+
+@query_of("evidence_cascade", _with(f"{v.V1}, {_EVIDENCE}", """SELECT url, CASE WHEN ruled THEN 'needs' WHEN key % 6 = 0 THEN 'needs' WHEN key % 6 = 1 THEN 'atlas' WHEN key % 4 = 0 THEN 'atlas' WHEN key % 8 = 3 THEN 'needs' WHEN key % 9 = 0 THEN 'needs' ELSE 'atlas' END AS kind,
+CASE WHEN ruled THEN 'rule: ' || zone || ' rounds ' || CASE zone WHEN 'AFRICA' THEN '40–50' ELSE '10–12' END || ' are needs reports' WHEN key % 6 = 0 THEN 'file name: a Needs-Monitoring.PDF' WHEN key % 6 = 1 THEN 'file name: My+Atlas.pdf' WHEN key % 4 = 0 THEN 'inside PDF: “seen”' WHEN key % 8 = 3 THEN 'report page says it contains needs monitoring findings' ELSE priority || ' (title only; PDF not yet checked)' END AS why,
+CASE key % 6 WHEN 0 THEN '/f/a%20Needs-Monitoring.PDF' WHEN 1 THEN '/f/My+Atlas.pdf' WHEN 2 THEN '/f/x.pdf' END AS file FROM evidence"""))
+def _(s, d):
+    return evidence(s, d).select("url", "x.kind", "x.why", "x.file")
+
+
+@query_of("route_rounds", _with(_CV, r"SELECT url, CASE WHEN component_key NOT IN ('urgent', 'needs', 'atlas') THEN 'other' WHEN component_key = 'urgent' THEN 'demoted0' WHEN round = 0 OR NOT regexp_matches(title, '(?i)report round\s+\d+') OR regexp_matches(title, '(?i)medium') THEN 'demoted' ELSE 'main' END AS role FROM classed".replace("'demoted0'", "'dash'")))
+def _(s, d):
+    c = classed(s, d).withColumn("component_key", F.when(F.col("component_key") == "urgent", "mt_dash").otherwise(F.col("component_key")))
+    return resolve.route(c, r"report round\s+\d+", "medium").select("url", "role")
+
+
+_GROUPS = "grouped AS (SELECT url, date, zone, round, CASE WHEN status = 'F' THEN 'needs' ELSE 'atlas' END AS kind FROM report_titles)"
+
+
+@query_of("one_per_group", _with(f"{v.V1}, {_GROUPS}", "SELECT url, CASE WHEN rn = 1 THEN 'keep' WHEN kind = first_kind THEN 'drop' ELSE 'demote' END AS action FROM (SELECT *, row_number() OVER w AS rn, first_value(kind) OVER w AS first_kind FROM grouped WINDOW w AS (PARTITION BY zone, round ORDER BY coalesce(date, '9999'), url))"))
+def _(s, d):
+    g = v.report_titles(s, d).withColumn("kind", F.when(F.col("status") == "F", "needs").otherwise("atlas"))
+    return resolve.one_per_group(g, ["zone", "round"]).select("url", "action")
+
+
+@query_of("gap_fill", _with(v.V1, """SELECT zone, round, url FROM (SELECT z.zone, n.round, c.url, row_number() OVER (PARTITION BY z.zone, n.round ORDER BY NOT contains(c.title, 'HIGH'), coalesce(c.date, '9999'), c.url) AS rn
+FROM (SELECT DISTINCT r_name AS zone FROM region) z CROSS JOIN (SELECT unnest(range(1, 61))::INT AS round) n LEFT JOIN (SELECT * FROM report_titles WHERE NOT (status = 'F' AND price > 450000)) c ON c.zone = z.zone AND c.round = n.round
+WHERE NOT EXISTS (SELECT 1 FROM report_titles m WHERE m.zone = z.zone AND m.round = n.round AND m.status = 'F' AND m.price > 450000)) WHERE rn = 1"""))
+def _(s, d):
+    r = v.report_titles(s, d)
+    main = (F.col("status") == "F") & (F.col("price") > 450000)
+    expected = v.read(s, d, "region").select(F.col("r_name").alias("zone"), F.lit(60).alias("rounds"))
+    return resolve.gap_fill(r.where(main), r.where(~main), expected, "HIGH")
+
+
+@query_of("zone_override", _with(_RV, "SELECT url, CASE WHEN status <> 'F' THEN array_to_string(regions, '; ') WHEN zone = 'ASIA' THEN 'Asia; Europe' ELSE 'Africa' END AS regions, array_to_string(CASE WHEN status <> 'F' THEN own WHEN zone = 'ASIA' THEN list_filter(own, lambda x: x IN ('NATION_2', 'NATION_7', 'NATION_3', 'NATION_8', 'NATION_20')) ELSE list_filter(own, lambda x: x IN ('NATION_0', 'NATION_5', 'NATION_10')) END, '; ') AS states FROM regioned"))
+def _(s, d):
+    r = regioned(s, d).withColumn("round_zone", F.when(F.col("zone") == "ASIA", "A").otherwise("B")).withColumn("mt_main", F.col("status") == "F")
+    return resolve.zone_override(r, {"A": ["Asia", "Europe"], "B": ["Africa"]}, TAX).select("url", _join("regions").alias("regions"), _join("states").alias("states"))
+
+
+@query_of("rank_id", _with(v.V1, "SELECT url, row_number() OVER (ORDER BY coalesce(date, '') DESC, title DESC, url) AS id FROM report_titles"))
+def _(s, d):
+    return resolve.ranked(v.report_titles(s, d)).select("url", "id")
+
+
+# ---- counts and published forms ----
+
+
+@query_of("pivot_component_year", _with(_CV, f"SELECT component, {', '.join(f'count(*) FILTER (WHERE year = {y}) AS "{y}"' for y in YEARS)}, count(*) FILTER (WHERE year BETWEEN {YEARS[0]} AND {YEARS[-1]}) AS total FROM classed GROUP BY component"))
+def flagship(s, d="/root/testdata/sf0.001"):
+    return publish.pivot_by_year(classed(s, d), YEARS)
+
+
+_FACETED = f"faceted AS (SELECT *, row_number() OVER (ORDER BY coalesce(date, '') DESC, title DESC, url) AS id FROM regioned)"
+
+
+def faceted(s: SparkSession, d: str) -> DataFrame:
+    return resolve.ranked(regioned(s, d))
+
+
+_MONTH = "CASE WHEN date IS NULL THEN '(no month)' ELSE ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][substring(date, 6, 2)::INT] END"
+for _name, _value in {"year": "coalesce(year::VARCHAR, 'None')", "month": _MONTH, "component": "component", "region": "unnest(CASE WHEN len(regions) > 0 THEN regions ELSE ['(none)'] END)", "state": "unnest(CASE WHEN len(own) > 0 THEN own ELSE ['(none)'] END)"}.items():
+    query_of(f"count_by_{_name}", _with(_RV, f"SELECT 'total' AS key, count(*) AS n FROM regioned UNION ALL SELECT key, count(*) FROM (SELECT {_value} AS key FROM regioned) GROUP BY key"))(lambda s, d, name=_name: query.count_by(regioned(s, d), name))
+
+
+@query_of("count_total", _with(v.V1, "SELECT 'total' AS key, count(*) AS n FROM report_titles"))
+def _(s, d):
+    return query.count_by(v.report_titles(s, d))
+
+
+@query_of("facet_filter", _with(_RV, "SELECT url FROM regioned WHERE component_key IN ('urgent', 'Early warning') OR component IN ('urgent', 'Early warning') INTERSECT SELECT url FROM regioned WHERE year IN (2014, 2016) AND substring(date, 6, 2)::INT IN (1, 5, 9) AND list_has_any(regions, ['Asia', 'Africa']) AND list_has_any(own, ['NATION_0', 'NATION_2', 'NATION_7']) AND contains(lower(title || ' ' || summary), 'report round 1')"))
+def _(s, d):
+    return regioned(s, d).where(query.facets(["urgent", "Early warning"], [2014, 2016], [1, 5, 9], ["Asia", "Africa"], ["NATION_0", "NATION_2", "NATION_7"], "Report ROUND 1")).select("url")
+
+
+@query_of("list_topk", _with(f"{_RV}, {_FACETED}", "SELECT id, title, date, component, url FROM faceted WHERE year = 2015 ORDER BY id LIMIT 15"))
+def _(s, d):
+    return query.listed(faceted(s, d).where(query.facets(years=[2015])))
+
+
+@query_of("report_csv", _with(f"{_RV}, {_FACETED}", "SELECT id, year, date, component, array_to_string(regions, '; ') AS regions, array_to_string(own, '; ') AS states, title, url, '' AS pdf, matched_on FROM faceted"))
+def _(s, d):
+    return publish.csv_rows(faceted(s, d).withColumn("pdf", F.lit("")))
+
+
+@query_of("setop_except_all", _with(v.V7, "(SELECT 'old' AS side, * FROM (SELECT url, title, date FROM cache_rows WHERE event_id % 3 <> 0 EXCEPT ALL SELECT url, title, date FROM cache_rows WHERE event_id % 5 <> 0)) UNION ALL (SELECT 'new' AS side, * FROM (SELECT url, title, date FROM cache_rows WHERE event_id % 5 <> 0 EXCEPT ALL SELECT url, title, date FROM cache_rows WHERE event_id % 3 <> 0))"))
+def _(s, d):
+    c = v.cache_rows(s, d)
+    return publish.changed_rows(c.where("event_id % 3 <> 0"), c.where("event_id % 5 <> 0"), ["url", "title", "date"])
+
+
+@query_of("latest_additions", _with(v.V1, "SELECT url, id FROM (SELECT *, row_number() OVER (ORDER BY coalesce(date, '') DESC, title DESC, url) AS id FROM report_titles) WHERE key % 10 = 3 ORDER BY id LIMIT 50"))
+def _(s, d):
+    r = resolve.ranked(v.report_titles(s, d))
+    return publish.additions(r.where("key % 10 <> 3"), r).select("url", "id")
+
+
+@query_of("run_counters", _with(_CV, f"SELECT count(*) FILTER (WHERE NOT scoped) AS skipped, count(*) FILTER (WHERE scoped) - count(DISTINCT {v.TITLE_KEY.format('title')}) FILTER (WHERE scoped) AS dupes, count(*) FILTER (WHERE scoped AND component_key = 'other') AS unclassified FROM (SELECT *, regexp_matches(title, '(?i)^\\s*(africa|asia|europe|am[eé]rica)\\b') AS scoped FROM classed)"))
+def _(s, d):
+    return publish.counters(classed(s, d), classify.in_scope(F.col("title"), TAX), F.col("component_key") == "other", tx.title_key(F.col("title")))
+
+
+# ---- facts ----
+
+_SENT = r"list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace({0}, '\s+', ' ', 'g')), '([.;!?])\s+([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) BETWEEN 25 AND 450 AND regexp_matches(x, '\d'))"
+
+
+@query_of("sentences", f"SELECT doc_id, array_to_string({_SENT.format('text')}, ' # ') AS s FROM documents")
+def _(s, d):
+    return v.read(s, d, "documents").select("doc_id", F.array_join(tx.sentences(F.col("text")), " # ").alias("s"))
+
+
+_ALL_SENT = rf"""every AS (SELECT url, k, source, x.unnest AS text, row_number() OVER (PARTITION BY url ORDER BY k, x.ord) AS pos FROM (
+  SELECT url, 0 AS k, 'page' AS source, {_SENT.format('page')} AS s FROM fact_text UNION ALL SELECT url, 1, 'summary', {_SENT.format('summary')} FROM fact_text UNION ALL SELECT url, 2, 'pdf', {_SENT.format('pdf')} FROM fact_text),
+  LATERAL (SELECT unnest(s) AS unnest, unnest(range(1, len(s) + 1)) AS ord) x),
+sents AS (SELECT url, (row_number() OVER (PARTITION BY url ORDER BY pos) - 1)::INT AS idx, text, source FROM (SELECT *, row_number() OVER (PARTITION BY url, left(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', '', 'g'), 160) ORDER BY pos) AS rn FROM every) WHERE rn = 1)"""
+
+
+def sents(s: SparkSession, d: str) -> DataFrame:
+    return facts.sentence_rows(v.fact_text(s, d), ["url"])
+
+
+@query_of("sentence_dedupe", _with(f"{v.V3}, {_ALL_SENT}", "SELECT url, idx, text, source FROM sents"))
+def _(s, d):
+    return sents(s, d)
+
+
+_TWO = [m for m in tx.METRICS if m[0] in ("individuals", "camps", "wards")]
+
+
+def _metric_sql(metrics: list) -> str:
+    return " UNION ALL ".join(rf"SELECT url, idx, text, '{k}' AS label, h AS hit FROM (SELECT url, idx, text, unnest(regexp_extract_all(text, '(?i)({tx.NUMBER})\s+(?:\w+\s+){{0,2}}?(?:{n})\b')) AS h FROM sents)" for k, n in metrics)
+
+
+@query_of("metric_extract", _with(f"{v.V3}, {_ALL_SENT}", rf"SELECT url, idx, label, regexp_extract(hit, '^({tx.NUMBER})', 1) AS num FROM ({_metric_sql(_TWO)})"))
+def _(s, d):
+    return facts.metric_matches(sents(s, d), "text", _TWO).select("url", "idx", "label", "num")
+
+
+@query_of("figure_dedupe")
+def _(s, d):
+    return facts.figures(sents(s, d), ["url"])
+
+
+_FIVE = [m for m in tx.METRICS if m[0] in ("households", "individuals", "IDPs", "camps", "wards")]
+
+
+@query_of("metric_reject", _with(f"{v.V3}, {_ALL_SENT}", rf"""SELECT url, idx, label, num FROM (SELECT url, idx, label, text, regexp_extract(hit, '^({tx.NUMBER})', 1) AS num FROM ({_metric_sql(_FIVE)}))
+WHERE NOT (num::VARCHAR NOT LIKE '%,%' AND num::DOUBLE BETWEEN 1900 AND 2035) AND NOT (starts_with(text, 'An average of ') AND num = regexp_extract(text, '\d+'))""".replace("num::DOUBLE", "replace(num, ',', '')::DOUBLE").replace("num::VARCHAR NOT LIKE", "num NOT LIKE")))
+def _(s, d):
+    hits = facts.metric_matches(sents(s, d), "text", _FIVE)
+    return hits.where(facts.is_count(F.col("before"), F.col("num"), F.col("noun"), F.col("after"))).select("url", "idx", "label", "num")
+
+
+@query_of("subject", _with(f"{v.V3}, {_ALL_SENT}", "SELECT url, idx, CASE WHEN (contains(t, 'returnee') OR contains(t, 'returned')) AND (contains(t, 'idp') OR contains(t, 'internally displaced')) THEN '' WHEN contains(t, 'returnee') OR contains(t, 'returned') THEN 'returnees' WHEN contains(t, 'idp') OR contains(t, 'internally displaced') THEN 'IDPs' WHEN contains(t, 'displaced') OR contains(t, 'fled') THEN 'displaced' WHEN contains(t, 'arriv') THEN 'arrivals' ELSE '' END AS subject FROM (SELECT *, lower(text) AS t FROM sents)"))
+def _(s, d):
+    return sents(s, d).select("url", "idx", tx.subject(F.col("text")).alias("subject"))
+
+
+@query_of("fact_index")
+def _(s, d):
+    x = sents(s, d)
+    i = facts.indexed(x, facts.figures(x, ["url"]))
+    return i.select("url", F.size("s").alias("n_sentences"), F.size("f").alias("n_figures"), F.to_json("f").alias("f"))
+
+
+@query_of("clean_preamble", _with(v.V1, r"SELECT url, CASE WHEN key % 2 = 0 THEN summary WHEN key % 3 = 0 THEN trim(summary) ELSE summary END AS text FROM report_titles"))
+def _(s, d):
+    k = F.col("key")
+    lead = F.when(k % 2 == 0, "Share now Contact x Activity Site Survey Survey Other ").when(k % 3 == 0, "Share it Period Covered Jan 1 2015 Feb 2 2015 ").otherwise("")
+    return v.report_titles(s, d).select("url", facts.clean_page(F.concat(lead, "summary", F.lit(" Cite as ")), ["Survey", "Other", "Site Survey"], "Place Here").alias("text"))
+
+
+@query_of("figure_lookup")
+def _(s, d):
+    x = sents(s, d)
+    r = resolve.ranked(v.report_titles(s, d))
+    return query.figure_lookup(r, facts.indexed(x, facts.figures(x, ["url"])), "asia round", "camps", 5).select("title", "date", "url", F.to_json("figures").alias("figures"), F.array_join("sentences", " | ").alias("sentences"))
+
+
+# ---- addresses, pages, discovery ----
+
+_U = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+_UP = lambda k, c="url": f"regexp_extract({c}, '{_U}', {k})"
+
+
+@query_of("url_canon", f"SELECT page_id, {_UP(1)} || '://' || {_UP(2)} || rtrim({_UP(3)}, '/') || CASE WHEN {_UP(4)} <> '' THEN '?' || {_UP(4)} ELSE '' END AS url FROM pages")
+def _(s, d):
+    return v.read(s, d, "pages").select("page_id", urls.canonical(F.col("url"), F.col("url")).alias("url"))
+
+
+@query_of("url_is_report", f"SELECT page_id, ends_with({_UP(2)}, 'example.org') AND contains({_UP(3)}, '/en/') AND contains(split_part({_UP(3)}, '/en/', 2), '1') AS ok FROM pages")
+def _(s, d):
+    return v.read(s, d, "pages").select("page_id", urls.is_report(F.col("url"), "example.org", "/en/", "1").alias("ok"))
+
+
+@query_of("url_key", f"SELECT page_id, rtrim({_UP(3)}, '/') AS key FROM pages")
+def _(s, d):
+    return v.read(s, d, "pages").select("page_id", urls.report_key(F.col("url")).alias("key"))
+
+
+@query_of("url_page_no", f"SELECT page_id, coalesce((regexp_extract_all(regexp_extract({_UP(4)}, '(?:^|&)page=([^&]*)', 1), '\\d+')[-1])::INT, 0) AS page_no FROM pages")
+def _(s, d):
+    return v.read(s, d, "pages").select("page_id", urls.page_number(F.col("url")).alias("page_no"))
+
+
+@query_of("file_name", "SELECT page_id, url_decode(regexp_extract(url, '[^/]*$')) AS name FROM pages")
+def _(s, d):
+    return v.read(s, d, "pages").select("page_id", urls.file_name(F.col("url")).alias("name"))
+
+
+@query_of("extract_locs", r"""SELECT page_id, array_to_string(regexp_extract_all('<loc> ' || url || ' </loc><loc>' || page_id || '</loc>', '<loc>\s*([^<\s]+)\s*</loc>', 1), '; ') AS locs FROM pages""")
+def _(s, d):
+    xml = F.concat(F.lit("<loc> "), "url", F.lit(" </loc><loc>"), F.col("page_id").cast("string"), F.lit("</loc>"))
+    return v.read(s, d, "pages").select("page_id", _join(discovery.locations(xml)).alias("locs"))
+
+
+@query_of("sitemap_locs", f"SELECT page_id, ends_with(url, '.xml') OR contains(url, 'sitemap') AND contains(url, 'page=') AS sub FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url || '.xml' WHEN 1 THEN url || 'sitemap' ELSE url END AS url FROM pages)")
+def _(s, d):
+    k = F.col("page_id") % 3
+    u = F.when(k == 0, F.concat("url", F.lit(".xml"))).when(k == 1, F.concat("url", F.lit("sitemap"))).otherwise(F.col("url"))
+    return v.read(s, d, "pages").select("page_id", discovery.is_sitemap(u).alias("sub"))
+
+
+@query_of("bfs_reach", f"WITH RECURSIVE {v.V8}, r AS (SELECT 0::BIGINT AS node, 0 AS level UNION SELECT dst, level + 1 FROM r JOIN edges ON src = node WHERE level < 12) SELECT node, min(level)::INT AS level FROM r GROUP BY node")
+def _(s, d):
+    return discovery.reachable(v.edges(s, d), s.range(1).select(F.col("id").alias("node")), 12)
+
+
+@query_of("bfs_capped", f"WITH RECURSIVE {v.V8}, r AS (SELECT 0::BIGINT AS node, 0 AS level UNION SELECT dst, level + 1 FROM r JOIN edges ON src = node WHERE level < 2) SELECT node, min(level)::INT AS level FROM r GROUP BY node")
+def _(s, d):
+    return discovery.reachable(v.edges(s, d), s.range(1).select(F.col("id").alias("node")), 2)
+
+
+@query_of("keyword_seeds", "SELECT 'https://x.example.org/s?q=' || replace(p_name, ' ', '+') || '&p=' || r_regionkey AS url FROM (SELECT DISTINCT p_name FROM part) CROSS JOIN region")
+def _(s, d):
+    t = v.read(s, d, "region").select(F.concat(F.lit("https://x.example.org/s?q={q}&p="), F.col("r_regionkey").cast("string")).alias("template"))
+    return discovery.keyword_seeds(t, v.read(s, d, "part").select(F.col("p_name").alias("keyword")).distinct())
+
+
+@query_of("setop_union", _with(v.V7, "SELECT url FROM cache_rows WHERE event_id % 3 = 0 UNION SELECT url FROM cache_rows WHERE event_id % 4 = 0"))
+def _(s, d):
+    c = v.cache_rows(s, d)
+    return discovery.union_all(c.where("event_id % 3 = 0").select("url"), c.where("event_id % 4 = 0").select("url"))
+
+
+@query_of("anti_new", _with(v.V7, "SELECT DISTINCT url FROM cache_rows WHERE url NOT IN (SELECT url FROM cache_rows WHERE event_id % 3 = 0)"))
+def _(s, d):
+    c = v.cache_rows(s, d)
+    return discovery.unseen(c.select("url").distinct(), c.where("event_id % 3 = 0"), "url")
+
+
+@query_of("upgrade_set", _with(v.V7, "SELECT DISTINCT url FROM cache_rows WHERE coalesce(v, 1) < 3 AND NOT from_listing_only"))
+def _(s, d):
+    return discovery.to_upgrade(v.cache_rows(s, d)).select("url").distinct()
+
+
+@query_of("stale_topk", _with(v.V7, "SELECT url, coalesce(fetched, '0000') AS fetched FROM (SELECT DISTINCT url, fetched FROM cache_rows WHERE NOT from_listing_only) WHERE coalesce(fetched, '0000') < '2024-01-10' ORDER BY coalesce(fetched, '0000'), url LIMIT 100"))
+def _(s, d):
+    c = v.cache_rows(s, d).where("NOT from_listing_only").select("url", "fetched", "from_listing_only").distinct()
+    return discovery.stale(c, "2024-01-10").select("url", F.coalesce("fetched", F.lit("0000")).alias("fetched"))
+
+
+@query_of("work_budget", _with(v.V7, "SELECT DISTINCT url, date FROM (SELECT url, date, event_id FROM cache_rows WHERE event_id % 4 <> 0 ORDER BY date DESC, url DESC, event_id::VARCHAR DESC LIMIT 40)"))
+def _(s, d):
+    c = v.cache_rows(s, d).select(F.col("url").alias("key"), "date", F.col("event_id").cast("string").alias("file"), (F.col("event_id") % 4 == 0).alias("done"))
+    return discovery.budgeted(c, 40).select(F.col("key").alias("url"), "date").distinct()
+
+
+@query_of("pdf_check_set", _with(f"{v.V1}, {_EVIDENCE}", "SELECT url FROM evidence WHERE NOT ruled AND key % 6 = 2 AND key % 4 > 1"))
+def _(s, d):
+    e = evidence(s, d)
+    return e.where(~F.col("ruled") & F.col("check_kind").isNull() & F.col("x.file").isNotNull() & ~F.col("x.why").startswith("file name")).select("url")
+
+
+@query_of("scan_pages", "SELECT page_id, url, length(html)::INT AS n FROM pages")
+def _(s, d):
+    return v.read(s, d, "pages").select("page_id", "url", F.length("html").alias("n"))
+
+
+@query_of("html_title", r"SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '&nbsp;', ' '), '\s+', ' ', 'g')) AS title FROM pages")
+def _(s, d):
+    return html.parsed(v.read(s, d, "pages"), "page_id", "url").select("page_id", html.title().alias("title"))
+
+
+@query_of("page_links", r'''SELECT page_id, array_to_string(regexp_extract_all(html, '<a href="([^"]*)"', 1), '; ') AS hrefs FROM pages''')
+def _(s, d):
+    return html.parsed(v.read(s, d, "pages"), "page_id", "url").select("page_id", _join(F.transform("p.links", lambda x: x["href"])).alias("hrefs"))
+
+
+def template(s: SparkSession, d: str) -> DataFrame:
+    """Pages made from V1: heading, citation, time, meta, series and file links."""
+    k = F.col("key")
+    body = F.concat(F.lit("<html><head><title>T | Site</title>"), F.when(k % 3 == 0, F.concat(F.lit('<meta name="description" content="'), "summary", F.lit('">'))).otherwise(""), F.when(k % 4 == 0, '<meta property="article:published_time" content="2015-05-05T01:00">').otherwise(""), F.lit("</head><body><p>Menu "), "priority", F.lit("</p>"), F.when(k % 5 != 0, F.concat(F.lit("<h1> "), "priority", F.lit(" </h1>"))).otherwise(""), F.lit("<p>short</p><p>"), "summary", F.lit(" "), "summary", F.lit("</p>"), F.when(k % 2 == 0, F.lit("<p>Example Press (EP), May 3, 2016 end</p>")).otherwise(""), F.when(k % 7 == 0, '<time datetime="2014-04-04">x</time>').otherwise(""), F.lit('<a href="/product-series/b">Beta</a><a href="/product-series/a">Alpha</a><a href="/product-series/b">Beta</a><a href="/sites/g/files/'), k.cast("string"), F.lit('.xlsx?x=1">f</a><a href="/sites/g/files/'), k.cast("string"), F.lit('.pdf">g</a></body></html>'))
+    return v.report_titles(s, d).select("url", "key", "priority", "summary", body.alias("html"))
+
+
+def from_template(s: SparkSession, d: str) -> DataFrame:
+    return html.parsed(template(s, d).select(F.concat(F.lit("https://a.example.org"), "url").alias("url"), "key", "html"), "key", "url")
+
+
+@query_of("cite_date", _with(v.V1, "SELECT key, CASE WHEN key % 2 = 0 THEN 'May 3, 2016' ELSE '' END AS cited FROM report_titles"))
+def _(s, d):
+    return from_template(s, d).select("key", html.cited("Example Press (EP),").alias("cited"))
+
+
+@query_of("date_raw", _with(v.V1, "SELECT key, concat_ws(' | ', CASE WHEN key % 2 = 0 THEN 'May 3, 2016' END, CASE WHEN key % 7 = 0 THEN '2014-04-04' END, CASE WHEN key % 4 = 0 THEN '2015-05-05T01:00' END) AS date_raw FROM report_titles"))
+def _(s, d):
+    return from_template(s, d).select("key", html.date_raw("Example Press (EP),").alias("date_raw"))
+
+
+@query_of("page_title", _with(v.V1, "SELECT key, CASE WHEN key % 5 <> 0 THEN priority ELSE 'T' END AS title FROM report_titles"))
+def _(s, d):
+    return from_template(s, d).select("key", html.title().alias("title"))
+
+
+@query_of("html_summary", _with(v.V1, "SELECT key, CASE WHEN key % 3 = 0 THEN summary WHEN length(summary || ' ' || summary) > 80 THEN summary || ' ' || summary ELSE '' END AS summary FROM report_titles"))
+def _(s, d):
+    return from_template(s, d).select("key", html.summary().alias("summary"))
+
+
+@query_of("series_set", _with(v.V1, "SELECT key, 'Alpha; Beta' AS series FROM report_titles"))
+def _(s, d):
+    return from_template(s, d).select("key", _join(html.series()).alias("series"))
+
+
+@query_of("file_refs", _with(v.V1, "SELECT key, 'https://a.example.org/sites/g/files/' || key || '.xlsx; https://a.example.org/sites/g/files/' || key || '.pdf' AS files, 'https://a.example.org/sites/g/files/' || key || '.pdf' AS pdf FROM report_titles"))
+def _(s, d):
+    t = template(s, d).select("key", html.files(F.col("html"), F.concat(F.lit("https://a.example.org"), "url")).alias("f"))
+    return t.select("key", _join(F.slice("f", 1, 20)).alias("files"), html.first_pdf(F.col("f")).alias("pdf"))
+
+
+@query_of("body_slice", _with(v.V1, "SELECT key, CASE WHEN key % 10 = 0 THEN '' WHEN key % 2 = 0 THEN 'short ' || summary || ' ' || summary ELSE '' END AS body FROM report_titles WHERE key % 2 = 0 AND key % 5 <> 0"))
+def _(s, d):
+    return from_template(s, d).where("key % 2 = 0 AND key % 5 <> 0").select("key", html.body("Example Press (EP),").alias("body"))
+
+
+@query_of("hint_fallback", _with(v.V7, "SELECT c.url, coalesce(CASE WHEN c.m % 3 <> 0 THEN c.t END, 'hint ' || c.url) AS title FROM (SELECT url, min(event_id) AS m, min(title) AS t FROM cache_rows GROUP BY url) c"))
+def _(s, d):
+    c = v.cache_rows(s, d).groupBy("url").agg(F.min("event_id").alias("m"), F.min("title").alias("t"))
+    return html.with_hints(c.select("url", F.when(F.col("m") % 3 != 0, F.col("t")).alias("title")), c.select("url", F.concat(F.lit("hint "), "url").alias("title")), "url", ["title"])
+
+
+# ---- reference totals ----
+
+_STATE = "CASE WHEN state IS NULL THEN 'NAN' ELSE upper(trim(state)) END"
+
+
+@query_of("clean_keys", _with(v.V5, f"SELECT {_STATE} AS state, regexp_extract('R' || round || ' (2)', '(\\d+)', 1)::INT AS n, count(*) AS rows FROM round_state GROUP BY ALL"))
+def _(s, d):
+    return v.round_state(s, d).groupBy(reference.clean_key(F.col("state")).alias("state"), reference.first_number(F.concat(F.lit("R"), F.col("round").cast("string"), F.lit(" (2)"))).alias("n")).agg(F.count("*").alias("rows"))
+
+
+_SUMS = ", ".join(f"nullif(sum({m}), 0)::BIGINT AS {m}" for m in reference.MEASURES)
+
+
+@query_of("sum_by_round_state", _with(v.V5, f"SELECT round, {_STATE} AS state, {_SUMS} FROM round_state GROUP BY ALL"))
+def _(s, d):
+    return reference.sums(v.round_state(s, d).withColumn("state", reference.clean_key(F.col("state"))), ["round", "state"])
+
+
+@query_of("sum_by_location", _with(v.V5, f"SELECT round, kind, {_SUMS} FROM round_state GROUP BY ALL"))
+def _(s, d):
+    return reference.sums(v.round_state(s, d), ["round", "kind"])
+
+
+@query_of("sum_by_state", _with(v.V5, f"SELECT state, {_SUMS} FROM round_state WHERE state IS NOT NULL GROUP BY ALL"))
+def _(s, d):
+    return reference.sums(v.round_state(s, d), ["state"])
+
+
+@query_of("assert_rollup", _with(v.V5, "SELECT round, measure, total, detail FROM (SELECT round, 'idp_ind' AS measure, (sum(idp_ind) + CASE WHEN round = 3 THEN 5 ELSE 0 END)::BIGINT AS total, sum(idp_ind)::BIGINT AS detail FROM round_state GROUP BY round) WHERE total <> detail"))
+def _(s, d):
+    r = v.round_state(s, d)
+    t = reference.sums(r, ["round"], zero_is_null=False).withColumn("idp_ind", F.col("idp_ind") + F.when(F.col("round") == 3, 5).otherwise(0))
+    return reference.violations(r, t, "round")
+
+
+@query_of("count_distinct_multi", _with(v.V5, "SELECT round, count(DISTINCT (state, lga, ward)) FILTER (WHERE state IS NOT NULL AND lga IS NOT NULL AND ward IS NOT NULL) AS wards, count(DISTINCT (state, lga)) FILTER (WHERE state IS NOT NULL AND lga IS NOT NULL) AS lgas FROM round_state GROUP BY round"))
+def _(s, d):
+    return reference.distinct_places(v.round_state(s, d), "round", ["state", "lga", "ward"], ["state", "lga"])
+
+
+@query_of("nest_map", _with(v.V5, "SELECT round, string_agg(kind || ':' || a || ',' || b, ';' ORDER BY kind) AS by_location FROM (SELECT round, kind, sum(idp_ind)::BIGINT AS a, sum(idp_hh)::BIGINT AS b FROM round_state GROUP BY ALL) GROUP BY round"))
+def _(s, d):
+    n = reference.nested(reference.sums(v.round_state(s, d), ["round", "kind"], zero_is_null=False), "round", "kind", ("idp_ind", "idp_hh"), "m")
+    return n.select("round", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["idp_ind"].cast("string"), F.lit(","), e["value"]["idp_hh"].cast("string"))), ";").alias("by_location"))
+
+
+@query_of("left_lookup", _with(v.V5, "SELECT a.round, a.state, a.idp, b.ret FROM (SELECT round, state, sum(idp_ind)::BIGINT AS idp FROM round_state WHERE state IS NOT NULL GROUP BY ALL) a LEFT JOIN (SELECT round, state, sum(ret_ind)::BIGINT AS ret FROM round_state WHERE state IS NOT NULL AND round > 5 GROUP BY ALL) b USING (round, state)"))
+def _(s, d):
+    r = v.round_state(s, d)
+    a = reference.sums(r, ["round", "state"], ("idp_ind",), False).withColumnRenamed("idp_ind", "idp")
+    b = reference.sums(r.where("round > 5"), ["round", "state"], ("ret_ind",), False).withColumnRenamed("ret_ind", "ret")
+    return a.join(b, ["round", "state"], "left")
+
+
+_SUMMED = "summed AS (SELECT round, sum(idp_ind)::BIGINT AS total, (sum(idp_ind) + CASE round % 4 WHEN 0 THEN 7 WHEN 1 THEN 1 ELSE 0 END)::BIGINT AS figure FROM round_state GROUP BY round)"
+
+
+@query_of("reconcile", _with(f"{v.V5}, {_SUMMED}", "SELECT round, figure, total FROM summed WHERE abs(figure - total) > 1"))
+def _(s, d):
+    t = reference.sums(v.round_state(s, d), ["round"], ("idp_ind",), False).withColumnRenamed("idp_ind", "total")
+    k = F.col("round") % 4
+    return reference.reconciled(t.select("round", (F.col("total") + F.when(k == 0, 7).when(k == 1, 1).otherwise(0)).alias("figure")), t, "round")
+
+
+@query_of("notes", _with(f"{v.V5}, {_SUMMED}", "SELECT round, CASE WHEN round = 8 THEN 'known' ELSE concat_ws(' | ', CASE WHEN abs(figure - total) > 1 THEN 'summary IDP total ' || format('{:,}', figure) || ' differs from the sum of ward rows ' || format('{:,}', total) END, CASE WHEN round <= 5 THEN 'no ward-level returnee rows for this round; the summary figure may be carried over from the previous round' END) END AS notes FROM summed"))
+def _(s, d):
+    t = reference.sums(v.round_state(s, d), ["round"], ("idp_ind",), False).withColumnRenamed("idp_ind", "total")
+    k = F.col("round") % 4
+    figure = F.col("total") + F.when(k == 0, 7).when(k == 1, 1).otherwise(0)
+    n = t.select("round", F.array_join(reference.notes(figure, F.col("total"), F.lit(10), F.when(F.col("round") > 5, 10)), " | ").alias("notes"))
+    return reference.with_known(n, s.createDataFrame([(8, "known")], "round int, notes string"), "round", "notes")
+
+
+@query_of("override_lookup", _with(v.V5, "SELECT round, CASE round WHEN 3 THEN 447628 WHEN 7 THEN 444781 ELSE sum(idp_hh) END::BIGINT AS idp_hh FROM round_state GROUP BY round"))
+def _(s, d):
+    t = reference.sums(v.round_state(s, d), ["round"], ("idp_hh",), False)
+    return reference.with_known(t, s.createDataFrame([(3, 447628), (7, 444781)], "round int, idp_hh long"), "round", "idp_hh")
+
+
+@query_of("header_rows", _with(v.V5, "SELECT round, sum(idp_ind)::BIGINT AS idp_ind, sum(ret_hh)::BIGINT AS ret_hh FROM round_state GROUP BY round"))
+def _(s, d):
+    from ..sources.files import header_rows
+
+    r = v.round_state(s, d).groupBy("round").agg(F.sum("idp_ind").alias("a"), F.sum("ret_hh").alias("b"))
+    packed = r.agg(F.collect_list(F.array("round", "a", "b")).alias("rows"))  # one row a round
+    return header_rows(packed.withColumn("cols", F.array(F.lit("round"), F.lit("idp_ind"), F.lit("ret_hh"))), ["round", "idp_ind", "ret_hh"]).withColumn("round", F.col("round").cast("int"))
+
+
+# ---- geometry ----
+
+
+@query_of("bbox_project", _with(v.V6, "SELECT seq, round(6 + (x - x0) * k * scale, 6) AS px, round(6 + (y1 - y) * scale, 6) AS py FROM (SELECT *, 708 / ((x1 - x0) * k) AS scale FROM (SELECT *, min(x) OVER () AS x0, max(x) OVER () AS x1, max(y) OVER () AS y1, cos((min(y) OVER () + max(y) OVER ()) / 2 * pi() / 180) AS k FROM ring_points))"))
+def _(s, d):
+    return geometry.projected(v.ring_points(s, d)).select("seq", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
+
+
+_KEPT = "kept AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY name, poly, ring) AS n FROM (SELECT *, x = lag(x) OVER w AND y = lag(y) OVER w AS same FROM ring_points WINDOW w AS (PARTITION BY name, poly, ring ORDER BY seq)) WHERE NOT coalesce(same, false)) WHERE n >= 3)"
+
+
+def _kept(s: SparkSession, d: str) -> DataFrame:
+    return geometry.simplified(v.ring_points(s, d).withColumn("px", F.col("x")).withColumn("py", F.col("y")), 4)
+
+
+@query_of("lag_dedupe", _with(f"{v.V6}, {_KEPT}", "SELECT seq, x, y FROM kept"))
+def _(s, d):
+    return _kept(s, d).select("seq", "x", "y")
+
+
+@query_of("path_text", _with(f"{v.V6}, {_KEPT}", "SELECT name, length(string_agg(t, '' ORDER BY poly, ring)) AS n, md5(string_agg(t, '' ORDER BY poly, ring)) AS d FROM (SELECT name, poly, ring, 'M' || string_agg(x || ',' || y, 'L' ORDER BY seq) || 'Z' AS t FROM kept GROUP BY ALL) GROUP BY name"))
+def _(s, d):
+    return geometry.paths(_kept(s, d)).select("name", F.length("d").cast("long").alias("n"), F.md5("d").alias("d"))
+
+
+@query_of("shoelace_max", _with(f"{v.V6}, {_KEPT}", "SELECT name, round(area, 4) AS area, round(cx, 6) AS cx, round(cy, 6) AS cy FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY area DESC, poly) AS rn FROM (SELECT name, poly, abs(sum(x * ny - nx * y) / 2) AS area, avg(x) AS cx, avg(y) AS cy FROM (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM kept WHERE ring = 0 WINDOW w AS (PARTITION BY name, poly ORDER BY seq)) GROUP BY name, poly)) WHERE rn = 1"))
+def _(s, d):
+    return geometry.centroids(_kept(s, d)).select("name", F.round("area", 4).alias("area"), F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+
+
+# ---- incremental harvest ----
+
+
+@query_of("harvest_upsert", _with(v.V7, "SELECT url, title, date, fetched FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY event_id DESC) AS rn FROM cache_rows) WHERE rn = 1"))
+def _(s, d):
+    from ..streaming.harvest import latest
+
+    return latest(v.cache_rows(s, d), "url", ["event_id"]).select("url", "title", "date", "fetched")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
