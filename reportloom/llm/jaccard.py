@@ -3,16 +3,19 @@
 A row of the matrix is a distinct set of n-grams (documents with equal sets are one row, of the least id), a column
 is an n-gram. Two rows can reach the similarity only if they share one of each row's first n - ceil(0.8 n) + 1
 columns in a common order of columns (a bound from the row's size), so the product runs over those columns alone.
-The order puts frequent columns last: a table of SKETCH counters, of fixed size and filled from all documents, tells
-them; any order is right, this one makes columns short. Columns are blocks of a partition, sorted; each is multiplied
-with itself in numpy: of a short column (at most SHORT rows) all pairs, of a longer one each row with the pivots of
-its size class; overlap counts are accumulated by pair, and pairs are discarded where sizes and places in the order
-bound the overlap too low. What is left is verified on the whole sets.
+The order puts frequent columns last: a table of counters, filled from all documents, tells them; any order is
+right, this one makes columns short.
 
-A longer column is where a large group of copies lies. Once its pairs with pivots are verified, most of its rows are
-in one component, whose inner pairs can change nothing. So only rows outside a column's largest component are
-multiplied with the whole column. No link between components is lost, and work follows the rows, not their squares,
-except where a long column holds many rows that are not alike. Frequent columns are cut into blocks by their counter.
+Columns that aren't frequent are blocks of a partition, sorted by column; each is multiplied with itself in numpy, all pairs of its
+rows, and overlap counts are accumulated by pair. A pair is discarded where its count, with what its frequent columns and
+the rest of its sets could add, stays below the overlap that its sizes ask for. What is left is verified on whole sets.
+
+Frequent columns are where large groups of copies lie. Each of their rows is first paired with the pivot of its size
+class in the column: the row with the fewest rarer n-grams before it, that is the likest to the group's origin. Once
+these pairs are verified, the group is one component, whose inner pairs can change nothing. So only rows outside a
+column's largest component are then multiplied with the whole column, where places in the order allow the overlap. No link between
+components is lost, and work follows the rows, not their squares, unless a frequent column holds many rows that are
+nearly but not quite alike.
 
 N-grams are 64-bit hashes; sets are compared by their lower 48 bits (two sets of 10,000 n-grams agree wrongly in one
 n-gram with probability below one in a million).
@@ -38,12 +41,12 @@ from .common import BATCH_ROWS, bounded_batches, map_batches, table, texts, writ
 #: Words of an n-gram; link where 100 x intersection >= SHARE x union.
 WORDS = 5
 SHARE = 80
-#: Counters of the sketch (fixed size), and slices they are summed in.
-SKETCH = 1 << 22
+#: Counters for each document, least and most counters (powers of two), and slices they are summed in.
+COUNTERS = 32
+LEAST_SKETCH, MOST_SKETCH = 1 << 20, 1 << 26
 SLICES = 16
-#: Rows of a column that is multiplied whole; rows of a block of a frequent column, by its counter.
-SHORT = 12
-BLOCK = 512
+#: Rows of a column that is multiplied whole; a longer one is treated like a frequent one.
+LONG = 400
 #: Ids that are broadcast at most (8 bytes each); beyond, texts are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Words whose hashes a worker remembers.
@@ -88,23 +91,33 @@ def least_overlap(n: int) -> int:
     return (SHARE * n + 99) // 100
 
 
-def possible(n: np.ndarray, m: np.ndarray, overlap: np.ndarray) -> np.ndarray:
-    """May sets of n and m with at most this overlap be linked?"""
-    return (100 + SHARE) * overlap >= SHARE * (n + m)
-
-
 # ---- counters ----
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """Counters of n-grams over all documents, each document's set once."""
+    """Counters of n-grams over all documents, each document's set once. Their number follows the documents, up to
+    MOST_SKETCH, which bounds what is gathered and broadcast."""
+    size = min(MOST_SKETCH, max(LEAST_SKETCH, 1 << (COUNTERS * docs.count()).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, total = Shingler(), np.zeros(SKETCH, np.uint32)
+        make, total = Shingler(), np.zeros(size, np.uint32)
+        held: list[np.ndarray] = []
+        some = 0
+
+        def put() -> None:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            total[at] += n.astype(np.uint32)
+            held.clear()
+
         for batch in batches:
-            got = [make.hashes(t) & np.uint64(SKETCH - 1) for t in texts(batch, 0)]
-            if got:
-                np.add(total, np.bincount(np.concatenate(got).astype(np.int64), minlength=SKETCH).astype(np.uint32), out=total)
+            for t in texts(batch, 0):
+                held.append((make.hashes(t) & np.uint64(size - 1)).astype(np.int32))
+                some += len(held[-1])
+                if some > 2_000_000:
+                    put()
+                    some = 0
+        if held:
+            put()
         if total.any():
             for k, part in enumerate(np.split(total, SLICES)):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "counters"])
@@ -116,14 +129,15 @@ def sketch(docs: DataFrame) -> np.ndarray:
                 part = np.frombuffer(zlib.decompress(data), np.uint32).astype(np.uint64)
                 sums[k] = sums[k] + part if k in sums else part
         for k, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(part, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], ["slice", "counters"])
+            packed = zlib.compress(np.minimum(part, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["slice", "counters"])
 
     bounded_batches(docs.sparkSession)
     parts = docs.select("text").mapInArrow(count, "slice int, counters binary")
-    sums = parts.repartition(SLICES, "slice").mapInArrow(add, "slice int, counters binary").collect()  # SKETCH counters, whatever the input
-    out = np.zeros(SKETCH, np.uint32)
+    sums = parts.repartition(SLICES, "slice").mapInArrow(add, "slice int, counters binary").collect()  # at most MOST_SKETCH counters
+    out = np.zeros(size, np.uint32)
     for r in sums:
-        out.reshape(SLICES, -1)[r["slice"]] = np.frombuffer(r["counters"], np.uint32)
+        out.reshape(SLICES, -1)[r["slice"]] = np.frombuffer(zlib.decompress(r["counters"]), np.uint32)
     return out
 
 
@@ -131,7 +145,7 @@ def levels_of(counters: np.ndarray) -> np.ndarray:
     """0 for columns that are not known to be frequent; else the power of two of their counter."""
     noise = float(counters.sum()) / len(counters)
     level = np.floor(np.log2(np.maximum(counters, 1))).astype(np.uint8)
-    level[counters <= 8 + 4 * noise] = 0
+    level[counters <= 16 + 3 * noise] = 0
     return level
 
 
@@ -139,14 +153,16 @@ def levels_of(counters: np.ndarray) -> np.ndarray:
 
 
 def rows_of(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, s1, s2 (signature of the set), columns (the first ones of the common order), blocks of the columns."""
+    """doc_id, n, s1, s2 (signature of the set), columns (the first ones of the common order), often (how many of
+    them are frequent; these are the last)."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def make():
         shingler, level_of = Shingler(), sent.value
+        mask = np.uint64(len(level_of) - 1)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, first, second, flat, blocks, ends = [], [], [], [], [], [0]
+            sizes, first, second, often, flat, ends = [], [], [], [], [], [0]
             for text in texts(batch, 1):
                 h = shingler.hashes(text)
                 n = len(h)
@@ -157,70 +173,64 @@ def rows_of(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 first.append(a.astype(np.int64))
                 second.append(b.astype(np.int64))
                 take = n - least_overlap(n) + 1 if n > 3 else 0  # smaller sets are linked with equal ones alone
+                many = 0
                 if take:
-                    level = level_of[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
+                    level = level_of[(h & mask).astype(np.int64)]
                     if level.any():
                         order = np.argsort(level, kind="stable")[:take]
-                        h, level = h[order], level[order]
-                    else:
-                        h, level = h[:take], level[:take]
-                    flat.append(h)
-                    cut = np.maximum(1, (2 << level.astype(np.int64)) // BLOCK)
-                    blocks.append(np.where(level > 0, int(b >> np.uint64(1)) % cut, 0))
+                        many = int((level[order] > 0).sum())
+                        h = h[order]
+                    flat.append(h[:take])
+                often.append(many)
                 ends.append(ends[-1] + take)
-            join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (join(flat, np.uint64).view(np.int64), join(blocks, np.int32))]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), *lists], ["doc_id", "n", "s1", "s2", "columns", "blocks"])
+            columns = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(columns))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists, pa.array(often, pa.int32())], ["doc_id", "n", "s1", "s2", "columns", "often"])
 
         return work
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n int, s1 long, s2 long, columns array<long>, blocks array<int>")
-
-
-def _paired(rep: np.ndarray, n: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Pairs of ids of rows x and y that sizes and places allow."""
-    over = 1 + np.minimum(n[x] - at[x], n[y] - at[y]) - 1
-    good = possible(n[x], n[y], over) & possible(n[x], n[y], np.minimum(n[x], n[y])) & (rep[x] != rep[y])
-    a, b = rep[x[good]], rep[y[good]]
-    return np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n int, s1 long, s2 long, columns array<long>, often int")
 
 
 def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted (column, block, n, rep, place): kind 0: pair a, b and the columns they share; kind 1: row b of a long column a, its n and place."""
+    """From (column, rep, n, often, place) sorted by column: kind 0: pair a, b, how many columns it shares here, and how many it
+    has to share; kind 1: a row b of a column a that is too long, its n and place."""
     rest: list[np.ndarray] | None = None
 
     def product(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        col, block, n, rep, at = part
+        col, rep, n, often, at = part
         if not len(col):
             return
-        starts = np.flatnonzero(np.concatenate(([True], (col[1:] != col[:-1]) | (block[1:] != block[:-1]))))
+        starts = np.flatnonzero(np.concatenate(([True], col[1:] != col[:-1])))
         size = np.diff(np.append(starts, len(col)))
         run = np.repeat(np.arange(len(starts)), size)
         here = size[run]
-        pairs = []
-        short = np.flatnonzero((here > 1) & (here <= SHORT))
-        for d in range(1, SHORT):
-            x, y = short[:-d], short[d:]
-            same = run[x] == run[y]
-            if not same.any():
+        found = []
+        rows = np.flatnonzero((here > 1) & (here <= LONG))
+        for d in range(1, LONG):
+            rows = rows[here[rows] > d]
+            if not len(rows):
                 break
-            pairs.append(_paired(rep, n, at, x[same], y[same]))
-        long = np.flatnonzero(here > SHORT)
+            x, y = rows[:-d], rows[d:]
+            good = (run[x] == run[y]) & (rep[x] != rep[y])
+            x, y = x[good], y[good]
+            n1, n2 = n[x], n[y]
+            good = (100 + SHARE) * np.minimum(n1, n2) >= SHARE * (n1 + n2)
+            x, y, n1, n2 = x[good], y[good], n1[good], n2[good]
+            ask = (SHARE * (n1 + n2) + 99 + SHARE) // (100 + SHARE)
+            ask -= (SHARE * np.maximum(n1, n2) + 99) // 100 - 1 + np.minimum(often[x], often[y])
+            found.append((np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y]), ask))
+        long = np.flatnonzero(here > LONG)
         if len(long):
-            # A size class: sets within a ninth of each other; its first row is the pivot, pivots of neighbouring classes meet.
-            cls = np.floor(np.log(np.maximum(n[long], 1)) / np.log(10 / 9)).astype(np.int64)
-            fresh = np.concatenate(([True], (run[long][1:] != run[long][:-1]) | (cls[1:] != cls[:-1])))
-            pivots = long[fresh]
-            of = pivots[np.cumsum(fresh) - 1]
-            pairs.append(_paired(rep, n, at, long, of))
-            if len(pivots) > 1:
-                next_to = run[pivots[1:]] == run[pivots[:-1]]
-                pairs.append(_paired(rep, n, at, pivots[1:][next_to], pivots[:-1][next_to]))
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(long), np.int8)), pa.array(col[long]), pa.array(rep[long]), pa.array(n[long].astype(np.int32)), pa.array(at[long].astype(np.int32))], ["kind", "a", "b", "n", "place"])
-        if pairs and sum(map(len, pairs)):
-            every = np.concatenate(pairs)
-            every, count = np.unique(every, axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(every), np.int8)), pa.array(every[:, 0]), pa.array(every[:, 1]), pa.array(count.astype(np.int32)), pa.array(np.zeros(len(every), np.int32))], ["kind", "a", "b", "n", "place"])
+        if found:
+            a, b, ask = (np.concatenate(x) for x in zip(*found))
+            if len(a):
+                order = np.lexsort((b, a))
+                a, b, ask = a[order], b[order], ask[order]
+                new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                count = np.diff(np.append(new, len(a)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(new), np.int8)), pa.array(a[new]), pa.array(b[new]), pa.array(count.astype(np.int32)), pa.array(ask[new].astype(np.int32))], ["kind", "a", "b", "n", "place"])
 
     for batch in batches:
         part = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
@@ -228,7 +238,7 @@ def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = [np.concatenate((a, b)) for a, b in zip(rest, part)]
         if not len(part[0]):
             continue
-        last = np.flatnonzero((part[0] != part[0][-1]) | (part[1] != part[1][-1]))
+        last = np.flatnonzero(part[0] != part[0][-1])
         cut = last[-1] + 1 if len(last) else 0
         yield from product([a[:cut] for a in part])
         rest = [a[cut:] for a in part]
@@ -236,6 +246,21 @@ def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from product(rest)
 
 
+def overlap_allowed(n: str, at: str, m: str, to: str):
+    """Can sets of n and m reach the overlap if their first common column is at these places?"""
+    return F.lit(100 + SHARE) * F.least(F.col(n) - F.col(at), F.col(m) - F.col(to)) >= F.lit(SHARE) * (F.col(n) + F.col(m))
+
+
+def pivoted(dense: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the rows of frequent columns (column, rep, n, place) with the pivots of their size class, and of the neighbouring ones."""
+    cls = F.floor(F.log("n") / F.log(F.lit(10 / 9)))
+    rows = dense.withColumn("cls", cls)
+    pivots = rows.groupBy("column", "cls").agg(F.min(F.struct("place", "n", "rep")).alias("p"))
+    near = pivots.select(F.col("column").alias("c"), F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("k"), F.col("p.rep").alias("y"), F.col("p.n").alias("yn"), F.col("p.place").alias("yp"))
+    both = rows.join(near, (F.col("column") == F.col("c")) & (F.col("cls") == F.col("k")) & (F.col("rep") != F.col("y")) & overlap_allowed("n", "place", "yn", "yp"))
+    return both.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).distinct()
+
+
 # ---- verification and components ----
 
 
@@ -312,17 +337,26 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, s1, s2 of each document; s1, s2, size, component of each distinct set of n-grams)."""
     spark = docs.sparkSession
     rows = written(rows_of(docs, levels_of(sketch(docs))), "jaccard-rows")
-    sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "columns", "blocks")).alias("r"))
-    cells = sets.where("n > 3").select(F.col("r.doc_id").alias("rep"), "n", F.posexplode(F.arrays_zip("r.columns", "r.blocks")).alias("place", "c"))
-    cells = cells.select(F.col("c.columns").alias("column"), F.col("c.blocks").alias("block"), "n", "rep", "place")
-    dealt = cells.repartition("column", "block").sortWithinPartitions("column", "block", "n", "rep")
+    sets = rows.where("n > 3 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "often", "columns")).alias("r"))
+    cells = sets.select(F.col("r.doc_id").alias("rep"), "n", F.col("r.often").alias("often"), F.size("r.columns").alias("size"), F.posexplode("r.columns").alias("place", "column"))
+    cells = cells.withColumn("frequent", F.col("place") >= F.col("size") - F.col("often"))
+    dense = written(cells.where("frequent").select("column", "rep", "n", "place"), "jaccard-dense")
+    dealt = cells.where("NOT frequent").select("column", "rep", "n", "often", "place").repartition("column").sortWithinPartitions("column")
     bounded_batches(spark, 50_000)
     found = written(dealt.mapInArrow(multiplied, "kind byte, a long, b long, n int, place int"), "jaccard-product")
     bounded_batches(spark, BATCH_ROWS)
-    pairs = written(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared")), "jaccard-pairs")
+    counted = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"), F.max("place").alias("ask"))
+    longer = found.where("kind = 1").select(F.col("a").alias("column"), F.col("b").alias("rep"), "n", "place")
+    if not longer.isEmpty():
+        # Columns that turned out long weren't multiplied: what they could add is credited to their rows.
+        credit = longer.groupBy("rep").agg(F.count("*").alias("c"))
+        counted = counted.join(credit.toDF("a", "ca"), "a", "left").join(credit.toDF("b", "cb"), "b", "left")
+        counted = counted.withColumn("ask", F.col("ask") - F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0))))
+        dense = dense.unionByName(longer)
+    pairs = written(counted.where("shared >= ask").select("a", "b").unionByName(pivoted(dense)).distinct(), "jaccard-pairs")
     links = verified(docs, pairs)
     labels = written(components(links), "jaccard-labels")
-    more = crossing(found.where("kind = 1"), labels, pairs)
+    more = crossing(dense, labels, pairs)
     if more is not None:
         extra = verified(docs, more)
         if not extra.isEmpty():
@@ -334,9 +368,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def crossing(dense: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame | None:
     """New pairs of rows of a long column that lie in different components: rows outside the column's largest component against the whole column."""
-    rows = dense.select(F.col("a").alias("column"), F.col("b").alias("rep"), "n", "place")
-    held = rows.join(labels, F.col("rep") == F.col("id"), "left").select("column", "rep", "n", "place", F.coalesce("label", "rep").alias("label"))
-    held = written(held, "jaccard-dense")
+    held = dense.join(labels, F.col("rep") == F.col("id"), "left").select("column", "rep", "n", "place", F.coalesce("label", "rep").alias("label"))
+    held = written(held, "jaccard-held")
     sizes = held.groupBy("column", "label").agg(F.count("*").alias("rows"))
     most = sizes.groupBy("column").agg(F.max(F.struct("rows", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select(F.col("column").alias("c"), F.col("most.label").alias("largest"))
     few = held.join(most, F.col("column") == F.col("c")).where(F.col("label") != F.col("largest")).select("column", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("label").alias("xl"))
@@ -344,8 +377,7 @@ def crossing(dense: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame
     if few.isEmpty():
         return None
     all_rows = held.select(F.col("column").alias("c"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("label").alias("yl"))
-    bound = F.lit(100 + SHARE) * F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"), "xn", "yn") >= F.lit(SHARE) * (F.col("xn") + F.col("yn"))
-    both = few.join(all_rows, (F.col("column") == F.col("c")) & (F.col("xl") != F.col("yl")) & bound)
+    both = few.join(all_rows, (F.col("column") == F.col("c")) & (F.col("xl") != F.col("yl")) & overlap_allowed("xn", "xp", "yn", "yp"))
     pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     fresh = written(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-crossing")
     return None if fresh.isEmpty() else fresh
