@@ -55,7 +55,7 @@ def title_key(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences of 25 to 450 characters that hold a digit."""
-    clean = squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), "[�\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f-]", ""))
+    clean = squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), "[\ufffd\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\ue000-\uf8ff]", ""))
     parts = F.transform(F.split(clean, r"(?<=[.;!?])\s+(?=[A-Z0-9(])"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: (F.length(s) >= 25) & (F.length(s) <= 450) & s.rlike(r"\d"))
 

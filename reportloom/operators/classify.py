@@ -150,6 +150,7 @@ def allowed(found: Column, key: Column, tax: Taxonomy) -> Column:
 
 def document_kind(text: Column) -> Column:
     """struct(kind, evidence): needs before atlas before baseline words in a document's text."""
+    # The phrases of each kind, in order of precedence, and the width of the evidence around them.
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")
     cut = lambda rx: F.regexp_extract(t, f"(?iu){rx}", 0)
     needs = cut(r".{0,70}needs?\s+monitoring.{0,70}")

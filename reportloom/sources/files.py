@@ -75,4 +75,4 @@ def write_script(df: DataFrame, path: str, variable: str) -> None:
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header whose first name begins with a byte order mark, as spreadsheet programs want it."""
     first, *rest = df.columns
-    df.withColumnRenamed(first, "﻿" + first).select("﻿" + first, *rest).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.withColumnRenamed(first, "\ufeff" + first).select("\ufeff" + first, *rest).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -169,7 +169,7 @@ def test_sinks_and_geometry(spark, tmp_path):
     files.write_csv(df, str(tmp_path / "csv"))
     files.write_script(df, str(tmp_path / "js"), "window.X")
     read = lambda d, g: next((tmp_path / d).glob(g)).read_text(encoding="utf-8")
-    assert read("csv", "*.csv").startswith("﻿id,t") and read("js", "*.txt").strip() == 'window.X = [{"id":1,"t":"a<\\/b>"}];'
+    assert read("csv", "*.csv").startswith("\ufeffid,t") and read("js", "*.txt").strip() == 'window.X = [{"id":1,"t":"a<\\/b>"}];'
     (tmp_path / "g.json").write_text('{"features":[{"properties":{"name":"P"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1]]]}},{"properties":{"name":"M"},"geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1]]],[[[5,5],[6,5],[6,6]]]]}}]}')
     assert files.geometry_points(spark, str(tmp_path / "g.json")).groupBy("name").count().orderBy("name").collect() == [("M", 6), ("P", 3)]
     (tmp_path / "m.json").write_text('{"/a":{"url":"u","v":2},"/b":{"url":"w"}}')
