@@ -8,7 +8,7 @@ A conversation of any length costs linear work: it is cut into pieces of PIECE t
 the turn before it as its context, so that pieces are rendered apart and only joined at the end. So a template may look at the turns so
 far of its piece, and at the one before it; rewrites(template, turns) tests one on whole prefixes.
 
-The default template marks turns as "### Role: text </turn>" and escapes, in roles and texts, every character that
+The default template marks turns as "### role: text </turn>" and escapes, in roles and texts, every character that
 could begin a mark by a backslash, and the backslash itself; so the output can be read back.
 
 Defined results: rows of a conversation are ordered by turn, null turns first, then by role and text; a null role is
@@ -42,7 +42,7 @@ _TURN = re.compile(r"### ((?:[^\\#<:\n]|\\.)*): ((?:[^\\#<]|\\.)*) </turn>\n", r
 
 
 def default_template(turns: list[Turn]) -> str:
-    return "".join([f"### {_CONTROL.sub(_slash, role[:1].upper() + role[1:] if role.islower() and role.isascii() else role)}: {_TEXT_CONTROL.sub(_slash, text)} </turn>\n" for role, text in turns])
+    return "".join([f"### {_CONTROL.sub(_slash, role)}: {_TEXT_CONTROL.sub(_slash, text)} </turn>\n" for role, text in turns])
 
 
 def _slash(m: re.Match) -> str:
@@ -134,8 +134,7 @@ def read_back(output: str) -> list[Turn]:
         m = _TURN.match(output, at)
         if not m:
             raise ValueError(f"no turn at {at}")
-        role = unescape(m[1])
-        turns.append((role.lower() if role.istitle() and role.isascii() and role.isalpha() else role, unescape(m[2])))
+        turns.append((unescape(m[1]), unescape(m[2])))
         at = m.end()
     return turns
 

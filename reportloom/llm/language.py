@@ -2,7 +2,7 @@
 
 Texts: character trigrams of each language, learnt from at most TRAIN_ROWS labelled rows a language; the log
 likelihood of a text is its mean a character times at most EFFECTIVE characters, so that long texts don't drown the
-other evidence, though trigrams overlap. A further class, und, gives every symbol the same probability.
+other evidence, though trigrams overlap. A further class, und, gives every symbol the same probability; the alphabet is Latin, so texts in other scripts are und.
 Declared language and suffix: P(value | language), smoothed, counted by grouped aggregation over the pages that their texts decide.
 Host: a prior that is smoothed from all pages to suffix, to domain, to host, each level by PRIOR_WEIGHT pages of the level above.
 
@@ -10,7 +10,7 @@ Counts are sums by (level, key, language): a host with a third of all pages is s
 they are joined to rows of fixed size, never to texts.
 
 Defined results: a text without letters (null or empty ones too) has no text evidence; if nothing else is known
-either, its language is und. A null url, host or declaration is a value of its own. Equal rows give equal results; an
+either, its language is und. Without labelled rows all is und, and keep() keeps all. A null url, host or declaration is a value of its own. Equal rows give equal results; an
 empty table gives an empty table; further columns are kept only by keep().
 """
 
@@ -72,6 +72,9 @@ class Model:
             pair /= pair.sum(1, keepdims=True)
             cube = cube + 5 * pair[None]
             logs[:, k] = np.log(cube / cube.sum(2, keepdims=True)).ravel()
+            # Letters of no known alphabet speak against every language, however a few labelled rows use them.
+            by = logs[:, k].reshape(SIZE, SIZE, SIZE)
+            by[:, :, len(LETTERS) + 1] = np.minimum(by[:, :, len(LETTERS) + 1], -np.log(SIZE) - 2)
         logs[:, -1] = -np.log(SIZE)
         self.logs = logs
 
@@ -112,7 +115,7 @@ def train(docs: DataFrame) -> Model:
                 sums[lang] = sums[lang] + got if lang in sums else got
         for lang, got in sums.items():
             held = np.nonzero(got)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held)), pa.array(held.astype(np.int32)), pa.array(got[held].astype(np.int64))], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(held.astype(np.int32)), pa.array(got[held].astype(np.int64))], ["lang", "gram", "n"])
 
     rows = sample.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(rows["lang"]))
@@ -136,6 +139,8 @@ def fused(rows: DataFrame, languages: list[str]) -> DataFrame:
     """rows (key..., host, suffix, domain, declared, loglik) with lang and probability."""
     n = len(languages)
     known = languages[:-1]
+    if not known:
+        return rows.select("*", F.lit(n - 1).alias("text_lang"), F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("probability"))
     rows = written(rows.withColumn("text_lang", F.expr(_argmax("loglik", n))).withColumn("text_sure", F.expr(_softmax_top("loglik"))), "lang-rows")
     sure = rows.where((F.col("text_sure") >= SURE) & (F.col("text_lang") < n - 1))
     levels = F.array(*[F.struct(F.lit(k).alias("level"), F.coalesce(F.col(c), F.lit("")).alias("value")) for k, c in enumerate(["declared", "suffix", "domain", "host"])])
@@ -220,6 +225,8 @@ def keep(docs: DataFrame, least: float = 0.5, learn_from: DataFrame | None = Non
     """The rows of docs (columns doc_id, text, lang, source) whose text is in a known language with at least this
     probability; columns as before. The column lang is what the row declares, its source what stands for its host."""
     model = train(learn_from if learn_from is not None else docs)
+    if len(model.languages) == 1:
+        return docs
     source = F.coalesce(F.col("source"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), source.alias("host"), F.lit("").alias("suffix"), source.alias("domain"), F.lower("lang").alias("declared"), "text")
     found = fused(likelihoods(rows, model, "text", None), model.languages)
