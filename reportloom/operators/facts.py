@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,11 +55,22 @@ def _labelled(source: str):
     return lambda t: F.struct(t["text"].alias("text"), F.lit(source).alias("source"))
 
 
+def stems(noun: str) -> list[str]:
+    """A literal beginning of each alternative of a noun pattern."""
+    out = []
+    for part in re.split(r"\|(?![^()]*\))", noun):
+        literal = re.match(r"[A-Za-z -]*", part)[0]
+        out.append((literal[:-1] if part[len(literal) :].startswith("?") else literal).lower())
+    return out
+
+
 def metric_matches(df: DataFrame, text: str = "text", metrics: list[tuple[str, str]] = METRICS) -> DataFrame:
     """The rows with ord (the metric's place), label, pos, before, num, after of each number before a metric's noun.
 
     before is what stands in the 60 characters ahead of the number, after what follows the whole match."""
     c = F.col(text)
+    # A sentence without any of a metric's stems is not searched; the long s is the one letter that lower() leaves.
+    low = F.translate(F.lower(c), "\u017f", "s")
 
     def one(k: int, label: str, noun: str) -> Column:
         # Matches and what lies between them; their lengths add up to the places of the matches.
@@ -72,10 +86,11 @@ def metric_matches(df: DataFrame, text: str = "text", metrics: list[tuple[str, s
                 F.regexp_extract(m, rx, 1).alias("num"), F.regexp_extract(m, rx, 2).alias("noun"), F.substring(c, start + F.length(m) + 1, F.lit(30)).alias("after"),
             )
 
-        return F.when(c.rlike(rx), F.transform(hits, told)).otherwise(F.array())
+        some = reduce(lambda a, b: a | b, [F.contains(F.col("_low"), F.lit(x)) for x in stems(noun)])
+        return F.when(some & c.rlike(rx), F.transform(hits, told)).otherwise(F.array())
 
     hits = [one(k, label, noun) for k, (label, noun) in enumerate(metrics)]
-    return df.select("*", F.explode(F.flatten(F.array(*hits))).alias("_m")).select(*df.columns, "_m.*")
+    return df.withColumn("_low", low).select("*", F.explode(F.flatten(F.array(*hits))).alias("_m")).select(*df.columns, "_m.*")
 
 
 def is_count(before: Column, num: Column, noun: Column, after: Column) -> Column:

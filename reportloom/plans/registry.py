@@ -418,7 +418,7 @@ _FIVE = [m for m in tx.METRICS if m[0] in ("households", "individuals", "IDPs",
 
 
 @query_of("metric_reject", _with(f"{v.V3}, {_ALL_SENT}", rf"""SELECT url, idx, label, num FROM (SELECT url, idx, label, text, regexp_extract(hit, '^({tx.NUMBER})', 1) AS num FROM ({_metric_sql(_FIVE)}))
-WHERE NOT (num::VARCHAR NOT LIKE '%,%' AND num::DOUBLE BETWEEN 1900 AND 2035) AND NOT (starts_with(text, 'An average of ') AND num = regexp_extract(text, '\d+'))""".replace("num::DOUBLE", "replace(num, ',', '')::DOUBLE").replace("num::VARCHAR NOT LIKE", "num NOT LIKE")))
+WHERE NOT (num::VARCHAR NOT LIKE '%,%' AND num::DOUBLE BETWEEN 1900 AND 2035) AND NOT (label IN ('individuals', 'households') AND starts_with(text, 'An average of ') AND num = regexp_extract(text, '\d+'))""".replace("num::DOUBLE", "replace(num, ',', '')::DOUBLE").replace("num::VARCHAR NOT LIKE", "num NOT LIKE")))
 def _(s, d):
     hits = facts.metric_matches(sents(s, d), "text", _FIVE)
     return hits.where(facts.is_count(F.col("before"), F.col("num"), F.col("noun"), F.col("after"))).select("url", "idx", "label", "num")
