@@ -38,6 +38,10 @@ def features(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, "\n"), lambda p: F.array_append(F.regexp_extract_all(p, F.lit(PAIR), F.lit(1)), F.concat(F.lit("\0"), p))))
 
 
+def _mask(k: int) -> int:
+    return 0xFFFFFFFF if k <= EXACT else 0xFFFFFFFFFFFF
+
+
 def vector(feature: Column) -> Column:
     """Aggregate: the array of sums of all features of a group; count of word pairs first."""
     whole = F.startswith(feature, F.lit("\0"))
@@ -50,11 +54,8 @@ def vector(feature: Column) -> Column:
     for h in hashes:
         h = F.when(whole, F.lit(0).cast("long")).otherwise(h)
         pairs += [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANES))) for j in range(SUMS // 2)]
-    return F.array(F.sum(F.when(whole, 0).otherwise(1).cast("long")), *exact, *pairs)
-
-
-def _mask(k: int) -> int:
-    return 0xFFFFFFFF if k <= EXACT else 0xFFFFFFFFFFFF
+    sums = [F.sum(F.when(whole, 0).otherwise(1).cast("long")), *exact, *pairs]
+    return F.array(*[x.bitwiseAND(F.lit(_mask(k))) for k, x in enumerate(sums)])
 
 
 def added(a: Column, b: Column) -> Column:
