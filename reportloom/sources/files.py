@@ -68,7 +68,7 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 def write_script(df: DataFrame, path: str, variable: str) -> None:
     """One text file "variable = [...];" for a page to load; "</" is escaped. For published, small tables."""
     rows = df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("j"))
-    text = F.concat(F.lit(f"{variable} = "), F.regexp_replace("j", "</", "<\\\\\\\\/"), F.lit(";"))
+    text = F.concat(F.lit(f"{variable} = "), F.replace("j", F.lit("</"), F.lit("<\\/")), F.lit(";"))
     rows.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
