@@ -30,8 +30,10 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPLIT_LATIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 BEYOND_LATIN = "[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]"
 #: Bounds of what a worker remembers: pieces, and bytes of a piece.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 CACHE_BYTES = 64
+#: Rows of a batch that goes back with its ids and its decoded texts.
+OUT_ROWS = 150
 NONE = 1 << 62
 
 
@@ -287,7 +289,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
         return work
 
     rows = docs.select(id_col, text_col)
-    return map_batches(rows, make, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, ids binary, decoded string")
+    return map_batches(rows, make, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, ids binary, decoded string", OUT_ROWS)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
