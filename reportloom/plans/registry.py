@@ -161,6 +161,14 @@ def _(s, d):
     return v.read(s, d, "documents").where("lang = 'en'").select("doc_id", classify.document_kind(t).alias("k")).select("doc_id", "k.kind", "k.evidence")
 
 
+@query_of("document_kind_whole")
+def _(s, d):
+    # Whole texts of all rows, where the SQL of document_kind takes the first 200 characters of English ones.
+    k = F.col("doc_id") % 4
+    t = F.concat(F.coalesce("text", F.lit("")), F.when(k == 0, " the Needs Monitoring of all").when(k == 1, " an ATLAS of all").when(k == 2, " a Site Assessment now").otherwise(""))
+    return v.read(s, d, "documents").select("doc_id", classify.document_kind(t).alias("k")).select("doc_id", "k.kind", "k.evidence")
+
+
 # ---- dates and numbers ----
 
 _MON = "(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(left({0}, 3))))"
