@@ -512,6 +512,17 @@ def _(s, d):
     return discovery.reachable(v.edges(s, d), s.range(1).select(F.col("id").alias("node")), 2)
 
 
+@query_of("bfs_reach_whole")
+def _(s, d):
+    # dst takes 1,500 values, so no node is further away than that.
+    return discovery.reachable(v.all_edges(s, d), s.range(1).select(F.col("id").alias("node")), 1501)
+
+
+@query_of("bfs_capped_whole")
+def _(s, d):
+    return discovery.reachable(v.all_edges(s, d), s.range(1).select(F.col("id").alias("node")), 2)
+
+
 @query_of("keyword_seeds", "SELECT 'https://x.example.org/s?q=' || replace(p_name, ' ', '+') || '&p=' || r_regionkey AS url FROM (SELECT DISTINCT p_name FROM part) CROSS JOIN region")
 def _(s, d):
     t = v.read(s, d, "region").select(F.concat(F.lit("https://x.example.org/s?q={q}&p="), F.col("r_regionkey").cast("string")).alias("template"))
@@ -615,6 +626,11 @@ def _(s, d):
     return from_template(s, d).where("key % 2 = 0 AND key % 5 <> 0").select("key", html.body("Example Press (EP),").alias("body"))
 
 
+@query_of("body_slice_whole")
+def _(s, d):
+    return from_template(s, d).select("key", html.body("Example Press (EP),").alias("body"))
+
+
 @query_of("hint_fallback", _with(v.V7, "SELECT c.url, coalesce(CASE WHEN c.m % 3 <> 0 THEN c.t END, 'hint ' || c.url) AS title FROM (SELECT url, min(event_id) AS m, min(title) AS t FROM cache_rows GROUP BY url) c"))
 def _(s, d):
     c = v.cache_rows(s, d).groupBy("url").agg(F.min("event_id").alias("m"), F.min("title").alias("t"))

@@ -150,10 +150,19 @@ V7 = r"""cache_rows AS (
   SELECT '/reports/' || (event_id % 4000) AS url, CASE WHEN event_id % 6 <> 0 THEN (event_id % 4)::INT END AS v, CASE WHEN event_id % 9 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS fetched, event_type = 'error' AS from_listing_only, 'Event ' || user_id AS title, strftime(ts::DATE + (event_id % 31)::INT, '%Y-%m-%d') AS date, event_id FROM events)"""
 
 
+def links(orders: DataFrame) -> DataFrame:
+    """src, dst of orders."""
+    return orders.select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7 + 3) % 1500).alias("dst")).distinct()
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V8: src, dst."""
-    k = F.col("o_orderkey")
-    return read(spark, sf_dir, "orders").where(k % 10 == 0).select(F.col("o_custkey").alias("src"), ((k * 7 + 3) % 1500).alias("dst")).distinct()
+    """V8: src, dst, of a tenth of the orders, as its SQL has it."""
+    return links(read(spark, sf_dir, "orders").where(F.col("o_orderkey") % 10 == 0))
+
+
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst of all orders."""
+    return links(read(spark, sf_dir, "orders"))
 
 
 V8 = "edges AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7 + 3) % 1500 AS dst FROM orders WHERE o_orderkey % 10 = 0)"
