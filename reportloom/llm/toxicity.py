@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, map_batches, table, texts, written
 
-#: Bounds: labelled rows that are learnt from, terms of the model, code points of a decoded word.
+#: Bounds: labelled rows that are learnt from, terms of the model, code points of a decoded word that is kept in the cache.
 TRAIN_ROWS = 200_000
 MODEL_TERMS = 50_000
 LONGEST = 40
@@ -57,6 +57,7 @@ _ODD = re.compile(r"(?=[^\s]*[^\W\d_])(?:[^\W_]|[@$!|+€£(<*.\-_~'`·•]){3,4
 _SIGN_IN = re.compile(r"[^\W\d_][0-9@$!|+€£(<*.\-_~'`·•]+[^\W\d_]|[0-9@$!|€£]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|€£]+", re.U)
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _SPELT = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~'`·•,/]{1,3}[^\W_@$!|]){3,}(?![^\W_])")
+_BETWEEN = re.compile(r"[^\w@$!|+€£(<]+|_+")
 _SUSPECT = re.compile(r"[0-9@$!|+€£(<*\-_~`·•]")
 
 
@@ -128,27 +129,33 @@ class Channel:
         if word in self.seen:
             return self.seen[word]
         logs = self.logs
-        # A state is the last two letters; its value the best log probability and the letters so far.
-        states: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {(0, 0): (0.0, ())}
-        for c in word[:LONGEST]:
-            new: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {}
+        # A state is the last two letters; its value the best log probability and its path: (path before, letter), so that
+        # paths share what they have in common and a word of any length takes linear time and memory.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for c in word:
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (value, so_far) in states.items():
                 for code, cost in self.options(c):
                     if code < 0:
                         steps = [((a, b), value + cost, so_far)]
                     else:
-                        steps = [((b, code), value + cost + logs[a][b][code], (*so_far, code))]
+                        steps = [((b, code), value + cost + logs[a][b][code], (so_far, code))]
                         if code == b and code:
                             steps.append(((a, b), value + cost + COST_REPEAT, so_far))
                     for key, v, path in steps:
                         if key not in new or v > new[key][0]:
                             new[key] = (v, path)
             states = dict(sorted(new.items(), key=lambda x: -x[1][0])[:64])
-        best = max(((v + logs[a][b][0], path) for (a, b), (v, path) in states.items()), default=(0.0, ()))
-        out = "".join(LETTERS[k - 1] if k else " " for k in best[1]) + word[LONGEST:]
-        if len(self.seen) >= 50_000:
-            self.seen.clear()
-        self.seen[word] = out
+        path = max(((v + logs[a][b][0], path) for (a, b), (v, path) in states.items()), key=lambda x: x[0])[1]
+        codes = []
+        while path:
+            path, code = path
+            codes.append(code)
+        out = "".join(LETTERS[k - 1] if k else " " for k in reversed(codes))
+        if len(word) <= LONGEST:
+            if len(self.seen) >= 50_000:
+                self.seen.clear()
+            self.seen[word] = out
         return out
 
     def restored(self, text: str) -> set[str]:
@@ -160,9 +167,15 @@ class Channel:
                 out.add(re.sub(r"(.)\1+", r"\1", m[0]))
         if _SUSPECT.search(text):
             for word in set(text.split()):
-                if _SUSPECT.search(word) and _SIGN_IN.search(word) and len(word) <= LONGEST:
+                if _SUSPECT.search(word) and _SIGN_IN.search(word):
                     out.update(self.decode(word.strip(".,;:!?\"'()[]{}*-_~")).split())
                     out.update(_WORD.findall(self.decode(word)))
+                    # A separator may also stand between words.
+                    pieces = _BETWEEN.split(word)
+                    if len(pieces) > 1:
+                        for piece in pieces:
+                            if _SUSPECT.search(piece) and _SIGN_IN.search(piece):
+                                out.update(self.decode(piece).split())
         for m in _SPELT.finditer(text):
             plain = re.sub(r"[ .\-_*~'`·•,/]+", "", m[0])
             out.add(self.decode(plain) if not plain.isalpha() else plain)
