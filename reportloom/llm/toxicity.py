@@ -3,7 +3,9 @@
 A word with digits or signs among its letters, with a letter three times or more in a row, or spelt with gaps between
 single letters, becomes a lattice: each written character may stand for letters (leetspeak), for nothing (a separator) or for a
 repeat of the letter before. Viterbi decoding under a character trigram model, whose counts come from all texts,
-gives the likeliest word; plain words are their own only reading and are not decoded. The restored text is scored by
+gives the likeliest word; plain words are their own only reading and are not decoded. A run of spelt letters is decoded as one
+word, and each of its gaps may be nothing or a word boundary: all words of the best path and of those at most NEAR below it
+count, as such a model alone doesn't tell well where words end. The restored text is scored by
 evidence: words and word beginnings that labelled texts show to be toxic, chosen by a test whose level allows for the
 number of candidates, so that chance doesn't make evidence when candidates are many; and what extends such a beginning
 and is known well enough, for or against. Each distinct word counts by its most specific term: its log odds of toxic
@@ -47,6 +49,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 GAPS = " .-_*~'`·•,/"
 #: Log costs of the channel: a sign read as a letter, a separator or sign read as nothing, a repeat read as nothing.
 COST_LEET, COST_GAP, COST_REPEAT = -0.7, -0.3, -0.5
+#: Log probability below that of the best path, up to which words of a spelt run are readings.
+NEAR = 8.0
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáçèéêëíîïñóôöùúûüß"
 CODE = {c: k + 1 for k, c in enumerate(LETTERS)}
@@ -56,7 +60,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"(?=[^\s]*[^\W\d_])(?:[^\W_]|[@$!|+€£(<*.\-_~'`·•]){3,40}")
 _SIGN_IN = re.compile(r"[^\W\d_][0-9@$!|+€£(<*.\-_~'`·•]+[^\W\d_]|[0-9@$!|€£]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|€£]+", re.U)
 _THRICE = re.compile(r"([^\W\d_])\1\1")
-_SPELT = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~'`·•,/]{1,3}[^\W_@$!|]){3,}(?![^\W_])")
+_SPACING = r"[\s.\-_*~'`·•,/]+"
+_ONE = r"(?:[^\W_]|[@$!|€£(<+])"
+_SPELT = re.compile(rf"(?<![^\W_]){_ONE}(?:{_SPACING}{_ONE}){{2,}}(?![^\W_])")
+_SPACES = re.compile(_SPACING)
+_LETTER = re.compile(r"[^\W\d_]")
 _BETWEEN = re.compile(r"[^\w@$!|+€£(<]+|_+")
 _SUSPECT = re.compile(r"[0-9@$!|+€£(<*\-_~`·•]")
 
@@ -158,6 +166,53 @@ class Channel:
             self.seen[word] = out
         return out
 
+    def spelt(self, run: str) -> set[str]:
+        """Words of a run of single characters with gaps between them; gaps wider than the least are boundaries as well."""
+        plain = _SPACES.sub("", run)
+        word = plain if plain.isalpha() else self.decode(plain)
+        out = {word}.union(*[self.segments(x) for x in word.split()])
+        widths = [len(x) for x in _SPACES.findall(run)]
+        if min(widths) < max(widths):
+            wide = re.compile(_SPACING[:-1] + f"{{{min(widths) + 1},}}")
+            for part in wide.split(run):
+                part = _SPACES.sub("", part)
+                if len(part) > 1:
+                    out.add(part if part.isalpha() else self.decode(part))
+        return out
+
+    def segments(self, word: str) -> set[str]:
+        """Words into which letters fall if any place between two may be a boundary, on paths at most NEAR below the best."""
+        logs, n = self.logs, len(word)
+        c = [0, 0, *[CODE.get(x, 0) for x in word], 0]
+        # A word [i, j) of two letters or more costs begin[i] + inner[j] + end[j]; what stands before a boundary is known.
+        inner = [0.0]
+        for i in range(n):
+            inner.append(inner[-1] + logs[c[i]][c[i + 1]][c[i + 2]])
+        begin = [logs[c[i + 1]][0][c[i + 2]] + logs[0][c[i + 2]][c[i + 3]] - inner[i + 2] for i in range(n - 1)]
+        end = [logs[c[j]][c[j + 1]][0] for j in range(n + 1)]
+        single = [logs[c[i + 1]][0][c[i + 2]] + logs[0][c[i + 2]][0] for i in range(n)]
+        # Best values up to each boundary, from it on (last), and from inside a word on (ahead).
+        first, best = [0.0], -math.inf
+        for j in range(1, n + 1):
+            if j > 1:
+                best = max(best, first[j - 2] + begin[j - 2])
+            first.append(max(first[j - 1] + single[j - 1], best + inner[j] + end[j]))
+        last, ahead = [0.0] * (n + 1), [-math.inf] * (n + 2)
+        for i in range(n, -1, -1):
+            if i < n:
+                last[i] = max(single[i] + last[i + 1], begin[i] + ahead[i + 2] if i + 1 < n else -math.inf)
+            ahead[i] = max(ahead[i + 1], inner[i] + end[i] + last[i])
+        least = first[n] - NEAR
+        out = set()
+        for i in range(n - 1):
+            if first[i] + last[i] >= least:
+                j = i + 2
+                while j <= n and first[i] + begin[i] + ahead[j] >= least:
+                    if first[i] + begin[i] + inner[j] + end[j] + last[j] >= least:
+                        out.add(word[i:j])
+                    j += 1
+        return out
+
     def restored(self, text: str) -> set[str]:
         """Readings of the suspicious words of a lower-case text."""
         out: set[str] = set()
@@ -177,8 +232,8 @@ class Channel:
                             if _SUSPECT.search(piece) and _SIGN_IN.search(piece):
                                 out.update(self.decode(piece).split())
         for m in _SPELT.finditer(text):
-            plain = re.sub(r"[ .\-_*~'`·•,/]+", "", m[0])
-            out.add(self.decode(plain) if not plain.isalpha() else plain)
+            if _LETTER.search(m[0]):
+                out |= self.spelt(m[0])
         return out
 
 
