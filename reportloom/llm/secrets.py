@@ -62,10 +62,8 @@ def linked_spans(text: str, base: list[Span], short: list[Span], reach: int = RE
     """Weak secrets and endpoints whose complement stands in their scope."""
     ids = [x for x in base if x[2] == "access"]
     strong = [x for x in base if x[2] == "assign"]
-    weak = list(short)
-    if ids:
-        weak += [(m.start(), m.end(), "weak_key") for m in WEAK.finditer(text) if all(p.search(m[0]) for p in MIXED)]
-    ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if ids or short or strong else []
+    weak = short + [(m.start(), m.end(), "weak_key") for m in WEAK.finditer(text) if all(p.search(m[0]) for p in MIXED)]
+    ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if ids or weak or strong else []
     if not (weak or ends):
         return []
     cuts = [m.start() for m in BLANK.finditer(text)]
@@ -85,7 +83,7 @@ def linked_spans(text: str, base: list[Span], short: list[Span], reach: int = RE
 
     found = []
     for x in weak:
-        if near(x, ids) or x[2] == "weak_assign" and near(x, ends):
+        if near(x, ids) or near(x, ends):
             found.append(x)
     secret = sorted([*strong, *found])
     found += [x for x in ends if near(x, ids) and near(x, secret)]
@@ -94,7 +92,7 @@ def linked_spans(text: str, base: list[Span], short: list[Span], reach: int = RE
 
 def scan_text(text: str) -> tuple[list[Span], list[Span]]:
     base, short = base_spans(text)
-    return base, linked_spans(text, base, short) if base or short else []
+    return base, linked_spans(text, base, short)
 
 
 def told(spans: list[Span]) -> str:
