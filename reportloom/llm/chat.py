@@ -4,9 +4,10 @@ Successive prefixes of a conversation are rendered and consecutive outputs compa
 template whose output for a prefix is not a prefix of its next output rewrites history, and is told so instead of
 giving wrong spans. Where the text lies inside a span is found by rendering the same turn with a probe text.
 
-A conversation of any length costs linear work: it is cut into pieces of PIECE turns, and each piece is rendered with
-the turn before it as its context, so that pieces are rendered apart and only joined at the end. So a template may look at the turns so
-far of its piece, and at the one before it; rewrites(template, turns) tests one on whole prefixes.
+Every prefix of the whole conversation is rendered, so that a template may look at all turns so far; this is quadratic in the
+turns. A template that declares itself local (attribute local: what a turn adds depends on it and the one before alone) costs
+linear work: conversations are cut into pieces of PIECE turns, each rendered with the turn before it as its context, so that
+pieces are rendered apart and only joined at the end.
 
 The default template marks turns as "### role: text </turn>" and escapes, in roles and texts, every character that
 could begin a mark by a backslash, and the backslash itself; so the output can be read back.
@@ -45,6 +46,9 @@ def default_template(turns: list[Turn]) -> str:
     return "".join([f"### {_CONTROL.sub(_slash, role)}: {_TEXT_CONTROL.sub(_slash, text)} </turn>\n" for role, text in turns])
 
 
+default_template.local = True
+
+
 def _slash(m: re.Match) -> str:
     return "\\" + m[0]
 
@@ -67,19 +71,15 @@ def rewrites(template: Template, turns: list[Turn]) -> bool:
 def located(template: Template, turns: list[Turn], context: list[Turn] = []) -> tuple[str, list[tuple[int, int, int, int]], bool]:  # noqa: B006
     """(output of turns after the context, for each turn the span's start and end and its text's start and end, whether history was rewritten)."""
     start = last = template(context)
-    spans, lengths, rewritten = [], {}, False
+    spans, rewritten = [], False
     for k, (role, text) in enumerate(turns):
         so_far = context + turns[:k]
         now = template(so_far + [(role, text)])
         rewritten |= not now.startswith(last)
         a, b = len(last) - len(start), len(now) - len(start)
-        key = (role, so_far[-1][0] if so_far else None)
-        if key not in lengths:
-            probe = template(so_far + [(role, PROBE)])[len(last) :]
-            at = probe.find(PROBE)
-            lengths[key] = (at, len(probe) - at - 1) if at >= 0 else None
-        at = lengths[key]
-        spans.append((a, b, a + at[0], b - at[1]) if at else (a, b, b, b))
+        probe = template(so_far + [(role, PROBE)])[len(last) :]
+        at = probe.find(PROBE)
+        spans.append((a, b, a + at, b - (len(probe) - at - 1)) if at >= 0 else (a, b, b, b))
         last = now
     return last[len(start) :], spans, rewritten
 
@@ -98,16 +98,17 @@ def numbered(conversations: DataFrame) -> DataFrame:
 
 
 def formatted(conversations: DataFrame, template: Template = default_template) -> DataFrame:
-    """One row for each piece of PIECE turns: conv_id, piece, formatted, roles, spans, rewritten. spans hold, for each turn, start and end of its span
+    """One row for each piece of PIECE turns, or for each conversation if the template isn't local: conv_id, piece, formatted, roles, spans, rewritten. spans hold, for each turn, start and end of its span
     and of its text, in code points of the piece's output; the outputs of a conversation's pieces joined in order are its output."""
     bounded_batches(conversations.sparkSession, 64)
     rows = numbered(conversations)
-    piece = F.floor(F.col("n") / PIECE)
+    local = getattr(template, "local", False)
+    piece = F.floor(F.col("n") / PIECE) if local else F.lit(0).cast("long")
     turn = F.struct("n", "role", "text")
     # The last turn of a piece is also the context of the next.
     own = rows.select("conv_id", piece.alias("piece"), turn.alias("t"))
     lent = rows.where(F.col("n") % PIECE == PIECE - 1).select("conv_id", (piece + 1).alias("piece"), turn.alias("t"))
-    pieces = own.unionByName(lent).groupBy("conv_id", "piece").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    pieces = (own.unionByName(lent) if local else own).groupBy("conv_id", "piece").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     kind = pa.list_(pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
