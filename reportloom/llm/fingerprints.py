@@ -1,8 +1,8 @@
 """Document fingerprints: a homomorphic multiset hash of the paragraphs of a text, by DataFrame functions only.
 
 Each paragraph (line) is hashed into a wide vector: EXACT sums of 32 bits, from hashes of the whole paragraph, and
-SUMS sums of three 16-bit lanes each, that count the set hash bits of its word pairs. The fingerprint of a text is
-the sum of the vectors of its paragraphs, modulo 2^32 and 2^48. So it does not depend on their order, a paragraph is
+SUMS sums of two 31-bit lanes each, that count the set hash bits of its word pairs: a lane doesn't wrap below 2^30 pairs, more
+than a string can hold. The fingerprint of a text is the sum of the vectors of its paragraphs, modulo 2^32 and 2^62. So it does not depend on their order, a paragraph is
 put in or taken out by adding or subtracting its vector (added, removed), and equal multisets of paragraphs have equal
 fingerprints. A bit of a hash is a random sign; the lanes are a tug-of-war sketch of the multiset of word pairs, whose
 squared distances they estimate: likeness is 1 - |A - B|^2 / (|A|^2 + |B|^2), at least 0.
@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Sums of three 16-bit lanes for word pairs, and of 32 bits for whole paragraphs.
-SUMS = 32
+#: Sums of two lanes for word pairs, and of 32 bits for whole paragraphs.
+SUMS = 48
 EXACT = 8
-LANES = 1 | 1 << 16 | 1 << 32
+LANE = 31
+LANES = 1 | 1 << LANE
+WHOLE = (1 << 2 * LANE) - 1
 #: A word with the next one of its line; the last word of a line alone.
 PAIR = r"(?=(\S++(?:\s++\S++)?))\S++"
 LOWEST = -(1 << 63)
@@ -39,7 +41,7 @@ def features(text: Column) -> Column:
 
 
 def _mask(k: int) -> int:
-    return 0xFFFFFFFF if k <= EXACT else 0xFFFFFFFFFFFF
+    return 0xFFFFFFFF if k <= EXACT else WHOLE
 
 
 def vector(feature: Column) -> Column:
@@ -60,38 +62,32 @@ def vector(feature: Column) -> Column:
 
 def added(a: Column, b: Column) -> Column:
     """Vector of a text with the paragraphs of another put in."""
-    return F.transform(F.zip_with(a, b, lambda x, y: x + y), lambda x, k: x.bitwiseAND(F.when(k <= EXACT, F.lit(0xFFFFFFFF)).otherwise(F.lit(0xFFFFFFFFFFFF))))
+    return F.transform(F.zip_with(a, b, lambda x, y: x + y), lambda x, k: x.bitwiseAND(F.when(k <= EXACT, F.lit(0xFFFFFFFF)).otherwise(F.lit(WHOLE))))
 
 
 def removed(a: Column, b: Column) -> Column:
     """Vector of a text with the paragraphs of another taken out."""
-    return F.transform(F.zip_with(a, b, lambda x, y: x - y), lambda x, k: x.bitwiseAND(F.when(k <= EXACT, F.lit(0xFFFFFFFF)).otherwise(F.lit(0xFFFFFFFFFFFF))))
+    return F.transform(F.zip_with(a, b, lambda x, y: x - y), lambda x, k: x.bitwiseAND(F.when(k <= EXACT, F.lit(0xFFFFFFFF)).otherwise(F.lit(WHOLE))))
 
 
 def as_text(v: Column) -> Column:
-    """A vector's fingerprint as a hex string: 8 digits for the count and each exact sum, 12 for three lanes."""
-    return F.concat(*[F.lpad(F.lower(F.hex(v[k].bitwiseAND(F.lit(_mask(k))))), 8 if k <= EXACT else 12, "0") for k in range(1 + EXACT + SUMS)])
+    """A vector's fingerprint as a hex string: 8 digits for the count and each exact sum, 16 for two lanes."""
+    return F.concat(*[F.lpad(F.lower(F.hex(v[k].bitwiseAND(F.lit(_mask(k))))), 8 if k <= EXACT else 16, "0") for k in range(1 + EXACT + SUMS)])
 
 
 def _square(sums: Column, count: Column) -> Column:
-    """Sum over all lanes of the squared signed sum, from arrays of packed lanes and the count of features."""
-
-    def lane(x: Column, at: int) -> Column:
-        c = F.shiftright(x, at).bitwiseAND(F.lit(0xFFFF))
-        return F.pmod(2 * c - count + 32768, F.lit(65536)) - 32768
-
-    return F.aggregate(sums, F.lit(0.0), lambda s, x: s + sum(F.pow(lane(x, at).cast("double"), F.lit(2.0)) for at in (0, 16, 32)))
+    """Sum of the squared signed sums, from an array of lanes' counts and the count of features."""
+    half = 1 << LANE - 1
+    signed = lambda c: F.pmod(2 * c - count + half, F.lit(2 * half)) - half
+    return F.aggregate(sums, F.lit(0.0), lambda s, c: s + F.pow(signed(c).cast("double"), F.lit(2.0)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: how much of the word pairs of two texts is common, from their vectors."""
-    lanes = lambda v: F.slice(v, 2 + EXACT, SUMS)
-    # Lanes are subtracted with a guard bit each, so that none borrows from its neighbour.
-    guard = 1 << 16 | 1 << 33 | 1 << 50
-    spread = lambda x: x.bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.shiftleft(F.shiftright(x, 16).bitwiseAND(F.lit(0xFFFF)), 17)).bitwiseOR(F.shiftleft(F.shiftright(x, 32).bitwiseAND(F.lit(0xFFFF)), 34))
-    less = F.zip_with(lanes(a), lanes(b), lambda x, y: spread(x) + F.lit(guard) - spread(y))
-    packed = F.transform(less, lambda x: x.bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.shiftleft(F.shiftright(x, 17).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseOR(F.shiftleft(F.shiftright(x, 34).bitwiseAND(F.lit(0xFFFF)), 32)))
-    apart = _square(packed, a[0] - b[0])
+    low = lambda x: x.bitwiseAND(F.lit((1 << LANE) - 1))
+    packed = lambda v: F.slice(v, 2 + EXACT, SUMS)
+    lanes = lambda v: F.concat(F.transform(packed(v), low), F.transform(packed(v), lambda x: low(F.shiftright(x, LANE))))
+    apart = _square(F.zip_with(lanes(a), lanes(b), lambda x, y: x - y), a[0] - b[0])
     both = _square(lanes(a), a[0]) + _square(lanes(b), b[0])
     return F.when(both > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / both))).otherwise(F.when(apart > 0, 0.0).otherwise(1.0))
 
