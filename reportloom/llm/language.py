@@ -2,7 +2,9 @@
 
 Texts: character trigrams of each language, learnt from at most TRAIN_ROWS labelled rows a language; the log
 likelihood of a text is its mean a character times at most EFFECTIVE characters, so that long texts don't drown the
-other evidence, though trigrams overlap. A further class, und, gives every symbol the same probability; the alphabet is Latin, so texts in other scripts are und.
+other evidence, though trigrams overlap. A further class, und, gives every symbol the same probability. Letters outside the Latin alphabet are classed by script
+and hashed code point; those of a script that makes up less than RATE of a language's labelled letters speak against it, so that
+scripts of no labelled language are und.
 Declared language and suffix: P(value | language), smoothed, counted by grouped aggregation over the pages that their texts decide.
 Host: a prior that is smoothed from all pages to suffix, to domain, to host, each level by PRIOR_WEIGHT pages of the level above.
 
@@ -37,11 +39,23 @@ UNKNOWN = "und"
 UNKNOWN_PRIOR = 0.01
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëíîïìñóôöòõøœúûüùßÿ"
-SIZE = len(LETTERS) + 3  # 0: space and signs, then the letters, other letters, digits
-_CODE = np.full(0x10000, len(LETTERS) + 1, np.uint8)
+#: Scripts (code points from, up to) whose letters are classed apart; all other letters are one script more.
+SCRIPTS = ((0x370, 0x400), (0x400, 0x530), (0x590, 0x900), (0x900, 0x1200), (0x3040, 0x3100), (0x3400, 0xA000), (0xAC00, 0xD7B0))
+HASHED = 6
+#: Share of a language's labelled letters from which a script is one of its own.
+RATE = 0.05
+DIGIT = len(LETTERS) + 1
+OTHERS = len(LETTERS) + 2
+SIZE = OTHERS + (len(SCRIPTS) + 1) * HASHED  # 0: space and signs, then the letters, digits, letters by script
+#: Log probability of each symbol in no known language: the letters, signs, digits, and other letters as one.
+FLAT = -float(np.log(len(LETTERS) + 3))
+_CODE = np.zeros(0x10000, np.uint8)
 for _c in range(0x10000):
-    if not chr(_c).isalpha():
-        _CODE[_c] = len(LETTERS) + 2 if chr(_c).isdigit() else 0
+    if chr(_c).isalpha():
+        _s = next((k for k, (a, b) in enumerate(SCRIPTS) if a <= _c < b), len(SCRIPTS))
+        _CODE[_c] = OTHERS + _s * HASHED + (_c * 2654435761 >> 16) % HASHED
+    elif chr(_c).isdigit():
+        _CODE[_c] = DIGIT
 for _k, _x in enumerate(LETTERS):
     _CODE[ord(_x)] = _k + 1
 _LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
@@ -72,17 +86,21 @@ class Model:
             pair /= pair.sum(1, keepdims=True)
             cube = cube + 5 * pair[None]
             logs[:, k] = np.log(cube / cube.sum(2, keepdims=True)).ravel()
-            # Letters of no known alphabet speak against every language, however a few labelled rows use them.
+            # Letters of a script that the labelled rows hardly use speak against the language.
+            used = c.reshape(SIZE, SIZE, SIZE).sum((0, 2))
+            letters = used[1:DIGIT].sum() + used[OTHERS:].sum()
             by = logs[:, k].reshape(SIZE, SIZE, SIZE)
-            by[:, :, len(LETTERS) + 1] = np.minimum(by[:, :, len(LETTERS) + 1], -np.log(SIZE) - 2)
-        logs[:, -1] = -np.log(SIZE)
+            for at in range(OTHERS, SIZE, HASHED):
+                if used[at : at + HASHED].sum() < RATE * letters or not letters:
+                    by[:, :, at : at + HASHED] = np.minimum(by[:, :, at : at + HASHED], FLAT - 2)
+        logs[:, -1] = FLAT
         self.logs = logs
 
     def likelihoods(self, text: str) -> list[float] | None:
         """Log likelihood of each class for at most EFFECTIVE characters, the best 0; None without letters."""
         g = grams(text)
         letters = (g // SIZE) % SIZE
-        if not ((letters > 0) & (letters <= len(LETTERS) + 1)).any():
+        if not ((letters > 0) & (letters != DIGIT)).any():
             return None
         # Summed in pieces, in double precision, so that a very long text takes bounded memory.
         total = np.zeros(len(self.languages))
@@ -111,8 +129,10 @@ def train(docs: DataFrame) -> Model:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.bincount(grams(text), minlength=SIZE**3)
-                sums[lang] = sums[lang] + got if lang in sums else got
+                if lang not in sums:
+                    sums[lang] = np.zeros(SIZE**3, np.int64)
+                held, n = np.unique(grams(text), return_counts=True)
+                sums[lang][held] += n
         for lang, got in sums.items():
             held = np.nonzero(got)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(held.astype(np.int32)), pa.array(got[held].astype(np.int64))], ["lang", "gram", "n"])
