@@ -7,6 +7,11 @@ path of its host that it has; a page that has none of them falls back on its own
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out inside containers as well; a heading inside an
 article's own header stays.
 
+What is left out is told by elements and roles, and by words of classes and ids. A name made up of such words alone ("comments",
+"share-buttons") tells it for certain, unless the element is an article and has a content name as well. A name with further words ("social-issues")
+that doesn't speak of reader comments is doubtful: its element stays if it holds more than half of the page's text or lies on a winning path of the host. Names that speak of
+what an element has beside it ("with-comments", "comment-status-open") tell nothing.
+
 Hosts' winning paths are broadcast only where they are counted to be at most BROADCAST_HOSTS rows of bounded size;
 beyond that, pages are joined with them by host and salt, so that a host with a third of all pages is dealt over SALTS tasks.
 
@@ -17,6 +22,7 @@ rows give equal results; an empty table gives an empty table; further columns ar
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -27,9 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, table, texts, written
 
-#: Paths kept for each host, most code points of a path, and when they are broadcast.
+#: Paths kept for each host, and when they are broadcast.
 PATHS = 3
-PATH_CHARS = 300
 BROADCAST_HOSTS = 10_000
 SALTS = 16
 #: A container's score falls by this for each level between it and a block.
@@ -49,7 +54,9 @@ DROPPED = frozenset("nav footer aside form button select svg canvas object menu
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 STRONG = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored sponsors promo promos promotion comment comments commentlist commenters reply replies respond disqus discussion cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing shares social related recommended recommendations popup modal overlay breadcrumb breadcrumbs pagination pager".split())
 WEAK = frozenset("nav navbar navigation menu header masthead footer sidebar aside widget widgets notice notices notification alert banner toolbar rail skip topbar bottombar copyright".split())
-BESIDE = frozenset("with has no without layout columns".split())
+READERS = frozenset("comment comments commentlist commenters reply replies respond disqus discussion".split())
+BESIDE = frozenset("with has no without layout columns status open closed enabled disabled".split())
+NEUTRAL = frozenset("area areas list lists section sections box boxes wrapper wrap container block blocks body content text item items bar bars inner outer module unit units slot slots button buttons link links icon icons media count counter title heading holder panel group row col column post posts article articles story stories news site page global left right top bottom primary secondary main thread threads policy message cta form forms now here".split())
 CONTENT = frozenset("content main article post entry story body text".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -60,38 +67,67 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "path", "up", "dropped", "headings", "depth", "link", "score", "weight")
+    """An element: dropped if it is left out for certain, doubtful the nearest element (itself or around it) that may be."""
+
+    __slots__ = ("tag", "path", "up", "dropped", "doubtful", "headings", "depth", "link", "score", "weight", "chars")
 
-    def __init__(self, tag: str, path: str, up: Node | None, dropped: bool, headings: bool, link: bool, weight: float):
+    def __init__(self, tag: str, path: bytes, up: Node | None, dropped: bool, headings: bool, link: bool, weight: float):
         self.tag, self.path, self.up, self.dropped, self.headings, self.link, self.weight = tag, path, up, dropped, headings, link, weight
         self.depth = up.depth + 1 if up else 0
+        self.doubtful = up.doubtful if up else None
         self.score = 0.0
+        self.chars = 0
+
+
+def _told(names: list[str]) -> tuple[str, bool, bool]:
+    """What an element's names tell: (certain, doubtful or nothing; is there a content name; is it a header or footer of content)."""
+    told, content, header = "", False, False
+    weak, strong = [], []
+    for name in names:
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words & STRONG:
+            if not words & BESIDE:
+                strong.append(words)
+        elif words & WEAK:
+            weak.append(words)
+            content |= bool(words & CONTENT)
+            header |= not words.isdisjoint(("header", "footer"))
+        elif words & CONTENT:
+            content = True
+    pure = any(words & READERS or all(w in STRONG or w in WEAK or w in NEUTRAL or w.isdigit() for w in words) for words in strong)
+    if strong:
+        told = "certain" if pure and not content else "doubtful"
+    elif weak and not content and not any(words & BESIDE for words in weak):
+        told = "certain" if any(all(w in WEAK or w in NEUTRAL or w.isdigit() for w in words) for words in weak) else "doubtful"
+    return told, content, header and not told
 
 
 def _node(tag: str, attrs: str, up: Node | None) -> Node:
     dropped = up.dropped if up else False
     headings = up.headings if up else False
+    doubtful = False
     label, weight = tag, 1.4 if tag in ("article", "main") else 1.0
     if attrs and not attrs.isspace():
         found = {k.lower(): entities.unescape(v.strip("\"'")) if v else "" for k, v in _ATTR.findall(attrs)}
-        names = f"{found.get('class', '')} {found.get('id', '')}"
-        if names != " ":
-            words = {w.lower() for w in _WORDS.findall(names)}
-            if found.get("class"):
-                label = f"{tag}.{'.'.join(sorted(_DIGITS.sub('', found['class'].lower()).split())[:3])}"
-            if tag not in ("html", "body", "main"):
-                inside = words & CONTENT
-                if words & STRONG:
-                    dropped = True
-                elif words & WEAK:
-                    if not inside and not words & BESIDE:
-                        dropped = True
-                    elif "header" in words or "footer" in words:
-                        headings = True
-                if inside and not dropped:
-                    weight *= 1.2
+        role = found.get("role", "").lower()
+        whole = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody"
+        names = found.get("class", "").split()
+        if names:
+            label = ".".join([tag, *sorted({_DIGITS.sub("", x.lower()) for x in names})])
+        if found.get("id"):
+            names.append(found["id"])
+        if names and tag not in ("html", "body", "main"):
+            told, content, header = _told(names)
+            if whole and (content or told == "doubtful"):
+                told = ""
+            if told == "certain" or told and tag not in BLOCK:
+                dropped = True
+            elif told:
+                doubtful = True
+            headings |= header and not whole
+            if content and not told:
+                weight *= 1.2
         if tag not in ("html", "body"):
-            role = found.get("role", "").lower()
             if role in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "style" in found and _HIDDEN.search(found["style"]):
                 dropped = True
             if role in ("main", "article") or found.get("itemprop") == "articleBody":
@@ -106,14 +142,52 @@ def _node(tag: str, attrs: str, up: Node | None) -> Node:
             headings = True
         else:
             dropped = True
-    path = f"{up.path}>{label}"[:PATH_CHARS] if up else label
-    return Node(tag, path, up, dropped, headings, bool(up and up.link) or tag == "a", weight)
+    # A path is the digest of the labels from the root, so that paths of any depth and width differ and take fixed space.
+    path = hashlib.blake2b((up.path if up else b"") + b">" + label.encode("utf-8", "replace"), digest_size=12).digest()
+    node = Node(tag, path, up, dropped, headings, bool(up and up.link) or tag == "a", weight)
+    if doubtful:
+        node.doubtful = node
+    return node
+
+
+def blocks(source: str, paths: list[bytes] | None = None) -> tuple[list[tuple[str, Node, int]], list[Node]]:
+    """(text, innermost container, link chars) of each block that isn't left out, in page order; all containers. Doubtful
+    elements stay where they hold most of the text or a container on one of the paths lies in them, or around them."""
+    found, containers = read_blocks(source)
+    if not any(node.doubtful for _, node, _ in found):
+        return found, containers
+    total = 0
+    for text, node, _ in found:
+        total += len(text)
+        at = node.doubtful
+        while at:
+            at.chars += len(text)
+            at = at.up.doubtful
+    kept = set()
+    won = set(paths or [])
+    for x in containers if won else []:
+        if x.path in won:
+            at = x
+            while at:
+                kept.add(id(at))
+                at = at.up
+
+    def stays(node: Node) -> bool:
+        at = node.doubtful
+        while at:
+            if 2 * at.chars <= total and id(at) not in kept:
+                return False
+            at = at.up.doubtful
+        return True
+
+    return [x for x in found if stays(x[1])], [x for x in containers if stays(x)]
 
 
-def blocks(source: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
-    """(text, innermost container, link chars) of each block that isn't left out, in page order; all containers."""
-    root = Node("#root", "", None, False, False, False, 1.0)
+def read_blocks(source: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
+    """blocks() with those of doubtful elements."""
+    root = Node("#root", b"", None, False, False, False, 1.0)
     stack, containers, out = [root], [], []
+    over: list[str] = []
     pieces: list[str] = []
     linked = 0
     at, n = 0, len(source)
@@ -123,8 +197,8 @@ def blocks(source: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                node = stack[-1]
-                while node.tag not in CONTAINER and node.up:
+                node = inner = stack[-1]
+                while node.tag not in CONTAINER and node.up and node.up.doubtful is inner.doubtful:
                     node = node.up
                 out.append((text, node, linked))
             pieces.clear()
@@ -153,6 +227,9 @@ def blocks(source: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
         if close:
             if tag in BLOCK:
                 flush()
+            if tag in over:
+                del over[len(over) - 1 - over[::-1].index(tag) :]
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -180,6 +257,7 @@ def blocks(source: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
         if tag in VOID or attrs.endswith("/") and tag in ("img", "input"):
             continue
         if len(stack) > 512:  # deeper nesting than browsers keep: the text belongs to the node above
+            over.append(tag)
             continue
         node = _node(tag, attrs, stack[-1])
         stack.append(node)
@@ -227,21 +305,21 @@ def joined(found: list[tuple[str, Node, int]], chosen: set[int]) -> str:
     return "\n\n".join(out)
 
 
-def votes_of(source: str) -> list[tuple[str, float]]:
-    """(path, share of the page's score) of each scored container."""
+def votes_of(source: str) -> list[tuple[bytes, float]]:
+    """(path, share of the page's score) of each scored container; the best one has a whole vote more."""
     found, containers = blocks(source)
-    ranked = scored(found, containers)[:8]
+    ranked = scored(found, containers)
     total = sum(x.score for x in ranked)
-    out: dict[str, float] = {}
+    out: dict[bytes, float] = {}
     for k, x in enumerate(ranked):
         path = whole_of(x).path if k == 0 else x.path
         out[path] = out.get(path, 0.0) + x.score / total + (k == 0)
     return list(out.items())
 
 
-def extracted(source: str, paths: list[str] | None = None) -> str:
+def extracted(source: str, paths: list[bytes] | None = None) -> str:
     """Text of the containers on the first of the paths that the page has, or of its own best container."""
-    found, containers = blocks(source)
+    found, containers = blocks(source, paths)
     if not found:
         return ""
     for path in paths or []:
@@ -263,7 +341,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     """host, paths: the PATHS best generalised container paths of each host, best first."""
 
     def make():
-        kind = pa.list_(pa.struct([("path", pa.string()), ("share", pa.float64())]))
+        kind = pa.list_(pa.struct([("path", pa.binary()), ("share", pa.float64())]))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             votes = [[{"path": p, "share": s} for p, s in votes_of(t)] for t in texts(batch, 1)]
@@ -271,7 +349,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
         return work
 
-    votes = map_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), make, "host string, votes array<struct<path:string,share:double>>")
+    votes = map_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), make, "host string, votes array<struct<path:binary,share:double>>")
     sums = votes.select("host", F.explode("votes").alias("v")).groupBy("host", F.col("v.path").alias("path")).agg(F.sum(F.round("v.share", 6).cast("decimal(18,6)")).alias("votes"))
     rank = F.row_number().over(W.partitionBy("host").orderBy(F.col("votes").desc(), "path"))
     best = sums.withColumn("rank", rank).where(F.col("rank") <= PATHS)
