@@ -15,14 +15,20 @@ class in the column: the row with the fewest rarer n-grams before it, that is th
 these pairs are verified, the group is one component, whose inner pairs can change nothing. So only rows outside a
 column's largest component are then multiplied with the whole column, where places in the order allow the overlap. No link between
 components is lost, and work follows the rows, not their squares, unless a frequent column holds many rows that are
-nearly but not quite alike.
+nearly but not quite alike. Rows that share a passage but little else aren't such: the passage comes last in their order, where
+too little is left to reach the overlap. Columns, star centres and components with a great share of all rows are dealt over tasks by
+the hash of the other side.
+
+The counters are at most MOST_SKETCH, whatever the input, so they blur as it grows: from about 10^9 documents on, columns of some
+thousand rows aren't told from rare ones any more. That costs work, not links: such columns turn out long and take the frequent ones' way.
 
 N-grams are 64-bit hashes; sets are compared by their lower 48 bits (two sets of 10,000 n-grams agree wrongly in one
 n-gram with probability below one in a million).
 
 Defined results: a text without words (null, empty, white space) has an empty set and is linked with nothing; fewer
-than WORDS words are one n-gram; rows that share an id are versions of one document, in one component; a null id
-is in no component; equal rows give equal results; an empty table gives an empty table; further columns are not read.
+than WORDS words are one n-gram; links are between texts, so rows that share an id but not their text may lie in different
+components, each named by its own least id; a null id is in no component; equal rows give equal results; an empty table gives
+an empty table; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, bounded_batches, map_batches, table, texts, written
+from .common import BATCH_ROWS, bounded_batches, map_batches, removed, restored_batches, split_join, table, texts, unused, written
 
 #: Words of an n-gram; link where 100 x intersection >= SHARE x union.
 WORDS = 5
@@ -47,8 +53,10 @@ LEAST_SKETCH, MOST_SKETCH = 1 << 20, 1 << 26
 SLICES = 16
 #: Rows of a column that is multiplied whole; a longer one is treated like a frequent one.
 LONG = 400
-#: Ids that are broadcast at most (8 bytes each); beyond, texts are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Ids that are broadcast at most (32 bytes each); beyond, texts are joined by shuffle.
+BROADCAST_IDS = 200_000
+#: Power of two of a frequent column's rows that go to one task of its join with its pivots.
+TASK_LEVEL = 17
 #: Words whose hashes a worker remembers.
 MEMO = 300_000
 
@@ -86,6 +94,14 @@ class Shingler:
         return np.unique(s)
 
 
+def signature(h: np.ndarray) -> tuple[np.int64, np.int64]:
+    """Two 64-bit sums that tell sets of hashes apart."""
+    if not len(h):
+        return np.int64(0), np.int64(0)
+    with np.errstate(over="ignore"):
+        return h.sum(dtype=np.uint64).astype(np.int64), ((h ^ (h >> np.uint64(31))) * _ODD[3]).sum(dtype=np.uint64).astype(np.int64)
+
+
 def least_overlap(n: int) -> int:
     """Of a set of n with any partner: ceil(SHARE / 100 n)."""
     return (SHARE * n + 99) // 100
@@ -153,8 +169,8 @@ def levels_of(counters: np.ndarray) -> np.ndarray:
 
 
 def rows_of(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, s1, s2 (signature of the set), columns (the first ones of the common order), often (how many of
-    them are frequent; these are the last)."""
+    """doc_id, h (hash of the text), n, s1, s2 (signature of the set), columns (the first ones of the common order), often (how
+    many of them are frequent; these are the last), levels (of the frequent ones)."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def make():
@@ -163,15 +179,14 @@ def rows_of(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, first, second, often, flat, ends = [], [], [], [], [], [0]
-            for text in texts(batch, 1):
+            tall, tops = [], [0]
+            for text in texts(batch, 2):
                 h = shingler.hashes(text)
                 n = len(h)
-                with np.errstate(over="ignore"):
-                    a = h.sum(dtype=np.uint64) if n else np.uint64(0)
-                    b = ((h ^ (h >> np.uint64(31))) * _ODD[3]).sum(dtype=np.uint64) if n else np.uint64(0)
+                a, b = signature(h)
                 sizes.append(n)
-                first.append(a.astype(np.int64))
-                second.append(b.astype(np.int64))
+                first.append(a)
+                second.append(b)
                 take = n - least_overlap(n) + 1 if n > 3 else 0  # smaller sets are linked with equal ones alone
                 many = 0
                 if take:
@@ -179,22 +194,27 @@ def rows_of(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     if level.any():
                         order = np.argsort(level, kind="stable")[:take]
                         many = int((level[order] > 0).sum())
+                        if many:
+                            tall.append(level[order[take - many :]].astype(np.int8))
                         h = h[order]
                     flat.append(h[:take])
                 often.append(many)
+                tops.append(tops[-1] + many)
                 ends.append(ends[-1] + take)
             columns = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(columns))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists, pa.array(often, pa.int32())], ["doc_id", "n", "s1", "s2", "columns", "often"])
+            heights = pa.ListArray.from_arrays(pa.array(tops, pa.int32()), pa.array(np.concatenate(tall) if tall else np.zeros(0, np.int8)))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists, pa.array(often, pa.int32()), heights], ["doc_id", "h", "n", "s1", "s2", "columns", "often", "levels"])
 
         return work
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n int, s1 long, s2 long, columns array<long>, often int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return map_batches(rows, make, "doc_id long, h long, n int, s1 long, s2 long, columns array<long>, often int, levels array<tinyint>")
 
 
 def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (column, rep, n, often, place) sorted by column: kind 0: pair a, b, how many columns it shares here, and how many it
-    has to share; kind 1: a row b of a column a that is too long, its n and place."""
+    has to share; kind 1: a row b of a column a that is too long, its n and place, and the power of two of its rows as level."""
     rest: list[np.ndarray] | None = None
 
     def product(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +242,7 @@ def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append((np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y]), ask))
         long = np.flatnonzero(here > LONG)
         if len(long):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(long), np.int8)), pa.array(col[long]), pa.array(rep[long]), pa.array(n[long].astype(np.int32)), pa.array(at[long].astype(np.int32))], ["kind", "a", "b", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(long), np.int8)), pa.array(col[long]), pa.array(rep[long]), pa.array(n[long].astype(np.int32)), pa.array(at[long].astype(np.int32)), pa.array(np.log2(here[long]).astype(np.int8))], ["kind", "a", "b", "n", "place", "level"])
         if found:
             a, b, ask = (np.concatenate(x) for x in zip(*found))
             if len(a):
@@ -230,7 +250,7 @@ def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b, ask = a[order], b[order], ask[order]
                 new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
                 count = np.diff(np.append(new, len(a)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(new), np.int8)), pa.array(a[new]), pa.array(b[new]), pa.array(count.astype(np.int32)), pa.array(ask[new].astype(np.int32))], ["kind", "a", "b", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(new), np.int8)), pa.array(a[new]), pa.array(b[new]), pa.array(count.astype(np.int32)), pa.array(ask[new].astype(np.int32)), pa.array(np.zeros(len(new), np.int8))], ["kind", "a", "b", "n", "place", "level"])
 
     for batch in batches:
         part = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
@@ -252,42 +272,49 @@ def overlap_allowed(n: str, at: str, m: str, to: str):
 
 
 def pivoted(dense: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the rows of frequent columns (column, rep, n, place) with the pivots of their size class, and of the neighbouring ones."""
+    """Pairs (a, b) of the rows of frequent columns (column, rep, n, place, level) with the pivots of their size class, and of the
+    neighbouring ones. A column's level, which all its rows know, tells over how many tasks they are dealt."""
     cls = F.floor(F.log("n") / F.log(F.lit(10 / 9)))
-    rows = dense.withColumn("cls", cls)
-    pivots = rows.groupBy("column", "cls").agg(F.min(F.struct("place", "n", "rep")).alias("p"))
-    near = pivots.select(F.col("column").alias("c"), F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("k"), F.col("p.rep").alias("y"), F.col("p.n").alias("yn"), F.col("p.place").alias("yp"))
-    both = rows.join(near, (F.col("column") == F.col("c")) & (F.col("cls") == F.col("k")) & (F.col("rep") != F.col("y")) & overlap_allowed("n", "place", "yn", "yp"))
+    tasks = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.col("level").cast("int") - TASK_LEVEL)).cast("int")
+    rows = dense.withColumn("cls", cls).withColumn("tasks", tasks)
+    pivots = rows.groupBy("column", "cls", "tasks").agg(F.min(F.struct("place", "n", "rep")).alias("p"))
+    near = pivots.select(F.col("column").alias("c"), F.col("tasks").alias("t"), F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("k"), F.col("p.rep").alias("y"), F.col("p.n").alias("yn"), F.col("p.place").alias("yp"))
+    near = near.select("*", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("s"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("tasks")).cast("int"))
+    both = dealt.join(near, (F.col("column") == F.col("c")) & (F.col("cls") == F.col("k")) & (F.col("salt") == F.col("s")) & (F.col("rep") != F.col("y")) & overlap_allowed("n", "place", "yn", "yp"))
     return both.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).distinct()
 
 
 # ---- verification and components ----
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose doc_id is (left_semi) or isn't (left_anti) among the ids, which are broadcast if few."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    named = ids.toDF("_id")
-    return docs.join(F.broadcast(named) if few else named, docs["doc_id"] == F.col("_id"), how)
+def _few(keys: DataFrame) -> DataFrame:
+    """The keys, to be broadcast if they are counted to be few."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else keys
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are linked; nodes: node, rep, s1, s2."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = written(asked.join(nodes, F.col("id") == F.col("node")).select("id", "rep", "s1", "s2"), "jaccard-ids")
 
     def make_sets():
         shingler = Shingler()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            data = []
-            for t in texts(batch, 1):
-                low = np.unique(shingler.hashes(t) & np.uint64((1 << 48) - 1))
-                data.append(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["id", "grams"])
+            held, data = [], []
+            for k, (t, a, b) in enumerate(zip(texts(batch, 1), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                h = shingler.hashes(t)
+                if signature(h) == (a, b):  # rows of this id may have other texts
+                    low = np.unique(h & np.uint64((1 << 48) - 1))
+                    held.append(k)
+                    data.append(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held, pa.int32())), pa.array(data, pa.binary())], ["id", "grams"])
 
         return work
 
-    sets = written(map_batches(with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "left_semi"), make_sets, "id long, grams binary").distinct(), "jaccard-sets")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_few(ids), F.col("doc_id") == F.col("rep"))
+    sets = written(map_batches(rows.select("id", "text", "s1", "s2"), make_sets, "id long, grams binary").distinct(), "jaccard-sets")
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
     sized = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -309,61 +336,81 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
         return work
 
-    return written(map_batches(sized.select("a", "b", "x", "y"), make, "a long, b long").distinct(), "jaccard-links")
+    links = written(map_batches(sized.select("a", "b", "x", "y"), make, "a long, b long").distinct(), "jaccard-links")
+    removed(ids, sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, label (least id of its component) for each end of the edges (a, b), a < b: large star and small star in
-    turn until nothing changes; each round is written, so that lineage stays short."""
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    """id, label (least id of its component) for each end of the edges (a, b): large star and small star in
+    turn until nothing changes, which takes about the logarithm of the longest path; each round is written, so that lineage stays short."""
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
     last = None
-    for _ in range(50):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).select(F.col("u").alias("k"), "m")
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = written(large, "star")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(low, F.col("u") == F.col("k"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")).withColumnRenamed("u", "k"), "star-least")
+        large = written(split_join(both.where("v > u"), "u", least, "k", "c", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "star")
+        removed(now, least)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).withColumnRenamed("u", "k"), "star-least")
+        small = split_join(large, "u", least, "k", "c", "v")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         now = written(small, "star")
+        removed(large, least)
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if last == mark:
-            break
+            return now.select(F.col("u").alias("id"), F.col("v").alias("label"))
         last = mark
-    return now.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, s1, s2 of each document; s1, s2, size, component of each distinct set of n-grams)."""
+    """(doc_id, h, n, s1, s2 of each document; s1, s2, size, component (a number of its own), least (its least id) of each distinct set)."""
     spark = docs.sparkSession
     rows = written(rows_of(docs, levels_of(sketch(docs))), "jaccard-rows")
-    sets = rows.where("n > 3 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "often", "columns")).alias("r"))
-    cells = sets.select(F.col("r.doc_id").alias("rep"), "n", F.col("r.often").alias("often"), F.size("r.columns").alias("size"), F.posexplode("r.columns").alias("place", "column"))
-    cells = cells.withColumn("frequent", F.col("place") >= F.col("size") - F.col("often"))
-    dense = written(cells.where("frequent").select("column", "rep", "n", "place"), "jaccard-dense")
-    dealt = cells.where("NOT frequent").select("column", "rep", "n", "often", "place").repartition("column").sortWithinPartitions("column")
+    sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "often", "columns", "levels")).alias("r"))
+    sets = written(sets.select("s1", "s2", "n", F.col("r.doc_id").alias("rep"), "r.often", "r.columns", "r.levels"), "jaccard-distinct")
+    # A node of the graph is a set's least id; where sets of several texts share theirs, a hash of id and set.
+    shared = written(sets.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("id")), "jaccard-shared")
+    plain = shared.isEmpty()
+    named = sets.withColumn("node", F.col("rep"))
+    if not plain:
+        several = F.col("id").isNotNull()
+        named = sets.join(shared, F.col("rep") == F.col("id"), "left").withColumn("node", F.when(several, F.xxhash64("rep", "s1", "s2", "n")).otherwise(F.col("rep"))).drop("id")
+    nodes = named.select("node", "rep", "s1", "s2")
+    cells = named.where("n > 3").select("node", "n", "often", "levels", F.size("columns").alias("size"), F.posexplode("columns").alias("place", "column"))
+    first = F.col("size") - F.col("often")
+    often = cells.where(F.col("place") >= first).select("column", F.col("node").alias("rep"), "n", "place", F.element_at("levels", (F.col("place") - first + 1).cast("int")).alias("level"))
+    often = written(often, "jaccard-dense")
+    dealt = cells.where(F.col("place") < first).select("column", F.col("node").alias("rep"), "n", "often", "place").repartition("column").sortWithinPartitions("column")
     bounded_batches(spark, 50_000)
-    found = written(dealt.mapInArrow(multiplied, "kind byte, a long, b long, n int, place int"), "jaccard-product")
+    found = written(dealt.mapInArrow(multiplied, "kind byte, a long, b long, n int, place int, level tinyint"), "jaccard-product")
     bounded_batches(spark, BATCH_ROWS)
     counted = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"), F.max("place").alias("ask"))
-    longer = found.where("kind = 1").select(F.col("a").alias("column"), F.col("b").alias("rep"), "n", "place")
+    longer = found.where("kind = 1").select(F.col("a").alias("column"), F.col("b").alias("rep"), "n", "place", "level")
+    dense = often
     if not longer.isEmpty():
         # Columns that turned out long weren't multiplied: what they could add is credited to their rows.
         credit = longer.groupBy("rep").agg(F.count("*").alias("c"))
         counted = counted.join(credit.toDF("a", "ca"), "a", "left").join(credit.toDF("b", "cb"), "b", "left")
         counted = counted.withColumn("ask", F.col("ask") - F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0))))
-        dense = dense.unionByName(longer)
+        dense = often.unionByName(longer)
     pairs = written(counted.where("shared >= ask").select("a", "b").unionByName(pivoted(dense)).distinct(), "jaccard-pairs")
-    links = verified(docs, pairs)
-    labels = written(components(links), "jaccard-labels")
+    links = verified(docs, pairs, nodes)
+    labels = components(links)
     more = crossing(dense, labels, pairs)
     if more is not None:
-        extra = verified(docs, more)
+        extra = verified(docs, more, nodes)
         if not extra.isEmpty():
-            labels = written(components(extra.unionByName(labels.select(F.col("label").alias("a"), F.col("id").alias("b")))), "jaccard-labels")
-    reps = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", F.col("n").alias("size")).agg(F.min("doc_id").alias("rep"))
-    named = reps.join(labels, F.col("rep") == F.col("id"), "left").select("s1", "s2", "size", F.coalesce("label", "rep").alias("component"))
-    return rows.select("doc_id", "n", "s1", "s2"), written(named, "jaccard-classes")
+            labels = components(extra.unionByName(labels.select(F.col("label").alias("a"), F.col("id").alias("b"))))
+    result = named.join(labels, F.col("node") == F.col("id"), "left").select("s1", "s2", F.col("n").alias("size"), "rep", F.coalesce("label", "node").alias("component"))
+    if plain:
+        result = result.withColumn("least", F.col("component"))
+    else:
+        least = result.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("sets"))
+        result = split_join(result, "component", least.withColumnRenamed("component", "of"), "of", "sets", "s1")
+    result = written(result.select("s1", "s2", "size", "component", "least"), "jaccard-classes")
+    removed(sets, shared, often, found, pairs)
+    restored_batches(spark)
+    return rows.select("doc_id", "h", "n", "s1", "s2"), result
 
 
 def crossing(dense: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame | None:
@@ -371,37 +418,55 @@ def crossing(dense: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame
     held = dense.join(labels, F.col("rep") == F.col("id"), "left").select("column", "rep", "n", "place", F.coalesce("label", "rep").alias("label"))
     held = written(held, "jaccard-held")
     sizes = held.groupBy("column", "label").agg(F.count("*").alias("rows"))
-    most = sizes.groupBy("column").agg(F.max(F.struct("rows", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select(F.col("column").alias("c"), F.col("most.label").alias("largest"))
-    few = held.join(most, F.col("column") == F.col("c")).where(F.col("label") != F.col("largest")).select("column", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("label").alias("xl"))
-    few = written(few, "jaccard-few")
+    most = sizes.groupBy("column").agg(F.max(F.struct("rows", "label")).alias("most"), F.sum("rows").alias("rows"), F.count("*").alias("parts")).where("parts > 1")
+    most = written(most.select(F.col("column").alias("c"), F.col("most.label").alias("largest"), "rows"), "jaccard-largest")
+    other = F.col("label") != F.col("largest")
+    few = split_join(held, "column", most.withColumn("held", F.col("rows")), "c", "held", "rep").where(other)
+    few = written(few.select("column", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("label").alias("xl"), "rows"), "jaccard-few")
+    removed(most)
     if few.isEmpty():
+        removed(held, few)
         return None
-    all_rows = held.select(F.col("column").alias("c"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("label").alias("yl"))
-    both = few.join(all_rows, (F.col("column") == F.col("c")) & (F.col("xl") != F.col("yl")) & overlap_allowed("xn", "xp", "yn", "yp"))
+    all_rows = held.select("column", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("label").alias("yl"))
+    both = split_join(all_rows, "column", few.withColumnRenamed("column", "c"), "c", "rows", "y").where((F.col("xl") != F.col("yl")) & overlap_allowed("xn", "xp", "yn", "yp"))
     pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     fresh = written(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-crossing")
+    removed(held, few)
     return None if fresh.isEmpty() else fresh
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, h, n_shingles, component (a number of its own), component_id for each row of docs."""
     rows, named = classes(docs)
-    named = named.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "size", "component")
+    named = named.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "size", "component", "least")
     out = rows.join(named, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") == F.col("size")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), "component", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs."""
+    return placed(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the least of its component; columns as before. Of rows that share an id, one stays."""
-    marked = written(join(docs), "jaccard-marked")
-    gone = marked.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = with_ids(docs, written(gone, "jaccard-gone"), "left_anti")
-    held = marked.where(F.col("doc_id").isNotNull())
-    many = held.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if many.isEmpty():
+    """One row of docs for each component: that of the least id, and of rows that share it that of the least hash of its text;
+    columns as before. Texts without words and rows without an id stay; of rows that share both id and text, one stays: the first by
+    its columns' JSON."""
+    marked = written(placed(docs), "jaccard-marked")
+    gone = marked.where(F.col("component_id") != F.col("doc_id")).select("doc_id", "h")
+    own = marked.where("component IS NOT NULL AND component_id = doc_id")
+    versions = own.groupBy("component").agg(F.min("h").alias("first"), F.max("h").alias("last")).where("first <> last").select(F.col("component").alias("of"), "first")
+    later = own.join(versions, (F.col("component") == F.col("of")) & (F.col("h") != F.col("first"))).select("doc_id", "h")
+    i, j = unused(docs, "_id"), unused(docs, "_h")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(j))
+    kept = docs.join(_few(written(gone.unionByName(later).distinct().toDF(i, j), "jaccard-gone")), same, "left_anti")
+    twice = written(marked.where("doc_id IS NOT NULL").groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h").toDF(i, j), "jaccard-twice")
+    removed(marked)
+    if twice.isEmpty():
         return kept
-    twice = written(many, "jaccard-twice")
-    return with_ids(kept, twice, "left_anti").unionByName(with_ids(kept, twice, "left_semi").dropDuplicates(["doc_id"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.join(_few(twice), same).groupBy(i, j).agg(F.min_by(row, F.to_json(row)).alias(i + "r")).select(f"`{i}r`.*")
+    return kept.join(_few(twice), same, "left_anti").unionByName(once)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
