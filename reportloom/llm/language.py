@@ -6,10 +6,11 @@ other evidence, though trigrams overlap. A further class, und, gives every symbo
 and hashed code point; those of a script that makes up less than RATE of a language's labelled letters speak against it, so that
 scripts of no labelled language are und.
 Declared language and suffix: P(value | language), smoothed, counted by grouped aggregation over the pages that their texts decide.
-Host: a prior that is smoothed from all pages to suffix, to domain, to host, each level by PRIOR_WEIGHT pages of the level above.
+Host: a prior that is smoothed from all pages to domain, to host, each level by PRIOR_WEIGHT pages of the level above. A page's own
+decision is taken out of all the counts that it is then judged by, and the suffix is evidence of its own, not a level of the prior.
 
 Counts are sums by (level, key, language): a host with a third of all pages is summed in every task before the shuffle;
-they are joined to rows of fixed size, never to texts.
+they are joined to rows of fixed size, never to texts. The model that is broadcast grows by 5 MB a labelled language.
 
 Defined results: a text without letters (null or empty ones too) has no text evidence; if nothing else is known
 either, its language is und. Without labelled rows all is und, and keep() keeps all. A null url, host or declaration is a value of its own. Equal rows give equal results; an
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, table, texts, written
+from .common import bounded_batches, map_batches, restored_batches, split_join, table, texts, unused, written
 from .html import extracted, host_of
 
 #: Bounds and weights.
@@ -171,26 +172,34 @@ def fused(rows: DataFrame, languages: list[str]) -> DataFrame:
     total = counts.where("level = 0").groupBy("text_lang").agg(F.sum("n").alias("n")).collect()  # a row a language
     by = {r["text_lang"]: float(r["n"]) for r in total}
     every = sum(by.values())
-    base = [(by.get(k, 0.0) + SMOOTH) / (every + SMOOTH * (n - 1)) for k in range(n - 1)]
-    of = lambda level, name: wide.where(F.col("level") == level).select(F.col("value").alias(f"{name}_key"), F.col("n").alias(f"{name}_n"))
     out = rows
     for level, name in enumerate(["declared", "suffix", "domain", "host"]):
-        out = out.join(of(level, name), F.coalesce(F.col(name), F.lit("")) == F.col(f"{name}_key"), "left").drop(f"{name}_key")
+        key = F.coalesce(F.col(name), F.lit(""))
+        # Rows of a hot host are dealt over tasks; a value that no sure page has keeps its rows by an empty count.
+        counted = wide.where(F.col("level") == level).select("value", F.col("n").alias(f"{name}_n"))
+        every_value = out.groupBy(key.alias("of")).agg(F.count("*").alias("rows")) if level > 1 else None
+        if every_value is None:
+            out = out.join(counted, key == F.col("value"), "left").drop("value")
+        else:
+            told = written(every_value.join(counted, F.col("of") == F.col("value"), "left").drop("value"), "lang-level")
+            out = split_join(out.withColumn("key", key), "key", told, "of", "rows", rows.columns[0]).drop("key", "of")
     values = {level: counts.where(F.col("level") == level).select("value").distinct().count() for level in (0, 1)}
+    # own is 1 where the row itself is one of the counts of language k.
+    out = out.withColumn("told", F.expr(f"CASE WHEN text_sure >= {SURE}D AND text_lang < {n - 1} THEN text_lang ELSE -1 END"))
+    any_own = "CAST(told >= 0 AS DOUBLE)"
     terms = []
-    for k in range(n):
-        if k == n - 1:
-            terms.append(f"loglik[{k}] + ln({UNKNOWN_PRIOR})")
-            continue
-        at = lambda name: f"coalesce({name}_n[{k}], 0D)"  # noqa: E731, B023
-        size = lambda name: f"coalesce(aggregate({name}_n, 0D, (a, x) -> a + x), 0D)"
-        prior = repr(base[k])
-        for name in ("suffix", "domain", "host"):
-            prior = f"(({at(name)} + {PRIOR_WEIGHT} * {prior}) / ({size(name)} + {PRIOR_WEIGHT}))"
-        likely = lambda name, level: f"ln(({at(name)} + {SMOOTH}) / ({by.get(k, 0.0)}D + {SMOOTH * (values[level] + 1)}))"  # noqa: E731, B023
-        terms.append(f"coalesce(loglik[{k}], 0D) + ln({prior}) + {likely('declared', 0)} + {likely('suffix', 1)} + ln({1 - UNKNOWN_PRIOR})")
-    unknown = f"CASE WHEN loglik IS NULL THEN ln({UNKNOWN_PRIOR}) ELSE {terms[-1]} + {' + '.join(f'ln(1D / {values[x] + 1})' for x in (0, 1))} END"
-    out = out.withColumn("logp", F.expr(f"array({', '.join([*terms[:-1], unknown])})"))
+    for k in range(n - 1):
+        own = f"CAST(told = {k} AS DOUBLE)"
+        at = lambda name: f"(coalesce({name}_n[{k}], 0D) - {own})"  # noqa: E731, B023
+        size = lambda name: f"(coalesce(aggregate({name}_n, 0D, (a, x) -> a + x), 0D) - {any_own})"
+        prior = f"(({by.get(k, 0.0)}D - {own} + {SMOOTH}D) / ({every}D - {any_own} + {SMOOTH * (n - 1)}D))"
+        for name in ("domain", "host"):
+            prior = f"(({at(name)} + {PRIOR_WEIGHT}D * {prior}) / ({size(name)} + {PRIOR_WEIGHT}D))"
+        likely = lambda name, level: f"ln(({at(name)} + {SMOOTH}D) / ({by.get(k, 0.0)}D - {own} + {SMOOTH * (values[level] + 1)}D))"  # noqa: E731, B023
+        terms.append(f"coalesce(loglik[{k}], 0D) + ln({prior}) + {likely('declared', 0)} + {likely('suffix', 1)} + ln({1 - UNKNOWN_PRIOR}D)")
+    flat = " + ".join(f"ln(1D / {values[x] + 1})" for x in (0, 1))
+    unknown = f"CASE WHEN loglik IS NULL THEN ln({UNKNOWN_PRIOR}D) ELSE loglik[{n - 1}] + ln({UNKNOWN_PRIOR}D) + {flat} END"
+    out = out.withColumn("logp", F.expr(f"array({', '.join([*terms, unknown])})"))
     out = out.withColumn("best", F.expr(_argmax("logp", n))).withColumn("probability", F.round(F.expr(_softmax_top("logp")), 6))
     names = F.array(*[F.lit(x) for x in languages])
     known_any = F.col("loglik").isNotNull() | F.col("declared").isin(known)
@@ -246,14 +255,17 @@ def keep(docs: DataFrame, least: float = 0.5, learn_from: DataFrame | None = Non
     probability; columns as before. The column lang is what the row declares, its source what stands for its host."""
     model = train(learn_from if learn_from is not None else docs)
     if len(model.languages) == 1:
+        restored_batches(docs.sparkSession)
         return docs
     source = F.coalesce(F.col("source"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), source.alias("host"), F.lit("").alias("suffix"), source.alias("domain"), F.lower("lang").alias("declared"), "text")
     found = fused(likelihoods(rows, model, "text", None), model.languages)
-    out = found.where((F.col("lang") == UNKNOWN) | (F.col("probability") < least) | F.col("loglik").isNull()).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    i, h = unused(docs, "_id"), unused(docs, "_h")
+    out = found.where((F.col("lang") == UNKNOWN) | (F.col("probability") < least) | F.col("loglik").isNull()).select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
     # Few rows are rejected: they are joined by what they are, and all others stay as they are.
     rejected = written(out, "lang-rejected")
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_h")), "left_anti")
+    restored_batches(docs.sparkSession)
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left_anti")
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
