@@ -1,9 +1,10 @@
 """Toxicity: noisy-channel deobfuscation by Viterbi decoding under a character language model, then scoring.
 
-A word with digits or signs among its letters, with a letter three times or more in a row, or spelt with gaps between
+A word with digits or signs among its letters, with letters that are repeated, or spelt with gaps between
 single letters, becomes a lattice: each written character may stand for letters (leetspeak), for nothing (a separator) or for a
 repeat of the letter before. Viterbi decoding under a character trigram model, whose counts come from all texts,
-gives the likeliest word; plain words are their own only reading and are not decoded. A run of spelt letters is decoded as one
+gives the likeliest word: exactly, over all states, for words of any length in linear time. A word with doubled letters also
+reads without them; other plain words are their own only reading and are not decoded. A run of spelt letters is decoded as one
 word, and each of its gaps may be nothing or a word boundary: all words of the best path and of those at most NEAR below it
 count, as such a model alone doesn't tell well where words end. The restored text is scored by
 evidence: words and word beginnings that labelled texts show to be toxic, chosen by a test whose level allows for the
@@ -11,8 +12,8 @@ number of candidates, so that chance doesn't make evidence when candidates are m
 and is known well enough, for or against. Each distinct word counts by its most specific term: its log odds of toxic
 against those of all texts are added up, and the score is their logistic function.
 
-The labelled rows are at most TRAIN_ROWS, of least hash of id. Evidence is fewer than those rows' words and bounded by
-MODEL_TERMS (strongest first); it and the trigram counts, of fixed size, go to the workers.
+The labelled rows are at most TRAIN_ROWS, of least hash of id. Evidence is a part of those rows' words and bounded by
+them alone; it and the trigram counts, of fixed size, go to the workers.
 
 Defined results: a null or empty text scores the smoothed share of toxic rows that show no evidence, as do
 all texts without evidence; without labels that is 0; repeated rows score alike; a doc_id with several labels counts
@@ -30,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, table, texts, written
+from .common import bounded_batches, map_batches, removed, table, texts, written
 
-#: Bounds: labelled rows that are learnt from, terms of the model, code points of a decoded word that is kept in the cache.
+#: Bounds: labelled rows that are learnt from, code points of a word whose readings are kept in the cache, words in it, and
+#: terms that a task counts before it hands them on.
 TRAIN_ROWS = 200_000
-MODEL_TERMS = 50_000
 LONGEST = 40
+CACHED = 50_000
+HELD_TERMS = 200_000
+#: Letters of the longest word that is sought inside a spelt run; the whole run is a reading whatever its length.
+SPELT_WORD = 40
 #: Share of toxic texts above which a term can be evidence.
 EVIDENT = 0.7
 #: Labelled texts that a term which extends a beginning must have.
@@ -58,8 +63,9 @@ SIZE = len(LETTERS) + 1  # 0: word boundary and all else
 
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"(?=[^\s]*[^\W\d_])(?:[^\W_]|[@$!|+€£(<*.\-_~'`·•]){3,40}")
-_SIGN_IN = re.compile(r"[^\W\d_][0-9@$!|+€£(<*.\-_~'`·•]+[^\W\d_]|[0-9@$!|€£]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|€£]+", re.U)
-_THRICE = re.compile(r"([^\W\d_])\1\1")
+_SIGN_IN = re.compile(r"[^\W\d_][0-9@$!|+€£(<*.\-_~'`·•]+[^\W\d_]|(?<![0-9@$!|€£])[0-9@$!|€£]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|€£]+", re.U)
+_TWICE = re.compile(r"([^\W\d_])\1")
+_REPEATS = re.compile(r"(.)\1+")
 _SPACING = r"[\s.\-_*~'`·•,/]+"
 _ONE = r"(?:[^\W_]|[@$!|€£(<+])"
 _SPELT = re.compile(rf"(?<![^\W_]){_ONE}(?:{_SPACING}{_ONE}){{2,}}(?![^\W_])")
@@ -122,6 +128,7 @@ class Channel:
     def __init__(self, logs: np.ndarray):
         self.logs = logs.tolist()
         self.seen: dict[str, str] = {}
+        self.doubled: dict[str, tuple[str, ...]] = {}
 
     def options(self, c: str) -> list[tuple[int, float]]:
         """(letter code, log cost) readings of a written character; code -1 is nothing."""
@@ -153,7 +160,7 @@ class Channel:
                     for key, v, path in steps:
                         if key not in new or v > new[key][0]:
                             new[key] = (v, path)
-            states = dict(sorted(new.items(), key=lambda x: -x[1][0])[:64])
+            states = new
         path = max(((v + logs[a][b][0], path) for (a, b), (v, path) in states.items()), key=lambda x: x[0])[1]
         codes = []
         while path:
@@ -161,7 +168,7 @@ class Channel:
             codes.append(code)
         out = "".join(LETTERS[k - 1] if k else " " for k in reversed(codes))
         if len(word) <= LONGEST:
-            if len(self.seen) >= 50_000:
+            if len(self.seen) >= CACHED:
                 self.seen.clear()
             self.seen[word] = out
         return out
@@ -207,24 +214,37 @@ class Channel:
         for i in range(n - 1):
             if first[i] + last[i] >= least:
                 j = i + 2
-                while j <= n and first[i] + begin[i] + ahead[j] >= least:
+                while j <= min(n, i + SPELT_WORD) and first[i] + begin[i] + ahead[j] >= least:
                     if first[i] + begin[i] + inner[j] + end[j] + last[j] >= least:
                         out.add(word[i:j])
                     j += 1
         return out
 
-    def restored(self, text: str) -> set[str]:
-        """Readings of the suspicious words of a lower-case text."""
+    def without_repeats(self, word: str) -> tuple[str, ...]:
+        """Readings of a word of letters, some of which are repeated: the likeliest if several are or one is thrice, and that without any repeats."""
+        if word in self.doubled:
+            return self.doubled[word]
+        once = _REPEATS.sub(r"\1", word)
+        out = (once, self.decode(word)) if len(word) - len(once) > 1 else (once,)
+        if len(word) <= LONGEST:
+            if len(self.doubled) >= CACHED:
+                self.doubled.clear()
+            self.doubled[word] = out
+        return out
+
+    def restored(self, text: str, words: set[str]) -> set[str]:
+        """Readings of the suspicious words of a lower-case text; words are its runs of letters."""
         out: set[str] = set()
-        if _THRICE.search(text):
-            for m in re.finditer(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*", text):
-                out.add(self.decode(m[0]))
-                out.add(re.sub(r"(.)\1+", r"\1", m[0]))
+        for word in words:
+            if _TWICE.search(word):
+                out.update(self.without_repeats(word))
         if _SUSPECT.search(text):
             for word in set(text.split()):
                 if _SUSPECT.search(word) and _SIGN_IN.search(word):
-                    out.update(self.decode(word.strip(".,;:!?\"'()[]{}*-_~")).split())
-                    out.update(_WORD.findall(self.decode(word)))
+                    bare = word.strip(".,;:!?\"'()[]{}*-_~")
+                    out.update(self.decode(bare).split())
+                    if bare != word:
+                        out.update(_WORD.findall(self.decode(word)))
                     # A separator may also stand between words.
                     pieces = _BETWEEN.split(word)
                     if len(pieces) > 1:
@@ -241,52 +261,83 @@ def terms(text: str, channel: Channel) -> set[str]:
     """Words of the restored text and, marked by a star, their beginnings."""
     text = text.lower()
     words = set(_WORD.findall(text))
-    words |= channel.restored(text)
+    words |= channel.restored(text, words)
     for k in STARTS:
         words |= {f"{w[:k]}*" for w in words if len(w) > k and w[-1] != "*"}
     return words
 
 
-def evidence(labelled: DataFrame, logs: np.ndarray) -> tuple[dict[str, float], float, float]:
-    """(weight of each term of the model, log odds of all texts, share of toxic texts without evidence), from rows of text and toxic."""
+def counted(labelled: DataFrame, logs: np.ndarray) -> DataFrame:
+    """term, n, t: texts and toxic texts of rows (text, toxic) that have it, summed in each task before the shuffle. The term "" has all rows."""
 
-    def make():
-        channel = Channel(logs)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel, held = Channel(logs), {}
 
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([list(terms(t, channel)) for t in texts(batch, 0)], pa.list_(pa.string())), batch.column(1)], ["terms", "toxic"])
+        def put() -> pa.RecordBatch:
+            n = list(held.values())
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x >> 32 for x in n], pa.int64()), pa.array([x & 0xFFFFFFFF for x in n], pa.int64())], ["term", "n", "t"])
+            held.clear()
+            return out
 
-        return work
+        for batch in batches:
+            for text, toxic in zip(texts(batch, 0), batch.column(1).to_pylist()):
+                one = (1 << 32) + (toxic or 0)
+                for x in terms(text, channel):
+                    held[x] = held.get(x, 0) + one
+                held[""] = held.get("", 0) + one
+                if len(held) > HELD_TERMS:
+                    yield put()
+        if held:
+            yield put()
+
+    bounded_batches(labelled.sparkSession)
+    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
+    return rows.mapInArrow(run, "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
-    rows = written(map_batches(labelled.select("text", F.col("toxic").cast("int").alias("toxic")), make, "terms array<string>, toxic int"), "tox-terms")
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    if not total["t"]:
+
+def without(labelled: DataFrame, logs: np.ndarray, known: set[str]) -> tuple[int, int]:
+    """(texts, toxic texts) of rows (text, toxic) that have none of the known terms."""
+    sent = labelled.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel, n, t = Channel(logs), 0, 0
+        for batch in batches:
+            for text, toxic in zip(texts(batch, 0), batch.column(1).to_pylist()):
+                if sent.value.isdisjoint(terms(text, channel)):
+                    n, t = n + 1, t + (toxic or 0)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([t], pa.int64())], ["n", "t"])
+
+    bounded_batches(labelled.sparkSession)
+    got = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "n long, t long").agg(F.sum("n"), F.sum("t")).first()
+    return got[0] or 0, got[1] or 0
+
+
+def evidence(labelled: DataFrame, logs: np.ndarray) -> tuple[dict[str, float], float, float]:
+    """(weight of each term of the model, log odds of all texts, share of toxic texts without evidence), from rows of text and toxic."""
+    counts = written(counted(labelled, logs).where("n >= 3 OR term = ''"), "tox-counts")
+    total = counts.where("term = ''").first()
+    if total is None or not total["t"]:
         return {}, -20.0, 0.0
+    counts = counts.where("n >= 3 AND term <> ''")
     base = total["t"] / total["n"]
-    counts = written(rows.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where("n >= 3"), "tox-counts")
     candidates = counts.where("t >= 3").count()
     # Log likelihood ratio of the term's own rate against the base rate, above the number of candidates.
     rate = F.col("t") / F.col("n")
     gain = F.col("t") * F.log(rate / base) + F.when(F.col("n") > F.col("t"), (F.col("n") - F.col("t")) * F.log((1 - rate) / (1 - base))).otherwise(0.0)
-    good = counts.where("t >= 3").where(rate > EVIDENT).withColumn("gain", gain).where(F.col("gain") > math.log(max(candidates, 1)) + 3)
-    best = good.orderBy(F.col("gain").desc(), "term").limit(MODEL_TERMS).collect()  # bounded by MODEL_TERMS
-    starts = [r["term"][:-1] for r in best if r["term"][-1] == "*"]
+    best = counts.where("t >= 3").where(rate > EVIDENT).where(gain > math.log(max(candidates, 1)) + 3).collect()  # bounded by TRAIN_ROWS
     model = {r["term"]: (r["n"], r["t"]) for r in best}
+    known = set(model)
+    starts = {r["term"][:-1] for r in best if r["term"][-1] == "*"}
     if starts:
         # What extends a beginning that is evidence, whichever way it speaks.
-        of = docs_of(rows.sparkSession, sorted(starts))
+        of = labelled.sparkSession.createDataFrame([(x,) for x in sorted(starts)], "start string")
         for k in STARTS:
-            more = counts.where(F.col("n") >= KNOWN).join(F.broadcast(of.where(F.length("start") == k)), F.substring("term", 1, k) == F.col("start"))
-            model |= {r["term"]: (r["n"], r["t"]) for r in more.orderBy(F.col("n").desc(), "term").limit(MODEL_TERMS).collect()}
+            more = counts.where(F.col("n") >= KNOWN).join(of.where(F.length("start") == k), F.substring("term", 1, k) == F.col("start"))
+            model |= {r["term"]: (r["n"], r["t"]) for r in more.collect()}  # bounded by TRAIN_ROWS
     odds = math.log(base / (1 - base)) if base < 1 else 20.0
-    weights = {k: math.log((t + 0.5 * base) / (n - t + 0.5 * (1 - base) + 1e-9)) - odds for k, (n, t) in model.items()}
-    found = F.array(*[F.lit(r["term"]) for r in best[:300]])
-    none = rows.where(~F.arrays_overlap("terms", found)).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first() if best else {"n": total["n"], "t": total["t"]}
-    return weights, odds, (none["t"] + 0.5 * base) / (none["n"] + 0.5)
-
-
-def docs_of(spark: SparkSession, starts: list[str]) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in starts], "start string")
+    weights = {k: math.log((t + 0.5 * base) / (n - t + 0.5 * (1 - base) + 1e-9)) - odds for k, (n, t) in sorted(model.items())}
+    n, t = without(labelled, logs, known) if known else (total["n"], total["t"])
+    return weights, odds, (t + 0.5 * base) / (n + 0.5)
 
 
 class Scorer:
@@ -297,7 +348,7 @@ class Scorer:
     def score(self, text: str) -> float:
         text = text.lower()
         words = set(_WORD.findall(text))
-        words |= self.channel.restored(text)
+        words |= self.channel.restored(text, words)
         first, weights, k0 = self.first, self.weights, STARTS[0]
         terms = set()
         for w in words:
@@ -326,6 +377,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = written(docs.select("doc_id", "text").join(least, "doc_id").select("text", "toxic"), "tox-train")
     logs = log_model(trigram_counts(docs))
     sent = docs.sparkSession.sparkContext.broadcast((logs, *evidence(labelled, logs)))
+    removed(labelled)
 
     def make():
         scorer = Scorer(*sent.value)
