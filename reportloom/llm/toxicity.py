@@ -68,7 +68,7 @@ _TWICE = re.compile(r"([^\W\d_])\1")
 _REPEATS = re.compile(r"(.)\1+")
 _SPACING = r"[\s.\-_*~'`·•,/]+"
 _ONE = r"(?:[^\W_]|[@$!|€£(<+])"
-_SPELT = re.compile(rf"(?<![^\W_]){_ONE}(?:{_SPACING}{_ONE}){{2,}}(?![^\W_])")
+_SPELT = re.compile(rf"{_ONE}(?=[\s.\-_*~'`·•,/])(?<![^\W_].)(?:{_SPACING}{_ONE}){{2,}}(?![^\W_])")
 _SPACES = re.compile(_SPACING)
 _LETTER = re.compile(r"[^\W\d_]")
 _BETWEEN = re.compile(r"[^\w@$!|+€£(<]+|_+")
@@ -128,7 +128,7 @@ class Channel:
     def __init__(self, logs: np.ndarray):
         self.logs = logs.tolist()
         self.seen: dict[str, str] = {}
-        self.doubled: dict[str, tuple[str, ...]] = {}
+        self.tokens: dict[str, tuple[str, ...]] = {}
 
     def options(self, c: str) -> list[tuple[int, float]]:
         """(letter code, log cost) readings of a written character; code -1 is nothing."""
@@ -220,50 +220,98 @@ class Channel:
                     j += 1
         return out
 
-    def without_repeats(self, word: str) -> tuple[str, ...]:
-        """Readings of a word of letters, some of which are repeated: the likeliest if several are or one is thrice, and that without any repeats."""
-        if word in self.doubled:
-            return self.doubled[word]
+    def of_word(self, word: str) -> tuple[str, ...]:
+        """Readings of a run of letters, some of which are repeated: the likeliest if several are or one is thrice, and that without any repeats."""
         once = _REPEATS.sub(r"\1", word)
-        out = (once, self.decode(word)) if len(word) - len(once) > 1 else (once,)
-        if len(word) <= LONGEST:
-            if len(self.doubled) >= CACHED:
-                self.doubled.clear()
-            self.doubled[word] = out
-        return out
-
-    def restored(self, text: str, words: set[str]) -> set[str]:
-        """Readings of the suspicious words of a lower-case text; words are its runs of letters."""
+        return (once, self.decode(word)) if len(word) - len(once) > 1 else (once,)
+
+    def of_token(self, token: str) -> tuple[str, ...]:
+        """Readings of what stands between white space and has signs or digits among its letters."""
+        if (known := self.tokens.get(token)) is not None:
+            return known
+        bare = token.strip(".,;:!?\"'()[]{}*-_~")
+        out = set(self.decode(bare).split())
+        if bare != token:
+            out.update(_WORD.findall(self.decode(token)))
+        # A separator may also stand between words.
+        pieces = _BETWEEN.split(token)
+        if len(pieces) > 1:
+            for piece in pieces:
+                if _SUSPECT.search(piece) and _SIGN_IN.search(piece):
+                    out.update(self.decode(piece).split())
+        readings = tuple(out)
+        if len(token) <= LONGEST:
+            if len(self.tokens) >= CACHED:
+                self.tokens.clear()
+            self.tokens[token] = readings
+        return readings
+
+    def of_text(self, text: str) -> set[str]:
+        """Readings of the suspicious tokens and spelt runs of a lower-case text."""
         out: set[str] = set()
-        for word in words:
-            if _TWICE.search(word):
-                out.update(self.without_repeats(word))
         if _SUSPECT.search(text):
-            for word in set(text.split()):
-                if _SUSPECT.search(word) and _SIGN_IN.search(word):
-                    bare = word.strip(".,;:!?\"'()[]{}*-_~")
-                    out.update(self.decode(bare).split())
-                    if bare != word:
-                        out.update(_WORD.findall(self.decode(word)))
-                    # A separator may also stand between words.
-                    pieces = _BETWEEN.split(word)
-                    if len(pieces) > 1:
-                        for piece in pieces:
-                            if _SUSPECT.search(piece) and _SIGN_IN.search(piece):
-                                out.update(self.decode(piece).split())
+            for token in set(text.split()):
+                if _SUSPECT.search(token) and _SIGN_IN.search(token):
+                    out.update(self.of_token(token))
         for m in _SPELT.finditer(text):
             if _LETTER.search(m[0]):
                 out |= self.spelt(m[0])
         return out
 
+    def restored(self, text: str, words: set[str] | None = None) -> set[str]:
+        """Readings of the suspicious words of a lower-case text; words are its runs of letters."""
+        out = self.of_text(text)
+        for word in set(_WORD.findall(text)) if words is None else words:
+            if _TWICE.search(word):
+                out.update(self.of_word(word))
+        return out
+
+
+class Known:
+    """The terms of a text that are among those given, the most specific one of each word or reading."""
+
+    def __init__(self, channel: Channel, given: set[str] | dict[str, float]):
+        self.channel, self.given = channel, given
+        self.first = {x[: STARTS[0]] for x in given}
+
+    def term(self, word: str) -> str | None:
+        if word in self.given:
+            return word
+        for k in reversed(STARTS):
+            if len(word) > k and (x := f"{word[:k]}*") in self.given:
+                return x
+        return None
+
+    def terms(self, text: str) -> set[str]:
+        text = text.lower()
+        words = set(_WORD.findall(text))
+        words |= self.channel.restored(text, words)
+        first, k = self.first, STARTS[0]
+        return {x for w in words if w[:k] in first and (x := self.term(w))}
+
+
+def terms(self, text: str) -> set[str]:
+        text = text.lower()
+        cache, out = self.cache, set()
+        for word in set(_WORD.findall(text)):
+            got = cache.get(word)
+            if got is None:
+                got = tuple({x for w in (word, *self.channel.of_word(word)) if (x := self.term(w))})
+                self.channel._kept(cache, word, got)
+            if got:
+                out.update(got)
+        out.update(x for w in self.channel.of_text(text) if (x := self.term(w)))
+        return out
+
 
 def terms(text: str, channel: Channel) -> set[str]:
     """Words of the restored text and, marked by a star, their beginnings."""
     text = text.lower()
     words = set(_WORD.findall(text))
     words |= channel.restored(text, words)
+    longer = [w for w in words if len(w) > STARTS[0]]
     for k in STARTS:
-        words |= {f"{w[:k]}*" for w in words if len(w) > k and w[-1] != "*"}
+        words.update([w[:k] + "*" for w in longer if len(w) > k])
     return words
 
 
@@ -300,10 +348,10 @@ def without(labelled: DataFrame, logs: np.ndarray, known: set[str]) -> tuple[int
     sent = labelled.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel, n, t = Channel(logs), 0, 0
+        of, n, t = Known(Channel(logs), sent.value), 0, 0
         for batch in batches:
             for text, toxic in zip(texts(batch, 0), batch.column(1).to_pylist()):
-                if sent.value.isdisjoint(terms(text, channel)):
+                if not of.terms(text):
                     n, t = n + 1, t + (toxic or 0)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([t], pa.int64())], ["n", "t"])
 
@@ -342,27 +390,13 @@ def evidence(labelled: DataFrame, logs: np.ndarray) -> tuple[dict[str, float], f
 
 class Scorer:
     def __init__(self, logs: np.ndarray, weights: dict[str, float], odds: float, rest: float):
-        self.channel, self.weights, self.odds, self.rest = Channel(logs), weights, odds, rest
-        self.first = {k[: STARTS[0]] for k in weights}
+        self.known, self.weights, self.odds, self.rest = Known(Channel(logs), weights), weights, odds, rest
 
     def score(self, text: str) -> float:
-        text = text.lower()
-        words = set(_WORD.findall(text))
-        words |= self.channel.restored(text, words)
-        first, weights, k0 = self.first, self.weights, STARTS[0]
-        terms = set()
-        for w in words:
-            if w[:k0] in first:
-                if w in weights:
-                    terms.add(w)
-                    continue
-                for k in reversed(STARTS):
-                    if len(w) > k and (x := f"{w[:k]}*") in weights:
-                        terms.add(x)
-                        break
-        if not terms:
+        found = self.known.terms(text)
+        if not found:
             return self.rest
-        total = self.odds + sum(sorted(weights[x] for x in terms))
+        total = self.odds + sum(sorted(self.weights[x] for x in found))
         return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, total))))
 
 
