@@ -69,6 +69,7 @@ _REPEATS = re.compile(r"(.)\1+")
 _SPACING = r"[\s.\-_*~'`·•,/]+"
 _ONE = r"(?:[^\W_]|[@$!|€£(<+])"
 _SPELT = re.compile(rf"{_ONE}(?=[\s.\-_*~'`·•,/])(?<![^\W_].)(?:{_SPACING}{_ONE}){{2,}}(?![^\W_])")
+_SPELT_HINT = re.compile(rf"{_SPACING[:-1]}{_ONE}{_SPACING}{_ONE}(?![^\W_])")  # the second and third of a run: tells fast where there is none
 _SPACES = re.compile(_SPACING)
 _LETTER = re.compile(r"[^\W\d_]")
 _BETWEEN = re.compile(r"[^\w@$!|+€£(<]+|_+")
@@ -251,9 +252,9 @@ class Channel:
         out: set[str] = set()
         if _SUSPECT.search(text):
             for token in set(text.split()):
-                if _SUSPECT.search(token) and _SIGN_IN.search(token):
+                if not token.isalpha() and _SUSPECT.search(token) and _SIGN_IN.search(token):
                     out.update(self.of_token(token))
-        for m in _SPELT.finditer(text):
+        for m in _SPELT.finditer(text) if _SPELT_HINT.search(text) else ():
             if _LETTER.search(m[0]):
                 out |= self.spelt(m[0])
         return out
@@ -272,6 +273,8 @@ class Known:
 
     def __init__(self, channel: Channel, given: set[str] | dict[str, float]):
         self.channel, self.given = channel, given
+        # A run of letters and its readings begin alike: by its first two letters, or, if these are equal, by the first.
+        self.one, self.two = {x[0] for x in given}, {x[:2] for x in given}
         self.first = {x[: STARTS[0]] for x in given}
 
     def term(self, word: str) -> str | None:
@@ -284,26 +287,12 @@ class Known:
 
     def terms(self, text: str) -> set[str]:
         text = text.lower()
-        words = set(_WORD.findall(text))
+        one, two, first, k = self.one, self.two, self.first, STARTS[0]
+        words = {w for w in set(_WORD.findall(text)) if w[:2] in two or w[0] == w[1:2] and w[0] in one}
         words |= self.channel.restored(text, words)
-        first, k = self.first, STARTS[0]
         return {x for w in words if w[:k] in first and (x := self.term(w))}
 
 
-def terms(self, text: str) -> set[str]:
-        text = text.lower()
-        cache, out = self.cache, set()
-        for word in set(_WORD.findall(text)):
-            got = cache.get(word)
-            if got is None:
-                got = tuple({x for w in (word, *self.channel.of_word(word)) if (x := self.term(w))})
-                self.channel._kept(cache, word, got)
-            if got:
-                out.update(got)
-        out.update(x for w in self.channel.of_text(text) if (x := self.term(w)))
-        return out
-
-
 def terms(text: str, channel: Channel) -> set[str]:
     """Words of the restored text and, marked by a star, their beginnings."""
     text = text.lower()
