@@ -273,9 +273,18 @@ class Known:
 
     def __init__(self, channel: Channel, given: set[str] | dict[str, float]):
         self.channel, self.given = channel, given
-        # A run of letters and its readings begin alike: by its first two letters, or, if these are equal, by the first.
-        self.one, self.two = {x[0] for x in given}, {x[:2] for x in given}
         self.first = {x[: STARTS[0]] for x in given}
+        self.begins: dict[str, bool] = {}
+        self.cache: dict[str, tuple[str, ...]] = {}
+
+    def may_begin(self, start: str) -> bool:
+        """Can a run of letters that begins so, or a reading of it, be a given term? A reading drops repeats alone, so it begins alike
+        unless there is one."""
+        found = start in self.first or _TWICE.search(start) is not None
+        if len(self.begins) >= CACHED:
+            self.begins.clear()
+        self.begins[start] = found
+        return found
 
     def term(self, word: str) -> str | None:
         if word in self.given:
@@ -287,10 +296,21 @@ class Known:
 
     def terms(self, text: str) -> set[str]:
         text = text.lower()
-        one, two, first, k = self.one, self.two, self.first, STARTS[0]
-        words = {w for w in set(_WORD.findall(text)) if w[:2] in two or w[0] == w[1:2] and w[0] in one}
-        words |= self.channel.restored(text, words)
-        return {x for w in words if w[:k] in first and (x := self.term(w))}
+        first, k, begins, told = self.first, STARTS[0], self.begins, self.may_begin
+        words = [w for w in set(_WORD.findall(text)) if (told(w[:k]) if (b := begins.get(w[:k])) is None else b)]
+        cache, out = self.cache, set()
+        for w in words:
+            if (got := cache.get(w)) is None:
+                readings = (w, *self.channel.of_word(w)) if _TWICE.search(w) else (w,)
+                got = tuple({x for r in readings if r[:k] in first and (x := self.term(r))})
+                if len(w) <= LONGEST:
+                    if len(cache) >= CACHED:
+                        cache.clear()
+                    cache[w] = got
+            if got:
+                out.update(got)
+        out.update([x for r in self.channel.of_text(text) if r[:k] in first and (x := self.term(r))])
+        return out
 
 
 def terms(text: str, channel: Channel) -> set[str]:
