@@ -55,6 +55,8 @@ def days_apart(a: Column, b: Column) -> Column:
     return F.abs(F.datediff(F.try_to_date(F.substring(a, 1, 10)), F.try_to_date(F.substring(b, 1, 10))))
 
 
+#: The day on which records of version 2 were read, and the labels of a date's basis.
+FIRST_READ = "2026-09-24"
 NO_PAGE_DATE = "date in title (page shows no publication date)"
 NO_SITE_DATE = "no date on the site (counted on the day it was read)"
 

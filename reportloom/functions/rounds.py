@@ -20,15 +20,15 @@ def round_number(title: Column, stop: str, products: list[str]) -> Column:
     """Number of a round report: "round 44" first, then a product phrase and a number, then a roman "Round XXII"; null
     where a stop phrase (a pattern) is in the title."""
     first = lambda rx: F.nullif(F.regexp_extract(title, rx, 1), F.lit(""))
-    arabic = F.coalesce(first(r"(?iu)\bround\s*#?\s*(\d{1,2})\b"), first(rf"(?iu)(?:{'|'.join(products)})\s*#?\s*(\d{{1,2}})\b"))
+    arabic = F.coalesce(first(r"(?iuU)\bround\s*#?\s*(\d{1,2})\b"), first(rf"(?iuU)(?:{'|'.join(products)})\s*#?\s*(\d{{1,2}})\b"))
     letters = first(r"\b[Rr]ound\s+([IVXL]{1,7})\b")
-    return F.when(~title.rlike(f"(?iu){stop}"), F.coalesce(arabic.cast("int"), roman(letters)))
+    return F.when(~title.rlike(f"(?iuU){stop}"), F.coalesce(arabic.try_cast("int"), roman(letters)))
 
 
 def zone(title: Column, pattern: str, inside: str, outside: str) -> Column:
-    return F.when(title.rlike(f"(?iu){pattern}"), inside).otherwise(outside)
+    return F.when(title.rlike(f"(?iuU){pattern}"), inside).otherwise(outside)
 
 
 def is_main(title: Column, positive: str, negative: str) -> Column:
     """A round's main report, not one of its lists or dashboards."""
-    return title.rlike(f"(?iu){positive}") & ~title.rlike(f"(?iu){negative}")
+    return title.rlike(f"(?iuU){positive}") & ~title.rlike(f"(?iuU){negative}")

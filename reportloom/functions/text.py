@@ -88,11 +88,15 @@ def local_subject(before: Column, after: Column, label: Column) -> Column:
     first listed word in the 30 after it, up to the next digit. Equal places go to the word listed first."""
     low = F.lower(before)
     tail = F.lower(F.split_part(F.regexp_replace(after, r"\d", "\u0001"), F.lit("\u0001"), F.lit(1)))
+    # The best place is bound by a lambda: named as an expression, it would be evaluated, and its code made, once for each use.
     places = F.array(*[F.struct(last_locate(w, low).alias("at"), F.lit(-k).alias("k"), F.lit(s).alias("s")) for k, (w, s) in enumerate(SUBJECTS)])
-    best = F.array_max(places)
-    start = F.greatest(F.lit(0), best["at"] - 12)
-    window = F.substring(low, start + 1, best["at"] + 25 - start)
-    near = F.when((best["s"] == "displaced") & window.contains("internally displaced"), "IDPs").otherwise(best["s"])
+
+    def told_by(best: Column) -> Column:
+        start = F.greatest(F.lit(0), best["at"] - 12)
+        window = F.substring(low, start + 1, best["at"] + 25 - start)
+        return F.when(best["at"] >= 0, F.when((best["s"] == "displaced") & window.contains("internally displaced"), "IDPs").otherwise(best["s"]))
+
+    near = F.element_at(F.transform(F.array(F.array_max(places)), told_by), 1)
     behind = F.coalesce(*[F.when(tail.contains(w), s) for w, s in SUBJECTS], F.lit(""))
     told = F.coalesce(*[F.when(label == k, v) for k, v in LABEL_SUBJECTS.items()], F.lit(None).cast("string"))
-    return F.coalesce(told, F.when(best["at"] >= 0, near).otherwise(behind))
+    return F.coalesce(told, near, behind)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalised
@@ -56,7 +56,7 @@ def _norm(text: str) -> str:
 
 
 def in_scope(title: Column, tax: Taxonomy) -> Column:
-    return title.rlike(f"(?iu){tax.scope}") if tax.scope else F.lit(True)
+    return title.rlike(f"(?iuU){tax.scope}") if tax.scope else F.lit(True)
 
 
 def _ordered(names: list[str], test) -> Column:
@@ -67,16 +67,42 @@ def _ordered(names: list[str], test) -> Column:
 def states(text: Column, tax: Taxonomy) -> Column:
     """States whose pattern is in the text, in taxonomy order."""
     text = F.coalesce(text, F.lit(""))
-    return _ordered(tax.states, lambda s: text.rlike(f"(?iu){tax.pattern(s)}"))
+    return _ordered(tax.states, lambda s: text.rlike(f"(?iuU){tax.pattern(s)}"))
 
 
-def classified(title: Column, summary: Column, tax: Taxonomy) -> Column:
+@dataclass
+class Noted:
+    """What several rules ask of a record, as columns: normalised title and summary, states named in the title."""
+
+    title: Column
+    summary: Column
+    states: Column
+
+
+def noted(df: DataFrame, title: Column, summary: Column, tax: Taxonomy) -> tuple[DataFrame, Noted]:
+    """The rows with these columns projected once, and the columns. Rules that name the expressions themselves would have them
+    evaluated anew in each."""
+    names = []
+    for name in ("_title", "_summary", "_states"):
+        while name in df.columns:
+            name += "_"
+        names.append(name)
+    out = df.select("*", normalised(title).alias(names[0]), normalised(summary).alias(names[1]), states(title, tax).alias(names[2]))
+    return out, Noted(*[F.col(x) for x in names])
+
+
+def noted_of(title: Column, summary: Column, tax: Taxonomy) -> Noted:
+    return Noted(normalised(title), normalised(summary), states(title, tax))
+
+
+def classified(title: Column, summary: Column, tax: Taxonomy, n: Noted | None = None) -> Column:
     """struct(key, label, matched_on): the first rule that hits, all rules on the title before any on the summary.
 
     One CASE chain over two normalised texts; evaluation stops at the first hit."""
-    has_state = F.size(states(title, tax)) > 0
+    n = n or noted_of(title, summary, tax)
+    has_state = F.size(n.states) > 0
     out = None
-    for where, c in (("title", normalised(title)), ("summary", normalised(summary))):
+    for where, c in (("title", n.title), ("summary", n.summary)):
         for rule in tax.rules:
             veto = F.lit(False)
             for x in rule.exclude:
@@ -93,17 +119,17 @@ def classified(title: Column, summary: Column, tax: Taxonomy) -> Column:
     return none if out is None else out.otherwise(none)
 
 
-def regions(title: Column, summary: Column, found_states: Column, tax: Taxonomy) -> Column:
+def regions(title: Column, summary: Column, found_states: Column, tax: Taxonomy, n: Noted | None = None) -> Column:
     """States named in the title decide; else those found, and aliases in the title; else aliases in the summary."""
     region_of = {s: r.name for r in tax.regions for s in r.states}
     names = [r.name for r in tax.regions]
-    own = states(title, tax)
+    n = n or noted_of(title, summary, tax)
+    own = n.states
     of = lambda array, name: F.arrays_overlap(array, F.array(*[F.lit(s) for s, r in region_of.items() if r == name] or [F.lit(None).cast("string")]))
     alias = {r.name: "|".join(rf"(?<![a-z]){re.escape(a.lower())}(?![a-z])" for a in r.aliases) or r"(?!)" for r in tax.regions}
     by_title = _ordered(names, lambda n: F.coalesce(of(own, n), F.lit(False)))
-    t, s = normalised(title), normalised(summary)
-    mixed = _ordered(names, lambda n: F.coalesce(of(found_states, n), F.lit(False)) | t.rlike(alias[n]))
-    last = _ordered(names, lambda n: s.rlike(alias[n]))
+    mixed = _ordered(names, lambda r: F.coalesce(of(found_states, r), F.lit(False)) | n.title.rlike(alias[r]))
+    last = _ordered(names, lambda r: n.summary.rlike(alias[r]))
     return F.when(F.size(own) > 0, by_title).when(F.size(mixed) > 0, mixed).otherwise(last)
 
 
@@ -119,7 +145,7 @@ def default_region(key: Column, date: Column, found_states: Column, tax: Taxonom
 def subject_states(summary: Column, tax: Taxonomy) -> Column:
     """States named as "X State(s)" in the opening sentence."""
     opening = F.split(F.coalesce(summary, F.lit("")), r"(?<=[.!?])\s", 2)[0]
-    names = F.array_join(F.regexp_extract_all(opening, F.lit(r"([A-Z][a-zA-Z_0-9]+(?:\s[A-Z][a-z]+)?)\s+States?\b"), F.lit(1)), " ")
+    names = F.array_join(F.regexp_extract_all(opening, F.lit(r"(?U)([A-Z][a-z]+(?:\s[A-Z][a-z]+)?)\s+States?\b"), F.lit(1)), " ")
     return states(names, tax)
 
 
@@ -148,36 +174,52 @@ def allowed(found: Column, key: Column, tax: Taxonomy) -> Column:
     return out
 
 
+#: The phrases of each kind, in order of precedence, and the most characters of evidence before and after them.
+KINDS = [
+    ("needs", r"needs?\s+monitoring", 70, 70),
+    ("atlas", r"(?:idp and returnee atlas|idp atlas|\batlas\b)", 70, 50),
+    ("atlas", r"(?:baseline assessment|site assessment|mobility tracking)", 60, 60),
+]
+
+
 def document_kind(text: Column) -> Column:
-    """struct(kind, evidence): needs before atlas before baseline words in a document's text."""
-    # The phrases of each kind, in order of precedence, and the width of the evidence around them.
+    """struct(kind, evidence): needs before atlas before baseline words in a document's text. The first place of a phrase is
+    searched, and the evidence cut from what is around it, so that long texts take linear time."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")
-    cut = lambda rx: F.regexp_extract(t, f"(?iu){rx}", 0)
-    needs = cut(r".{0,70}needs?\s+monitoring.{0,70}")
-    atlas = cut(r".{0,70}(idp and returnee atlas|idp atlas|\batlas\b).{0,50}")
-    base = cut(r".{0,60}(baseline assessment|site assessment|mobility tracking).{0,60}")
-    told = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.trim(c).alias("evidence"))
-    return F.when(needs != "", told("needs", needs)).when(atlas != "", told("atlas", atlas)).when(base != "", told("atlas", base)).otherwise(told("unknown", F.lit("")))
+    out = None
+    for kind, phrase, before, after in KINDS:
+        at = F.regexp_instr(t, F.lit(f"(?iuU){phrase}"))
+        start = F.greatest(at - before, F.lit(1))
+        # Near the beginning a later phrase may lie in reach as well; so the window holds one that begins before characters later.
+        window = F.substring(t, start, F.lit(2 * before + after + 60))
+        found = F.struct(F.lit(kind).alias("kind"), F.trim(F.regexp_extract(window, f"(?iuU).{{0,{before}}}{phrase}.{{0,{after}}}", 0)).alias("evidence"))
+        out = F.when(at > 0, found) if out is None else out.when(at > 0, found)
+    return out.otherwise(F.struct(F.lit("unknown").alias("kind"), F.lit("").alias("evidence")))
 
 
-def record(df, tax: Taxonomy, as_of: str):
+def record(df: DataFrame, tax: Taxonomy, as_of: str, seen: Column | None = None) -> DataFrame:
     """All of it for columns title, summary, date_raw, date, fetched, and, where there are such, pdf_text and series
-    (put before the summary for the type alone)."""
-    from ..functions.dates import parse_date, resolved, title_date, year_from_title
+    (put before the summary, but for the column itself). seen is the day of reading by which a page without a date is told; by default
+    that of fetched, and for records of version 2, where there is a column v, the day that FIRST_READ names."""
+    from ..functions.dates import FIRST_READ, parse_date, resolved, title_date, year_from_title
 
     title, summary = F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))
-    told = F.concat_ws(" ", F.array_join("series", " "), summary) if "series" in df.columns else summary
-    c = df.where(in_scope(title, tax)).withColumn("_c", classified(title, told, tax))
-    own = states(title, tax)
+    told = F.trim(F.concat_ws(" ", F.array_join("series", " "), summary)) if "series" in df.columns else summary
+    if seen is None and "v" in df.columns:
+        seen = F.coalesce(F.col("fetched"), F.when(F.col("v") == 2, F.lit(FIRST_READ)))
+    c, n = noted(df.where(in_scope(title, tax)), title, told, tax)
+    c = c.withColumn("_c", classified(title, told, tax, n))
+    own = n.states
     if tax.states_from_summary:
-        own = F.when(F.size(own) > 0, own).otherwise(states(summary, tax))
+        own = F.when(F.size(own) > 0, own).otherwise(states(told, tax))
     cover = F.col("pdf_text.text") if "pdf_text" in df.columns else F.lit("")
-    steps = [subject_states(summary, tax), cover_states(cover, tax), gazetteer_states(summary, tax)]
+    steps = [subject_states(told, tax), cover_states(cover, tax), gazetteer_states(told, tax)]
     fallback = F.when(F.size(steps[0]) > 0, steps[0]).when(F.size(steps[1]) > 0, steps[1]).otherwise(steps[2])
     found = F.when((F.size(own) == 0) & F.col("_c.key").isin(tax.subject_state_from_summary), fallback).otherwise(own)
     c = c.withColumn("states", allowed(found, F.col("_c.key"), tax))
-    c = c.withColumn("_d", resolved(F.coalesce(parse_date(F.col("date_raw")), F.col("date")), title, F.col("fetched"), as_of))
+    c = c.withColumn("_d", resolved(F.coalesce(parse_date(F.col("date_raw")), F.col("date")), title, F.col("fetched"), as_of, seen))
     c = c.withColumn("component_key", F.col("_c.key")).withColumn("component", F.col("_c.label")).withColumn("matched_on", F.col("_c.matched_on"))
     c = c.withColumn("date", F.col("_d.date")).withColumn("date_basis", F.col("_d.basis")).withColumn("period_date", title_date(title))
     c = c.withColumn("year", F.when(F.col("date").isNotNull(), F.substring("date", 1, 4).cast("int")).otherwise(year_from_title(title)))
-    return c.withColumn("regions", F.coalesce(default_region(F.col("component_key"), F.col("date"), F.col("states"), tax), regions(title, summary, F.col("states"), tax))).drop("_c", "_d")
+    c = c.withColumn("regions", F.coalesce(default_region(F.col("component_key"), F.col("date"), F.col("states"), tax), regions(title, told, F.col("states"), tax, n)))
+    return c.select(*df.columns, *[x for x in ("component_key", "component", "matched_on", "states", "date", "date_basis", "period_date", "year", "regions") if x not in df.columns])

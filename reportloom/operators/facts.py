@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import METRICS, NUMBER, local_subject, number, sentence_key, sentences, subject
 
@@ -65,40 +67,42 @@ def stems(noun: str) -> list[str]:
 
 
 def metric_matches(df: DataFrame, text: str = "text", metrics: list[tuple[str, str]] = METRICS) -> DataFrame:
-    """The rows with ord (the metric's place), label, pos, before, num, after of each number before a metric's noun.
-
-    before is what stands in the 60 characters ahead of the number, after what follows the whole match."""
-    c = F.col(text)
-    # A sentence without any of a metric's stems is not searched; the long s is the one letter that lower() leaves.
-    low = F.translate(F.lower(c), "\u017f", "s")
-
-    def one(k: int, label: str, noun: str) -> Column:
-        # Matches and what lies between them; their lengths add up to the places of the matches.
-        rx = rf"(?iu)({NUMBER})(\s+(?:\w+\s+){{0,2}}?(?:{noun})\b)"
-        hits, between = F.regexp_extract_all(c, F.lit(rx), F.lit(0)), F.split(c, rx)
-        length = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda t, x: t + F.length(x))
-
-        def told(m: Column, i: Column) -> Column:
-            start = length(between, i + 1) + length(hits, i)
-            first = F.greatest(start - 60, F.lit(0))
-            return F.struct(
-                F.lit(k).alias("ord"), F.lit(label).alias("label"), i.alias("pos"), F.substring(c, first + 1, start - first).alias("before"),
-                F.regexp_extract(m, rx, 1).alias("num"), F.regexp_extract(m, rx, 2).alias("noun"), F.substring(c, start + F.length(m) + 1, F.lit(30)).alias("after"),
-            )
-
-        some = reduce(lambda a, b: a | b, [F.contains(F.col("_low"), F.lit(x)) for x in stems(noun)])
-        return F.when(some & c.rlike(rx), F.transform(hits, told)).otherwise(F.array())
-
-    hits = [one(k, label, noun) for k, (label, noun) in enumerate(metrics)]
-    return df.withColumn("_low", low).select("*", F.explode(F.flatten(F.array(*hits))).alias("_m")).select(*df.columns, "_m.*")
+    """The rows with ord (the metric's place), label, pos, before, num, noun, after of each number before a metric's noun.
+
+    before is what stands in the 60 characters ahead of the number, after what follows the whole match. One pass over Arrow
+    batches: the patterns are compiled once a task, and those without a stem in the sentence are skipped. As expressions, matches with
+    their places take a plan of 22 nested searches that outgrows generated code. A null text has no matches."""
+    at = df.columns.index(text)
+    wanted = [(k, label, stems(noun), rf"({NUMBER})(\s+(?:\w+\s+){{0,2}}?(?:{noun})\b)") for k, (label, noun) in enumerate(metrics)]
+    names = ["ord", "label", "pos", "before", "num", "noun", "after"]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = [(k, label, some, re.compile(rx, re.I)) for k, label, some, rx in wanted]
+        for batch in batches:
+            rows, found = [], []
+            for n, s in enumerate(batch.column(at).to_pylist()):
+                # The long s is the one letter that matches a stem's and that lower() leaves.
+                low = s.lower().replace("\u017f", "s") if s else ""
+                for k, label, some, rx in patterns:
+                    if any(x in low for x in some):
+                        for pos, m in enumerate(rx.finditer(s)):
+                            rows.append(n)
+                            found.append((k, label, pos, s[max(0, m.start() - 60) : m.start()], m[1], m[2], s[m.end() : m.end() + 30]))
+            columns = list(zip(*found)) or [()] * len(names)
+            kept = batch.take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(c, t) for c, t in zip(columns, kinds)]], [*batch.schema.names, *names])
+
+    told = T.StructType([*df.schema.fields, *[T.StructField(n, T.IntegerType() if n in ("ord", "pos") else T.StringType()) for n in names]])
+    return df.mapInArrow(run, told)
 
 
 def is_count(before: Column, num: Column, noun: Column, after: Column) -> Column:
     """Not a year, a share, an average, a rate or a fraction."""
     value = number(num)
     year = value.between(1900, 2035) & ~num.contains(",")
-    percent = F.concat(num, noun, F.substring(after, 1, 3)).rlike(r"(?iu)\d\s*%|per ?cent")
-    averaged = F.lower(F.right(before, F.lit(22))).rlike(r"average|size of|\bper\b|ratio|rate of")
+    percent = F.concat(num, noun, F.substring(after, 1, 3)).rlike(r"(?iuU)\d\s*%|per ?cent")
+    averaged = F.lower(F.right(before, F.lit(22))).rlike(r"(?U)average|size of|\bper\b|ratio|rate of")
     return value.isNotNull() & ~year & ~percent & ~averaged & (value == F.floor(value))
 
 
@@ -106,7 +110,7 @@ def figures(sents: DataFrame, keys: list[str], metrics: list[tuple[str, str]] =
     """keys, ord, label, value, idx, subject, source: each (label, value, subject) of a report once, where it comes first."""
     hits = metric_matches(sents, "text", metrics).where(is_count(F.col("before"), F.col("num"), F.col("noun"), F.col("after")))
     who = local_subject(F.col("before"), F.col("after"), F.col("label"))
-    told = hits.withColumn("subject", F.when(who != "", who).otherwise(subject(F.col("text")))).withColumn("value", number(F.col("num")).cast("long"))
+    told = hits.select("*", who.alias("_who")).withColumn("subject", F.when(F.col("_who") != "", F.col("_who")).otherwise(subject(F.col("text")))).withColumn("value", number(F.col("num")).cast("long"))
     first = told.groupBy(*keys, "label", "value", "subject").agg(F.min(F.struct("idx", "ord", "pos", "source")).alias("f"))
     order = F.row_number().over(W.partitionBy(*keys).orderBy("f.idx", "f.ord", "f.pos")) - 1
     return first.select(*keys, order.alias("ord"), "label", "value", F.col("f.idx").alias("idx"), "subject", F.col("f.source").alias("source"))

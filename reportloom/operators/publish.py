@@ -29,6 +29,24 @@ def additions_or_last(old: DataFrame, new: DataFrame, last: DataFrame, limit: in
     return fresh.unionByName(last.join(fresh.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left").where("_any IS NULL").drop("_any"))
 
 
+#: Columns whose change makes a new publication.
+FINGERPRINT = ("url", "title", "date", "component_key", "regions", "states", "round", "round_zone", "mt_main", "matched_on", "date_basis", "period_date", "pdf")
+
+
+def status_row(old: DataFrame | None, new: DataFrame, last_changed: str | None, now: str, seconds: float | None = None, columns: tuple[str, ...] = FINGERPRINT) -> DataFrame:
+    """One row: checked_at, last_changed, count, changed_this_run, new_this_run, crawl_seconds. Without an old snapshot all is changed
+    and nothing new; where nothing changed, last_changed is that of the last run."""
+    total = new.agg(F.count("*").alias("count"))
+    if old is None:
+        found = total.select("*", F.lit(True).alias("changed_this_run"), F.lit(0).cast("long").alias("new_this_run"))
+    else:
+        differ = changed_rows(old, new, list(columns)).agg((F.count("*") > 0).alias("changed_this_run"))
+        fresh = additions(old, new).agg(F.count("*").alias("new_this_run"))
+        found = total.crossJoin(differ).crossJoin(fresh)  # one row each
+    kept = F.when(F.col("changed_this_run"), F.lit(now)).otherwise(F.coalesce(F.lit(last_changed), F.lit(now)))
+    return found.select(F.lit(now).alias("checked_at"), kept.alias("last_changed"), "count", "changed_this_run", "new_this_run", F.lit(seconds).cast("double").alias("crawl_seconds"))
+
+
 def joined(c: Column) -> Column:
     return F.array_join(c, "; ")
 
@@ -38,7 +56,11 @@ def csv_rows(df: DataFrame) -> DataFrame:
     return df.select("id", "year", "date", "component", joined(F.col("regions")).alias("regions"), joined(F.col("states")).alias("states"), "title", "url", "pdf", "matched_on")
 
 
-def counters(df: DataFrame, scoped: Column, unclassified: Column, key: Column) -> DataFrame:
-    """One row: rows skipped by scope, duplicates among the rest, rows that no rule matched."""
+def counters(df: DataFrame, scoped: Column, unclassified: Column, key: Column, figures: DataFrame | None = None) -> DataFrame:
+    """One row: rows skipped by scope, duplicates among the rest, rows that no rule matched; with figures, their number and that
+    of the reports that have some."""
     kept = F.when(scoped, key)
+    if figures is not None:
+        told = figures.agg(F.count("*").alias("figures"), F.count_distinct("url").alias("reports_with_figures"))
+        return counters(df, scoped, unclassified, key).crossJoin(told)  # one row each
     return df.agg(F.count_if(~scoped).alias("skipped"), (F.count(kept) - F.count_distinct(kept)).alias("dupes"), F.count_if(scoped & unclassified).alias("unclassified"))

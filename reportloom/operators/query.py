@@ -26,20 +26,22 @@ def facets(components: list[str] = (), years: list[int] = (), months: list[int]
 
 
 def count_by(df: DataFrame, group_by: str = "none") -> DataFrame:
-    """key, n: total, and reports for each value of a facet; of several values each counts."""
-    total = df.agg(F.lit("total").alias("key"), F.count("*").alias("n"))
+    """key, n: total, and reports for each value of a facet; of several values each counts. One pass: the total counts the first
+    value of each report, and a rollup sums both."""
     if group_by == "none":
-        return total
-    none = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit("(none)")))
+        return df.agg(F.lit("total").alias("key"), F.count("*").alias("n"))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit("(none)")))
     names = F.array(*[F.lit(m) for m in MONTHS])
-    value = {
-        "month": F.coalesce(F.try_element_at(names, F.substring("date", 6, 2).try_cast("int")), F.lit("(no month)")),
-        "year": F.coalesce(F.col("year").cast("string"), F.lit("None")),
-        "component": F.col("component"),
-        "region": F.explode(none("regions")),
-        "state": F.explode(none("states")),
+    values = {
+        "month": F.array(F.coalesce(F.try_element_at(names, F.substring("date", 6, 2).try_cast("int")), F.lit("(no month)"))),
+        "year": F.array(F.coalesce(F.col("year").cast("string"), F.lit("None"))),
+        "component": F.array(F.col("component")),
+        "region": some("regions"),
+        "state": some("states"),
     }[group_by]
-    return total.unionByName(df.select(value.alias("key")).groupBy("key").agg(F.count("*").alias("n")))
+    sums = df.select(F.posexplode(values).alias("at", "key")).rollup("key").agg(F.count("*").alias("each"), F.count_if(F.col("at") == 0).alias("whole"), F.grouping("key").alias("all"))
+    every = F.col("all") == 1
+    return sums.select(F.when(every, "total").otherwise(F.col("key")).alias("key"), F.when(every, F.col("whole")).otherwise(F.col("each")).alias("n"))
 
 
 def listed(df: DataFrame, limit: int | None = None) -> DataFrame:

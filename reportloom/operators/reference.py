@@ -69,5 +69,5 @@ def notes(idp: Column, idp_sum: Column, ret: Column, ret_sum: Column) -> Column:
 
 def with_known(df: DataFrame, known: DataFrame, key: str, column: str) -> DataFrame:
     """The column, replaced where the known table (key, column; one row a round) has a value."""
-    k = F.broadcast(known.select(F.col(key).alias("_k"), F.col(column).alias("_v")))
+    k = known.select(F.col(key).alias("_k"), F.col(column).alias("_v"))
     return df.join(k, F.col(key) == F.col("_k"), "left").withColumn(column, F.coalesce("_v", column)).drop("_k", "_v")

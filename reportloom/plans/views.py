@@ -10,6 +10,8 @@ from ..operators.classify import Region, Rule, Taxonomy
 #: The day on which the test runs stand.
 AS_OF = "2016-06-30"
 
+#: Names under which summaries speak of the nations, in the order of their numbers.
+STATE_NAMES = "Alba Borea Cetra Dorum Elva Fonda Garra Hestia Ilmar Jorva Kelda Lunor Morva Nessa Orlan Pelda Quira Ronda Selma Torva Ulmar Vesta Wilma Xanta Yelva".split()
 TAXONOMY = Taxonomy(
     rules=[
         Rule("urgent", "Urgent reports", ["1-urgent"], exclude=["middle east"]),
@@ -27,6 +29,7 @@ TAXONOMY = Taxonomy(
     default_region={"urgent": [("2015-01-01", "Asia")], "ring": [("2017-01-01", "Europe")]},
     component_states={"needs": ["NATION_0", "NATION_2", "NATION_20"]},
     subject_state_from_summary=["ewer", "ring"],
+    state_patterns={f"NATION_{k}": rf"\b(?:nation_{k}|{x.lower()})\b" for k, x in enumerate(STATE_NAMES)},
     gazetteer={"Ringville": ["NATION_2"], "Boltham": ["NATION_3", "NATION_7"], "Widgetby": ["NATION_5"]},
     round_ranges={"AFRICA": (40, 50), "ASIA": (10, 12)},
     scope=r"^\s*(africa|asia|europe|am[eé]rica)\b",
@@ -41,14 +44,14 @@ def report_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: url, title, summary, date_raw, date, fetched, key, nation, zone, round, status, price."""
     t = lambda n: read(spark, sf_dir, n)
     o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    o = o.join(t("part").where("p_partkey < 200"), F.col("o_orderkey") % 200 == F.col("p_partkey"))
+    o = o.join(t("part"), F.col("o_orderkey") % 200 + 1 == F.col("p_partkey"))  # every order has a part
     day = F.add_months(F.to_date("o_orderdate"), 18 * 12)
     told = F.date_format(day, "d MMMM yyyy")
     k = F.col("o_orderkey")
     return o.select(
         F.concat(F.lit("/reports/"), k.cast("string")).alias("url"),
         F.concat("r_name", F.lit(" — "), "n_name", F.lit(" "), "o_orderpriority", F.lit(" Report Round "), (k % 60).cast("string"), F.lit(" ("), told, F.lit(")")).alias("title"),
-        F.concat(F.lit("The "), "p_name", F.lit(" of "), F.concat(F.lit("NATION_"), (k % 25).cast("string")), F.when(k % 4 == 0, " State").otherwise(""), F.when(k % 3 == 0, " saw fewer delays.").otherwise(" went on near Ringville."), F.lit(" More in Widgetby.")).alias("summary"),
+        F.concat(F.lit("The "), "p_name", F.lit(" of "), F.element_at(F.array(*[F.lit(x) for x in STATE_NAMES]), (k % 25 + 1).cast("int")), F.when(k % 4 == 0, " State").otherwise(""), F.when(k % 3 == 0, " saw fewer delays.").otherwise(" went on near Ringville."), F.lit(" More in Widgetby.")).alias("summary"),
         F.when(k % 5 == 0, F.concat(F.lit("no date | "), F.date_format(day, "MMM d, yyyy"))).when(k % 5 == 1, F.concat(F.date_format(day, "d MMM yyyy"), F.lit(" | 2001-01-01T00:00"))).when(k % 5 == 2, F.concat(F.date_format(F.date_add(day, 900), "yyyy-MM-dd"), F.lit("T10:00"))).otherwise("").alias("date_raw"),
         F.when(k % 7 != 0, F.date_format(day, "yyyy-MM-dd")).alias("date"),
         F.when(k % 2 == 0, F.date_format(F.date_add(day, F.when(k % 3 == 0, 900).otherwise(1)), "yyyy-MM-dd")).alias("fetched"),
@@ -56,10 +59,10 @@ def report_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-V1 = """report_titles AS (
+V1 = f"""report_titles AS (
   SELECT '/reports/' || o_orderkey AS url,
     r_name || ' — ' || n_name || ' ' || o_orderpriority || ' Report Round ' || (o_orderkey % 60) || ' (' || strftime(day, '%-d %B %Y') || ')' AS title,
-    'The ' || p_name || ' of NATION_' || (o_orderkey % 25) || CASE WHEN o_orderkey % 4 = 0 THEN ' State' ELSE '' END
+    'The ' || p_name || ' of ' || {STATE_NAMES!r}[o_orderkey % 25 + 1] || CASE WHEN o_orderkey % 4 = 0 THEN ' State' ELSE '' END
       || CASE WHEN o_orderkey % 3 = 0 THEN ' saw fewer delays.' ELSE ' went on near Ringville.' END || ' More in Widgetby.' AS summary,
     CASE o_orderkey % 5 WHEN 0 THEN 'no date | ' || strftime(day, '%b %-d, %Y') WHEN 1 THEN strftime(day, '%-d %b %Y') || ' | 2001-01-01T00:00'
       WHEN 2 THEN strftime(day + 900, '%Y-%m-%d') || 'T10:00' ELSE '' END AS date_raw,
@@ -68,7 +71,7 @@ V1 = """report_titles AS (
     o_orderkey AS key, n_name AS nation, r_name AS zone, (o_orderkey % 60)::INT AS round, o_orderstatus AS status, o_totalprice AS price, o_orderpriority AS priority, year(day)::INT AS year
   FROM (SELECT *, (o_orderdate::DATE + INTERVAL 18 YEAR)::DATE AS day FROM orders)
   JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  JOIN (SELECT * FROM part WHERE p_partkey < 200) p ON o_orderkey % 200 = p_partkey)"""
+  JOIN part ON o_orderkey % 200 + 1 = p_partkey)"""
 
 #: Normalised text in SQL; {0} is the text.
 NORM = r"""(' ' || trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[‐-―]', '-', 'g'), '[^\p{{L}}\p{{N}}_&/\-\s]', ' ', 'g'), '\s+', ' ', 'g')) || ' ')"""
@@ -76,7 +79,7 @@ TITLE_KEY = r"trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 
 def states_sql(text: str) -> str:
-    parts = ", ".join(rf"CASE WHEN regexp_matches({text}, '(?i)\b{s.lower()}\b') THEN '{s}' END" for s in TAXONOMY.states)
+    parts = ", ".join(rf"CASE WHEN regexp_matches({text}, '(?i){TAXONOMY.pattern(s)}') THEN '{s}' END" for s in TAXONOMY.states)
     return f"list_filter([{parts}], lambda x: x IS NOT NULL)"
 
 
@@ -156,13 +159,8 @@ def links(orders: DataFrame) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V8: src, dst, of a tenth of the orders, as its SQL has it."""
-    return links(read(spark, sf_dir, "orders").where(F.col("o_orderkey") % 10 == 0))
-
-
-def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst of all orders."""
+    """V8: src, dst."""
     return links(read(spark, sf_dir, "orders"))
 
 
-V8 = "edges AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7 + 3) % 1500 AS dst FROM orders WHERE o_orderkey % 10 = 0)"
+V8 = "edges AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7 + 3) % 1500 AS dst FROM orders)"

@@ -38,6 +38,11 @@ def read_taxonomy(spark: SparkSession, path: str) -> Taxonomy:
     )
 
 
+def read_config(spark: SparkSession, path: str, **given: object) -> dict:
+    """A run's settings from a JSON file (one small document): seeds, templates, keywords, limits; what is given replaces them."""
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"]) | {k: x for k, x in given.items() if x is not None}
+
+
 def header_rows(df: DataFrame, names: list[str]) -> DataFrame:
     """Rows of a table kept as cols (names) and rows (arrays): the wanted columns by their place in cols."""
     rows = df.select("cols", F.explode("rows").alias("r"))

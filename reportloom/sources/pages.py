@@ -10,21 +10,28 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import resolve
 
-SCHEMA = "h1 string, og_title string, title string, text string, time string, published string, description string, og_description string, paragraphs array<string>, links array<struct<href:string,text:string,rel:string,blob:string>>"
+SCHEMA = "h1 string, og_title string, title string, text string, time string, published string, description string, og_description string, paragraphs array<string>, links array<struct<href:string,text:string,rel:string,blob:string,pager:boolean>>"
+_QUIET = {"script", "style", "template"}
+_CARD = {"article", "li", "div"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class _Page(HTMLParser):
+    """What a page's tags hold. Texts are the page's pieces of text from where an element opens to where it closes, so that a piece
+    is kept once however deep it lies."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, list[str]]] = []
-        self.said: list[str] = []
+        self.open: list[tuple[str, int, dict | None]] = []  # tag, first piece, the link that it is
+        self.pieces: list[tuple[str, bool]] = []  # a text, and whether it is a page's title
         self.meta: dict[str, str] = {}
         self.first: dict[str, str] = {}
         self.paragraphs: list[str] = []
         self.links: list[dict] = []
         self.when: str | None = None
-        self.cards: list[tuple[int, int]] = []
+        self.cards: list[list[dict]] = []  # links of each open card that lie in no nearer one
+        self.quiet = self.titled = self.pagers = 0
+        self.pager_tags: list[int] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
@@ -34,44 +41,54 @@ class _Page(HTMLParser):
                     self.meta.setdefault(f"{key}={a[key]}", a.get("content") or "")
         if tag in _VOID:
             return
-        if tag == "p":
-            self.close("p", False)
+        if tag == "p" and self.open and self.open[-1][0] == "p":
+            self.close("p")
         if tag == "time" and self.when is None and a.get("datetime"):
             self.when = a["datetime"]
+        if "pager" in (a.get("class") or ""):
+            self.pager_tags.append(len(self.open))
+        link = None
         if tag == "a" and a.get("href") is not None:
-            self.links.append({"href": a["href"], "text": "", "rel": a.get("rel") or "", "blob": ""})
-        self.open.append((tag, []))
-
-    def close(self, tag: str, always: bool = True) -> None:
-        places = [k for k, (t, _) in enumerate(self.open) if t == tag]
-        if not places or not always and self.open[-1][0] != tag:
-            return
-        for name, texts in reversed(self.open[places[-1] :]):
-            text = " ".join(x for x in texts if x)
-            if name == "p":
-                self.paragraphs.append(text)
-            elif name == "a" and self.links and not self.links[-1]["text"]:
-                self.links[-1]["text"] = text
-            elif name in ("article", "li", "div"):
-                for link in self.links:
-                    link["blob"] = link["blob"] or text[:400]
-            if name in ("h1", "title", "time"):
-                self.first.setdefault(name, text)
-        del self.open[places[-1] :]
+            link = {"href": a["href"], "text": "", "rel": a.get("rel") or "", "blob": "", "pager": bool(self.pager_tags)}
+            self.links.append(link)
+            if self.cards:
+                self.cards[-1].append(link)
+        if tag in _CARD:
+            self.cards.append([])
+        self.quiet += tag in _QUIET
+        self.titled += tag == "title"
+        self.open.append((tag, len(self.pieces), link))
+
+    def close(self, tag: str) -> None:
+        place = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), -1)
+        while place >= 0 and len(self.open) > place:
+            name, start, link = self.open.pop()
+            if self.pager_tags and self.pager_tags[-1] == len(self.open):
+                self.pager_tags.pop()
+            self.quiet -= name in _QUIET
+            self.titled -= name == "title"
+            card = self.cards.pop() if name in _CARD else None
+            if name == "p" or link is not None or card or name in ("h1", "title", "time") and name not in self.first:
+                text = " ".join(x for x, _ in self.pieces[start:])
+                if name == "p":
+                    self.paragraphs.append(text)
+                elif link is not None:
+                    link["text"] = text
+                elif card:
+                    for x in card:
+                        x["blob"] = text[:400]
+                else:
+                    self.first[name] = text
 
     def handle_endtag(self, tag: str) -> None:
         self.close(tag)
 
     def handle_data(self, data: str) -> None:
-        inside = {t for t, _ in self.open}
-        if inside & {"script", "style", "template"}:
+        if self.quiet:
             return
         text = " ".join(data.split())
         if text:
-            if "title" not in inside:
-                self.said.append(text)
-            for _, texts in self.open:
-                texts.append(text)
+            self.pieces.append((text, self.titled > 0))
 
 
 def _parse(source: str | None) -> dict:
@@ -81,7 +98,7 @@ def _parse(source: str | None) -> dict:
         page.close(page.open[-1][0])
     get = page.meta.get
     return {
-        "h1": page.first.get("h1", ""), "og_title": get("property=og:title", ""), "title": page.first.get("title", ""), "text": " ".join(page.said),
+        "h1": page.first.get("h1", ""), "og_title": get("property=og:title", ""), "title": page.first.get("title", ""), "text": " ".join(x for x, titled in page.pieces if not titled),
         "time": page.when or page.first.get("time", ""), "published": get("property=article:published_time", ""), "description": get("name=description", ""), "og_description": get("property=og:description", ""),
         "paragraphs": page.paragraphs, "links": page.links,
     }
@@ -96,6 +113,22 @@ def parsed(pages: DataFrame, *keep: str) -> DataFrame:
     return pages.select(*keep, F.pandas_udf(_parse_all, SCHEMA)("html").alias("p"))
 
 
+def pagers(url: Column) -> Column:
+    """Addresses of a listing page's further pages: same path with a page parameter, a link to the next page, or a link of the same
+    path inside a pager."""
+    from ..functions.urls import canonical
+
+    path = lambda u: F.rtrim(F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit("")), F.lit("/"))
+    full = F.transform("p.links", lambda x: F.struct(canonical(x["href"], url).alias("u"), x["rel"].alias("rel"), x["pager"].alias("pager")))
+
+    def is_pager(x: Column) -> Column:
+        same = path(x["u"]) == path(url)
+        paged = F.coalesce(F.try_parse_url(x["u"], F.lit("QUERY")), F.lit("")).contains("page=")
+        return (same & (paged | x["pager"])) | F.array_contains(F.split(F.lower(x["rel"]), r"\s+"), "next")
+
+    return F.array_distinct(F.transform(F.filter(full, is_pager), lambda x: x["u"]))
+
+
 def _some(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
 
