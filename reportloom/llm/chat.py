@@ -13,7 +13,7 @@ The default template marks turns as "### role: text </turn>" and escapes, in rol
 could begin a mark by a backslash, and the backslash itself; so the output can be read back.
 
 Defined results: rows of a conversation are ordered by turn, null turns first, then by role and text; a null role is
-the empty role, a null text the empty text; a null conv_id is a conversation of its own; equal rows are turns of
+the empty role, a null text the empty text; turns without a number are ordered in one task a conversation; a null conv_id is a conversation of its own; equal rows are turns of
 their own; an empty table gives only what is added to it; further columns are not read.
 """
 

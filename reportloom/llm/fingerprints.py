@@ -13,7 +13,8 @@ the part of a text that its predecessor takes over is sent to it.
 
 Defined results: a null text is the empty text, whose one paragraph is empty; two texts without words are alike (1.0);
 a null id comes last; rows of one id follow each other by the hash of their texts; a single row is its own next;
-an empty table gives an empty table; further columns are not read.
+an empty table gives an empty table; further columns are not read. Rows without an id, and rows of one id, are ordered in one
+task and joined with each other: ids are meant to be unique, and a table of which a great part has none is slow.
 """
 
 from __future__ import annotations

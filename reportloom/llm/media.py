@@ -4,7 +4,8 @@ Writing: each task puts its rows into one ZIP archive (members stored as they ar
 moves it into place at the end; only archives that the returned manifest names are read. A member is a greyscale PNG of
 8-bit samples, 64 to a row: the payload's bytes, padded with zeros to a positive multiple of 64.
 
-Reading: the planner reads only the end of each archive, which tells where its directory lies, and cuts the directory
+Reading: the planner needs to know where each archive's directory lies. The tasks that write archives tell it, in a manifest file that is
+read at once; for a folder without one the planner reads each archive's end. It cuts the directory
 into equal byte ranges, as many as the archive has PART_BYTES. A partition holds the archive's path and a byte range,
 not members, so neither planning nor a plan's size follows the number of members. A task finds the first entry that
 begins in its range, reads the entries up to the range's end, then each member by its own offset; a read that fails is tried again for that member alone, from a newly opened file. Batches
@@ -12,7 +13,7 @@ of members go to Spark through Arrow, bounded by rows and bytes.
 
 Defined results: a null text is the empty text, whose payload is 64 zero bytes; repeated rows are members of their
 own; an empty table gives an empty table; further columns are not read; a member that is damaged fails the task
-after RETRIES tries, or with on_error = "null" gives a row with null content and the error's text.
+after RETRIES tries, or with on_error = "null" gives a row with null content and the error's text, whose digests are null.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import bounded_batches, map_batches, shared_dir, table
+from .common import bounded_batches, map_batches, table, temporary
 
 #: Samples in a row of an image; a payload is a positive multiple of it.
 ROW = 64
@@ -108,7 +109,7 @@ def feature(samples: np.ndarray) -> str:
 
 
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write one archive a task into the folder; a row for each archive: path, members, bytes. A member is named
+    """Write one archive a task into the folder; a row for each archive: path, members, bytes, and start and length of its directory. A member is named
     id-place.png, with the row's id (none: null) and its place in the task; the number of padding bytes goes into the member's comment."""
     bounded_batches(docs.sparkSession)
 
@@ -132,9 +133,22 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                 batch = next((b for b in batches if b.num_rows), None)
         fs.move(f"{at}.part", f"{at}.zip")
         size = fs.get_file_info(f"{at}.zip").size
-        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{at.rpartition('/')[2]}.zip"]), pa.array([members], pa.int64()), pa.array([size], pa.int64())], ["path", "members", "bytes"])
+        start, length, _ = directory(fs, f"{at}.zip")
+        numbers = [pa.array([x], pa.int64()) for x in (members, size, start, length)]
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{at.rpartition('/')[2]}.zip"]), *numbers], ["path", "members", "bytes", "start", "length"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "path string, members long, bytes long")
+    return docs.select(id_col, text_col).mapInArrow(run, "path string, members long, bytes long, start long, length long")
+
+
+def write_manifest(archives: DataFrame, folder: str) -> str:
+    """Run the writing (of write_archives) and put name, bytes, start and length of each archive into a file of the folder: a line for
+    each task that counted, not for a member. Its path."""
+    rows = archives.select("path", "bytes", "start", "length").collect()
+    fs, base = opened(folder)
+    fs.create_dir(base, recursive=True)
+    with fs.open_output_stream(f"{base}/manifest") as out:
+        out.write("".join(f"{r['path'].rpartition('/')[2]} {r['bytes']} {r['start']} {r['length']}\n" for r in rows).encode())
+    return f"{folder}/manifest"
 
 
 class _Sink(io.RawIOBase):
@@ -222,7 +236,7 @@ def entries(data: bytes, before: int) -> Iterator[tuple[str, int, int, str]]:
 class ArchiveSource(DataSource):
     """spark.read.format("media_archive").option("path", folder).load(): the members of all .zip archives of a folder.
 
-    Options: path; manifest (archive names of the folder, joined by commas; by default all); part_bytes; retries; on_error ("fail" or "null")."""
+    Options: path; manifest (archive names of the folder, joined by commas; by default all); manifest_file (of write_manifest, which tells all that the planner needs); part_bytes; retries; on_error ("fail" or "null")."""
 
     @classmethod
     def name(cls) -> str:
@@ -239,23 +253,34 @@ class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
         self.only = set(options["manifest"].split(",")) if options.get("manifest") is not None else None
+        self.manifest_file = options.get("manifest_file")
         self.part_bytes = int(options.get("part_bytes", PART_BYTES))
         self.retries = int(options.get("retries", RETRIES))
         self.on_error = options.get("on_error", "fail")
 
     def partitions(self) -> list[Range]:
-        fs, base = opened(self.path)
         found = []
-        for info in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
-            name = info.path.rpartition("/")[2]
-            if not name.endswith(".zip") or self.only is not None and name not in self.only:
-                continue
-            start, length, _ = directory(fs, info.path)
-            pieces = max(1, min(info.size // self.part_bytes, length // 4096))
+        for name, size, start, length in self.archives():
+            pieces = max(1, min(size // self.part_bytes, length // 4096))
             cuts = [start + length * k // pieces for k in range(pieces + 1)]
             found += [Range(f"{self.path}/{name}", a, b, start + length) for a, b in zip(cuts, cuts[1:])]
         return found or [Range("", 0, 0, 0)]
 
+    def archives(self) -> Iterator[tuple[str, int, int, int]]:
+        """Name and size of each archive, start and length of its directory."""
+        if self.manifest_file:
+            fs, path = opened(self.manifest_file)
+            with fs.open_input_stream(path) as f:
+                for line in f.read().decode().splitlines():
+                    name, *numbers = line.split(" ")
+                    yield (name, *map(int, numbers))
+            return
+        fs, base = opened(self.path)
+        for info in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+            name = info.path.rpartition("/")[2]
+            if name.endswith(".zip") and (self.only is None or name in self.only):
+                yield (name, info.size, *directory(fs, info.path)[:2])
+
     def member(self, fs: pafs.FileSystem, path: str, offset: int, size: int, files: list) -> bytes:
         """One member's bytes by its offset; a failed try opens the file anew and concerns this member alone."""
         for k in range(self.retries):
@@ -320,9 +345,14 @@ def measured(media: DataFrame) -> DataFrame:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 label, _, pad = name.rpartition(":")
                 key = label.rpartition("-")[0]
+                key = None if key == "null" else int(key)
+                if data is None:
+                    for to, x in zip(out, (key, *[None] * 7)):
+                        to.append(x)
+                    continue
                 samples = from_png(data)
                 payload = samples.tobytes()
-                for to, x in zip(out, (None if key == "null" else int(key), len(payload) - int(pad), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples))):
+                for to, x in zip(out, (key, len(payload) - int(pad), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples))):
                     to.append(x)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -334,8 +364,5 @@ def measured(media: DataFrame) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_dir(spark, "media")
-    manifest = write_archives(table(spark, sf_dir, "documents"), folder)
-    # One row a task, not a document; it names the archives of the tasks that counted.
-    names = [r["path"].rpartition("/")[2] for r in manifest.select("path").collect()]
-    return measured(read_archives(spark, folder, manifest=",".join(names)))
+    folder = temporary(spark, "media")
+    return measured(read_archives(spark, folder, manifest_file=write_manifest(write_archives(table(spark, sf_dir, "documents"), folder), folder)))

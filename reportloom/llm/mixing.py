@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, unused, written
 
 #: Fixed values of the query: weights by the place of the source, repeating; the cap on a target.
 WEIGHTS = (5, 2, 1)
@@ -101,10 +101,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST)
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken; columns as before."""
     names = docs.columns
-    taken = mix(docs, weights, most).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("source").alias("_source"), F.expr("taken div size").cast("int").alias("_times"))
-    on = F.xxhash64("text") == F.col("_hash")
-    both = docs.join(taken.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & on)
-    return both.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    i, h, s, times = (unused(docs, x) for x in ("_id", "_hash", "_source", "_times"))
+    taken = mix(docs, weights, most).where("taken > 0").select(F.col("doc_id").alias(i), F.col("row_hash").alias(h), F.col("source").alias(s), F.expr("taken div size").cast("int").alias(times))
+    both = docs.join(taken.distinct(), F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (F.xxhash64("text") == F.col(h)))
+    return both.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).drop(times)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
