@@ -83,20 +83,27 @@ def subject(sentence: Column) -> Column:
     return F.when(back & idp, "").when(back, "returnees").when(idp, "IDPs").when(t.contains("displaced") | t.contains("fled"), "displaced").when(t.contains("arriv"), "arrivals").otherwise("")
 
 
-def local_subject(before: Column, after: Column, label: Column) -> Column:
+def subject_place(before: Column) -> Column:
+    """struct(at, k, s): the last subject word in the 60 characters before a number: its place (-1: none), its rank below 0, its subject."""
+    low = F.lower(before)
+    return F.array_max(F.array(*[F.struct(last_locate(w, low).alias("at"), F.lit(-k).alias("k"), F.lit(s).alias("s")) for k, (w, s) in enumerate(SUBJECTS)]))
+
+
+def local_subject(before: Column, after: Column, label: Column, best: Column | None = None) -> Column:
     """Whom a number is about: by its label, else the nearest subject word in the 60 characters before it, else the
-    first listed word in the 30 after it, up to the next digit. Equal places go to the word listed first."""
+    first listed word in the 30 after it, up to the next digit. Equal places go to the word listed first.
+
+    best is subject_place(before) as a column of its own. Where it isn't given, a lambda binds it: named as an expression, it would be
+    evaluated, and its code made, once for each use."""
     low = F.lower(before)
     tail = F.lower(F.split_part(F.regexp_replace(after, r"\d", "\u0001"), F.lit("\u0001"), F.lit(1)))
-    # The best place is bound by a lambda: named as an expression, it would be evaluated, and its code made, once for each use.
-    places = F.array(*[F.struct(last_locate(w, low).alias("at"), F.lit(-k).alias("k"), F.lit(s).alias("s")) for k, (w, s) in enumerate(SUBJECTS)])
 
     def told_by(best: Column) -> Column:
         start = F.greatest(F.lit(0), best["at"] - 12)
         window = F.substring(low, start + 1, best["at"] + 25 - start)
         return F.when(best["at"] >= 0, F.when((best["s"] == "displaced") & window.contains("internally displaced"), "IDPs").otherwise(best["s"]))
 
-    near = F.element_at(F.transform(F.array(F.array_max(places)), told_by), 1)
+    near = told_by(best) if best is not None else F.element_at(F.transform(F.array(subject_place(before)), told_by), 1)
     behind = F.coalesce(*[F.when(tail.contains(w), s) for w, s in SUBJECTS], F.lit(""))
     told = F.coalesce(*[F.when(label == k, v) for k, v in LABEL_SUBJECTS.items()], F.lit(None).cast("string"))
     return F.coalesce(told, near, behind)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import METRICS, NUMBER, local_subject, number, sentence_key, sentences, subject
+from ..functions.text import METRICS, NUMBER, local_subject, number, sentence_key, sentences, subject, subject_place
 
 #: Sentences of a report, by the rule that the source after a full one still adds its first new sentence.
 SENTENCES = 45
@@ -109,8 +109,8 @@ def is_count(before: Column, num: Column, noun: Column, after: Column) -> Column
 def figures(sents: DataFrame, keys: list[str], metrics: list[tuple[str, str]] = METRICS) -> DataFrame:
     """keys, ord, label, value, idx, subject, source: each (label, value, subject) of a report once, where it comes first."""
     hits = metric_matches(sents, "text", metrics).where(is_count(F.col("before"), F.col("num"), F.col("noun"), F.col("after")))
-    who = local_subject(F.col("before"), F.col("after"), F.col("label"))
-    told = hits.select("*", who.alias("_who")).withColumn("subject", F.when(F.col("_who") != "", F.col("_who")).otherwise(subject(F.col("text")))).withColumn("value", number(F.col("num")).cast("long"))
+    who = local_subject(F.col("before"), F.col("after"), F.col("label"), F.col("_best"))
+    told = hits.select("*", subject_place(F.col("before")).alias("_best")).select("*", who.alias("_who")).withColumn("subject", F.when(F.col("_who") != "", F.col("_who")).otherwise(subject(F.col("text")))).withColumn("value", number(F.col("num")).cast("long"))
     first = told.groupBy(*keys, "label", "value", "subject").agg(F.min(F.struct("idx", "ord", "pos", "source")).alias("f"))
     order = F.row_number().over(W.partitionBy(*keys).orderBy("f.idx", "f.ord", "f.pos")) - 1
     return first.select(*keys, order.alias("ord"), "label", "value", F.col("f.idx").alias("idx"), "subject", F.col("f.source").alias("source"))

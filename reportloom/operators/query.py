@@ -9,20 +9,21 @@ MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 
 
 def facets(components: list[str] = (), years: list[int] = (), months: list[int] = (), regions: list[str] = (), states: list[str] = (), keyword: str = "") -> Column:
-    """OR inside a facet, AND between facets; a component is named by key or label; no facet holds for all."""
+    """OR inside a facet, AND between facets; a component is named by key or label; no facet holds for all. For where(): null counts as no."""
+    # Cheap conditions first: Catalyst keeps the order, and what they reject isn't classified where the rest is computed.
     out = F.lit(True)
-    if components:
-        out &= F.col("component_key").isin(*components) | F.col("component").isin(*components)
     if years:
         out &= F.col("year").isin(*years)
     if months:
         out &= F.substring("date", 6, 2).try_cast("int").isin(*months)
-    for name, wanted in (("regions", regions), ("states", states)):
-        if wanted:
-            out &= F.arrays_overlap(name, F.array(*[F.lit(x) for x in wanted]))
     if keyword:
         out &= F.contains(F.lower(F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")))), F.lit(keyword.lower()))
-    return F.coalesce(out, F.lit(False))
+    if components:
+        out &= F.coalesce(F.col("component_key").isin(*components), F.lit(False)) | F.coalesce(F.col("component").isin(*components), F.lit(False))
+    for name, wanted in (("states", states), ("regions", regions)):
+        if wanted:
+            out &= F.arrays_overlap(name, F.array(*[F.lit(x) for x in wanted]))
+    return out
 
 
 def count_by(df: DataFrame, group_by: str = "none") -> DataFrame:
