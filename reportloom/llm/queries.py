@@ -15,6 +15,7 @@ from .language import op1_language
 from .media import op8_media
 from .mixing import OP6_SQL, op6_mixing
 from .secrets import op7_secrets
+from .tokenfiles import op12_orc_tokens
 from .toxicity import op3_toxicity
 
 
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": op8_media,
         "op9_bpe": op9_bpe,
         "op10_jaccard": op10_jaccard,
+        "op12_orc_tokens": op12_orc_tokens,
     }
 
 
