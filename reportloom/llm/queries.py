@@ -17,6 +17,7 @@ from .mixing import OP6_SQL, op6_mixing
 from .secrets import op7_secrets
 from .tokenfiles import op12_orc_tokens
 from .toxicity import op3_toxicity
+from .vectorcodes import OP11_SQL, op11_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": op8_media,
         "op9_bpe": op9_bpe,
         "op10_jaccard": op10_jaccard,
+        "op11_vector_codes": op11_vector_codes,
         "op12_orc_tokens": op12_orc_tokens,
     }
 
@@ -38,4 +40,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_mixing": OP6_SQL,
+        "op11_vector_codes": OP11_SQL,
     }
