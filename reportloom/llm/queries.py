@@ -14,6 +14,7 @@ from .jaccard import op10_jaccard
 from .language import op1_language
 from .media import op8_media
 from .mixing import OP6_SQL, op6_mixing
+from .repair import OP13_SQL, op13_repair
 from .secrets import op7_secrets
 from .tokenfiles import op12_orc_tokens
 from .toxicity import op3_toxicity
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard": op10_jaccard,
         "op11_vector_codes": op11_vector_codes,
         "op12_orc_tokens": op12_orc_tokens,
+        "op13_repair": op13_repair,
     }
 
 
@@ -41,4 +43,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_mixing": OP6_SQL,
         "op11_vector_codes": OP11_SQL,
+        "op13_repair": OP13_SQL,
     }
