@@ -12,6 +12,8 @@ from ..functions import dates, rounds, urls
 from ..functions import text as tx
 from ..operators import classify, discovery, facts, geometry, publish, query, reference, resolve
 from ..sources import pages as html
+from ..sources import pdf, workbook
+from ..sources.files import scratch
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,7 +174,15 @@ def document_kind(s, d):
     return v.read(s, d, "documents").select("doc_id", classify.document_kind(t).alias("k")).select("doc_id", "k.kind", "k.evidence")
 
 
-query_of("document_kind_whole")(document_kind)
+# The same query under the name by which it was asked for over whole texts.
+query_of("document_kind_whole", _SQL["document_kind"])(document_kind)
+
+
+@query_of("pdf_text", rf"""SELECT doc_id, greatest(1, ceil(length(t) / {v.PAGE_CHARS}))::INT AS n_pages, trim(regexp_replace(array_to_string([substring(t, k * {v.PAGE_CHARS} + 1, {v.PAGE_CHARS}) for k in range(6)], ' '), '\s+', ' ', 'g')) AS text
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+def _(s, d):
+    read = pdf.texts(v.pdf_files(s, d), pages=6)
+    return read.select(F.col("path").alias("doc_id"), "n_pages", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
 
 
 # ---- dates and numbers ----
@@ -597,8 +607,8 @@ def bfs_capped(s, d):
     return discovery.reachable(v.edges(s, d), s.range(1).select(F.col("id").alias("node")), 2)
 
 
-query_of("bfs_reach_whole")(bfs_reach)
-query_of("bfs_capped_whole")(bfs_capped)
+query_of("bfs_reach_whole", _SQL["bfs_reach"])(bfs_reach)
+query_of("bfs_capped_whole", _SQL["bfs_capped"])(bfs_capped)
 
 
 @query_of("keyword_seeds", "SELECT 'https://x.example.org/s?q=' || replace(p_name, ' ', '+') || '&p=' || r_regionkey AS url FROM (SELECT DISTINCT p_name FROM part) CROSS JOIN region")
@@ -798,6 +808,28 @@ def _(s, d):
     return header_rows(packed.withColumn("cols", F.array(F.lit("round"), F.lit("idp_ind"), F.lit("ret_hh"))), ["round", "idp_ind", "ret_hh"]).withColumn("round", F.col("round").cast("int"))
 
 
+def in_workbooks(s: SparkSession, d: str) -> DataFrame:
+    """V5, written as workbooks and read back."""
+    folder = scratch(s, "workbooks")
+    workbook.write_workbooks(v.round_state(s, d), folder, "Rounds")
+    return workbook.sheet(s, folder, "Rounds", "round int, state string, lga long, ward long, kind string, idp_ind long, idp_hh long, ret_ind long, ret_hh long")
+
+
+@query_of("workbook_round_state", _SQL["sum_by_round_state"])
+def _(s, d):
+    return reference.sums(in_workbooks(s, d).withColumn("state", reference.clean_key(F.col("state"))), ["round", "state"])
+
+
+@query_of("workbook_location", _SQL["sum_by_location"])
+def _(s, d):
+    return reference.sums(in_workbooks(s, d), ["round", "kind"])
+
+
+@query_of("workbook_places", _SQL["count_distinct_multi"])
+def _(s, d):
+    return reference.distinct_places(in_workbooks(s, d), "round", ["state", "lga", "ward"], ["state", "lga"])
+
+
 # ---- geometry ----
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,3 +168,72 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 V8 = "edges AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7 + 3) % 1500 AS dst FROM orders)"
+
+
+#: Code points of a page of V9.
+PAGE_CHARS = 1500
+
+
+def _literal(text: bytes) -> bytes:
+    return b"(" + text.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r") + b")"
+
+
+def pdf_of(text: str, kind: int) -> bytes:
+    """A PDF of pages of PAGE_CHARS code points, a line set for each line. kind 0 and 1: literal strings where they can, plain or
+    deflated; 2: coded strings with a ToUnicode map, objects in a stream; 3: the same, strings in pieces with gaps."""
+    simple = kind < 2 and all(c in "\n" or 32 <= ord(c) < 127 or 160 <= ord(c) < 256 for c in text)
+    codes = {c: k + 1 for k, c in enumerate(sorted(set(text)))}
+
+    def coded(line: str) -> bytes:
+        if simple:
+            return _literal(line.encode("cp1252")) + b" Tj"
+        if kind == 3:
+            cut = [line[k : k + 7] for k in range(0, len(line), 7)]
+            return b"[" + b" -20 ".join(b"<" + b"".join(b"%04x" % codes[c] for c in x) + b">" for x in cut) + b"] TJ"
+        return b"<" + b"".join(b"%04x" % codes[c] for c in line) + b"> Tj"
+
+    packed = lambda data, more=b"": b"<</Length %d/Filter/FlateDecode%s>>stream\n%s\nendstream" % (len(x := zlib.compress(data, 1)), more, x)
+    plain = lambda data: b"<</Length %d>>stream\n%s\nendstream" % (len(data), data)
+    pages = [text[k : k + PAGE_CHARS] for k in range(0, max(1, len(text)), PAGE_CHARS)]
+    objects: dict[int, bytes] = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Resources<</Font<</F1 3 0 R>>>>/Count %d/Kids[%s]>>" % (len(pages), b" ".join(b"%d 0 R" % (5 + 2 * k) for k in range(len(pages))))}
+    if simple:
+        objects[3] = b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>"
+    else:
+        objects[3] = b"<</Type/Font/Subtype/Type0/Encoding/Identity-H/ToUnicode 4 0 R>>"
+        chars = b"\n".join(b"<%04x> <%s>" % (k, c.encode("utf-16-be", "replace").hex().encode()) for c, k in codes.items())
+        objects[4] = packed(b"begincmap 1 begincodespacerange <0000> <ffff> endcodespacerange %d beginbfchar\n%s\nendbfchar endcmap" % (len(codes), chars))
+    for k, page in enumerate(pages):
+        shown = b"BT /F1 11 Tf 14 TL 50 780 Td\n" + b" T*\n".join(coded(x) for x in page.split("\n")) + b"\nET"
+        objects[5 + 2 * k] = b"<</Type/Page/Parent 2 0 R/Contents %d 0 R>>" % (6 + 2 * k)
+        objects[6 + 2 * k] = packed(shown) if kind else plain(shown)
+    if kind >= 2:
+        inner = {n: o for n, o in objects.items() if b"stream" not in o}
+        objects = {n: o for n, o in objects.items() if n not in inner}
+        bodies, at, heads = b"", 0, []
+        for n, o in inner.items():
+            heads.append(b"%d %d" % (n, at))
+            bodies, at = bodies + o + b"\n", at + len(o) + 1
+        head = b" ".join(heads) + b"\n"
+        last = max([*inner, *objects]) + 1
+        objects[last] = packed(head + bodies, b"/Type/ObjStm/N %d/First %d" % (len(inner), len(head)))
+        rows = b"".join(b"\x02" + bytes(4) for _ in range(last))
+        objects[last + 1] = packed(rows, b"/Type/XRef/Root 1 0 R/Size %d/W[1 3 0]/DecodeParms<</Predictor 12/Columns 4>>" % (last + 2))
+    out, places = b"%PDF-1.5\n", {}
+    for n, o in objects.items():
+        places[n] = len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, o)
+    if kind < 2:
+        table = b"".join(b"%010d 00000 n \n" % places.get(n, 0) for n in range(1, max(objects) + 1))
+        out += b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<</Size %d/Root 1 0 R>>\n" % (max(objects) + 1, table, max(objects) + 1)
+    return out + b"startxref\n%d\n%%%%EOF" % places.get(max(objects), 0)
+
+
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V9: path (the doc_id), content: each document as a PDF."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pdf_of(t or "", (k or 0) % 4) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["path", "content"])
+
+    return read(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "path long, content binary")

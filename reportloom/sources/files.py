@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,21 @@ from ..operators.classify import Region, Rule, Taxonomy
 FILE_BYTES = 60_000_000
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, deleted when the driver ends. Without that setting a local master,
+    whose driver and executors are one machine, uses a temporary folder; on any other master ValueError is raised."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="reportloom-scratch-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """key and the record's columns of a JSON file that maps keys to records of this schema."""
     text = spark.read.text(path, wholetext=True)
@@ -44,9 +61,9 @@ def read_config(spark: SparkSession, path: str, **given: object) -> dict:
 
 
 def header_rows(df: DataFrame, names: list[str]) -> DataFrame:
-    """Rows of a table kept as cols (names) and rows (arrays): the wanted columns by their place in cols."""
+    """Rows of a table kept as cols (names) and rows (arrays): the wanted columns by their place in cols, null where it has none."""
     rows = df.select("cols", F.explode("rows").alias("r"))
-    return rows.select(*[F.try_element_at("r", F.array_position("cols", n).cast("int")).alias(n) for n in names])
+    return rows.select(*[F.get("r", (F.array_position("cols", n) - 1).cast("int")).alias(n) for n in names])
 
 
 def geometry_points(spark: SparkSession, path: str) -> DataFrame:
