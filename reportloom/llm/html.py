@@ -5,12 +5,14 @@ votes for its generalised path (tags and classes from the root, digits left out)
 The votes of a host are summed in Spark. Second pass: each page is extracted anew from the containers on the best
 path of its host that it has; a page that has none of them falls back on its own best container. Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out inside containers as well; a heading inside an
-article's own header stays.
+article's or main element's own header stays. A page without a body element is its own container.
 
 What is left out is told by elements and roles, and by words of classes and ids. A name made up of such words alone ("comments",
-"share-buttons") tells it for certain, unless the element is an article and has a content name as well. A name with further words ("social-issues")
-that doesn't speak of reader comments is doubtful: its element stays if it holds more than half of the page's text or lies on a winning path of the host. Names that speak of
-what an element has beside it ("with-comments", "comment-status-open") tell nothing.
+"share-buttons") tells it for certain, unless the element is an article and has a content name as well. A name with further words
+("social-issues", "editorial-comment"), or one of words that name parts of articles too ("discussion"), is doubtful: its element stays
+if it holds more than half of the page's text, lies on a winning path of the host, or is prose inside an article or main element. Names
+that speak of what an element has beside it ("with-comments", "comment-status-open") tell nothing, and inline elements are part of
+their sentence whatever their names.
 
 Hosts' winning paths are broadcast only where they are counted to be at most BROADCAST_HOSTS rows of bounded size;
 beyond that, pages are joined with them by host and salt, so that a host with a third of all pages is dealt over SALTS tasks.
@@ -25,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +40,8 @@ from .common import map_batches, table, texts, written
 PATHS = 3
 BROADCAST_HOSTS = 10_000
 SALTS = 16
+#: Code points of a block from which it reads like prose, if it isn't mostly links.
+PROSE = 60
 #: A container's score falls by this for each level between it and a block.
 DECAY = 0.85
 
@@ -44,7 +49,7 @@ DECAY = 0.85
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINER = frozenset("article main section div body td blockquote".split())
+CONTAINER = frozenset("article main section div body td blockquote #root".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag closes, up to the given limits.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr",), "tbody": ("tr", "thead"), "tfoot": ("tr", "tbody")}
@@ -54,12 +59,15 @@ DROPPED = frozenset("nav footer aside form button select svg canvas object menu
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 STRONG = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored sponsors promo promos promotion comment comments commentlist commenters reply replies respond disqus discussion cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing shares social related recommended recommendations popup modal overlay breadcrumb breadcrumbs pagination pager".split())
 WEAK = frozenset("nav navbar navigation menu header masthead footer sidebar aside widget widgets notice notices notification alert banner toolbar rail skip topbar bottombar copyright".split())
-READERS = frozenset("comment comments commentlist commenters reply replies respond disqus discussion".split())
+READERS = frozenset("comment comments commentlist commenters reply replies respond disqus".split())
+#: Words of the strong ones that name a part of an article as often: they never tell anything for certain.
+EITHER = frozenset("discussion".split())
 BESIDE = frozenset("with has no without layout columns status open closed enabled disabled".split())
 NEUTRAL = frozenset("area areas list lists section sections box boxes wrapper wrap container block blocks body content text item items bar bars inner outer module unit units slot slots button buttons link links icon icons media count counter title heading holder panel group row col column post posts article articles story stories news site page global left right top bottom primary secondary main thread threads policy message cta form forms now here".split())
 CONTENT = frozenset("content main article post entry story body text".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_OPEN_COMMENT = re.compile(r"()()()()()()<!--.*\Z", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -69,7 +77,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """An element: dropped if it is left out for certain, doubtful the nearest element (itself or around it) that may be."""
 
-    __slots__ = ("tag", "path", "up", "dropped", "doubtful", "headings", "depth", "link", "score", "weight", "chars")
+    __slots__ = ("tag", "path", "up", "dropped", "doubtful", "headings", "depth", "link", "score", "weight", "chars", "prose", "part")
 
     def __init__(self, tag: str, path: bytes, up: Node | None, dropped: bool, headings: bool, link: bool, weight: float):
         self.tag, self.path, self.up, self.dropped, self.headings, self.link, self.weight = tag, path, up, dropped, headings, link, weight
@@ -77,10 +85,14 @@ class Node:
         self.doubtful = up.doubtful if up else None
         self.score = 0.0
         self.chars = 0
+        #: Code points of text that reads like prose; whether a doubtful element lies inside the article and may be a part of it.
+        self.prose = 0
+        self.part = False
 
 
 def _told(names: list[str]) -> tuple[str, bool, bool]:
-    """What an element's names tell: (certain, doubtful or nothing; is there a content name; is it a header or footer of content)."""
+    """What an element's names tell: (certain, doubtful, "part" for doubtful that may be a part of an article, or nothing; is there a
+    content name; is it a header or footer of content)."""
     told, content, header = "", False, False
     weak, strong = [], []
     for name in names:
@@ -94,9 +106,9 @@ def _told(names: list[str]) -> tuple[str, bool, bool]:
             header |= not words.isdisjoint(("header", "footer"))
         elif words & CONTENT:
             content = True
-    pure = any(words & READERS or all(w in STRONG or w in WEAK or w in NEUTRAL or w.isdigit() for w in words) for words in strong)
+    pure = any(not words & EITHER and all(w in STRONG or w in WEAK or w in NEUTRAL or w.isdigit() for w in words) for words in strong)
     if strong:
-        told = "certain" if pure and not content else "doubtful"
+        told = "certain" if pure and not content else "part"
     elif weak and not content and not any(words & BESIDE for words in weak):
         told = "certain" if any(all(w in WEAK or w in NEUTRAL or w.isdigit() for w in words) for words in weak) else "doubtful"
     return told, content, header and not told
@@ -118,9 +130,9 @@ def _node(tag: str, attrs: str, up: Node | None) -> Node:
             names.append(found["id"])
         if names and tag not in ("html", "body", "main"):
             told, content, header = _told(names)
-            if whole and (content or told == "doubtful"):
-                told = ""
-            if told == "certain" or told and tag not in BLOCK:
+            if whole and (content or told in ("doubtful", "part")) or tag not in BLOCK:
+                told = ""  # an inline element is part of its sentence, whatever its names
+            if told == "certain":
                 dropped = True
             elif told:
                 doubtful = True
@@ -137,7 +149,7 @@ def _node(tag: str, attrs: str, up: Node | None) -> Node:
     elif tag == "header":
         at, inside = up, False
         while at and not inside:
-            inside, at = at.tag == "article", at.up
+            inside, at = at.tag in ("article", "main"), at.up
         if inside:
             headings = True
         else:
@@ -147,21 +159,26 @@ def _node(tag: str, attrs: str, up: Node | None) -> Node:
     node = Node(tag, path, up, dropped, headings, bool(up and up.link) or tag == "a", weight)
     if doubtful:
         node.doubtful = node
+        at = up if told == "part" else None
+        while at and not node.part:
+            node.part, at = at.tag in ("article", "main"), at.up
     return node
 
 
 def blocks(source: str, paths: list[bytes] | None = None) -> tuple[list[tuple[str, Node, int]], list[Node]]:
     """(text, innermost container, link chars) of each block that isn't left out, in page order; all containers. Doubtful
-    elements stay where they hold most of the text or a container on one of the paths lies in them, or around them."""
+    elements stay where they hold most of the text or a container on one of the paths lies in them, or around them; inside an article
+    or main element also where their names have an article's meaning as well and most of their text is prose."""
     found, containers = read_blocks(source)
     if not any(node.doubtful for _, node, _ in found):
         return found, containers
     total = 0
-    for text, node, _ in found:
+    for text, node, linked in found:
         total += len(text)
         at = node.doubtful
         while at:
             at.chars += len(text)
+            at.prose += len(text) if len(text) >= PROSE and 4 * linked < len(text) else 0
             at = at.up.doubtful
     kept = set()
     won = set(paths or [])
@@ -175,7 +192,7 @@ def blocks(source: str, paths: list[bytes] | None = None) -> tuple[list[tuple[st
     def stays(node: Node) -> bool:
         at = node.doubtful
         while at:
-            if 2 * at.chars <= total and id(at) not in kept:
+            if 2 * at.chars <= total and id(at) not in kept and not (at.part and 2 * at.prose > at.chars):
                 return False
             at = at.up.doubtful
         return True
@@ -186,12 +203,21 @@ def blocks(source: str, paths: list[bytes] | None = None) -> tuple[list[tuple[st
 def read_blocks(source: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
     """blocks() with those of doubtful elements."""
     root = Node("#root", b"", None, False, False, False, 1.0)
+    root.path = hashlib.blake2b(b"#root", digest_size=12).digest()
     stack, containers, out = [root], [], []
     over: list[str] = []
+    # How many elements of a tag are open, and open beyond the limit of nesting: what closes nothing isn't looked for.
+    opened: dict[str, int] = defaultdict(int)
+    beyond: dict[str, int] = defaultdict(int)
     pieces: list[str] = []
     linked = 0
     at, n = 0, len(source)
 
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+        del stack[k:]
+
     def flush() -> None:
         nonlocal linked
         if pieces:
@@ -217,9 +243,12 @@ def read_blocks(source: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
             if node.link:
                 linked += len(text.strip())
 
-    while m := _TOKEN.search(source, at):
+    end = source.rfind(">") + 1  # no tag ends behind: else each unclosed one would be read to the end of the page
+    while m := _TOKEN.search(source, at, end) or _OPEN_COMMENT.search(source, at):
         say(at, m.start())
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            at = n
         close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
@@ -227,19 +256,23 @@ def read_blocks(source: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
         if close:
             if tag in BLOCK:
                 flush()
-            if tag in over:
-                del over[len(over) - 1 - over[::-1].index(tag) :]
+            if beyond[tag]:
+                while beyond[tag]:
+                    last = over.pop()
+                    beyond[last] -= 1
+                    if last == tag:
+                        break
                 continue
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in LIMITS and tag not in LIMITS:
                     break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            at = end.end() if end else n
+            closing = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            at = closing.end() if closing else n
             continue
         if tag == "br" or tag == "wbr":
             if tag == "br" and not stack[-1].dropped:
@@ -248,9 +281,9 @@ def read_blocks(source: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
         if tag in BLOCK:
             flush()
             gone = CLOSES.get(tag, ()) if tag in CLOSES else ("p",)
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in gone) else ():
                 if stack[k].tag in gone:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in LIMITS and stack[k].tag not in gone:
                     break
@@ -258,14 +291,19 @@ def read_blocks(source: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
             continue
         if len(stack) > 512:  # deeper nesting than browsers keep: the text belongs to the node above
             over.append(tag)
+            beyond[tag] += 1
             continue
         node = _node(tag, attrs, stack[-1])
         stack.append(node)
+        opened[tag] += 1
         if tag in CONTAINER and not node.dropped:
             containers.append(node)
     if at < n:
         say(at, n)
     flush()
+    # Blocks outside every container, as on a page without a body element, have the page itself for one.
+    if any(node is root for _, node, _ in out):
+        containers.insert(0, root)
     return out, containers
 
 
