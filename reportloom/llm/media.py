@@ -216,11 +216,11 @@ def first_entry(data: bytes) -> int:
     return len(data)
 
 
-def entries(data: bytes, before: int) -> Iterator[tuple[str, int, int, str]]:
-    """(name, offset, bytes, comment) of each entry of a piece of a directory that begins before this place."""
+def entries(data: bytes, before: int) -> Iterator[tuple[str, int, int, int, str]]:
+    """(name, offset, bytes, checksum, comment) of each entry of a piece of a directory that begins before this place."""
     at = first_entry(data)
     while at < before:
-        size, _, n, extra, note = struct.unpack("<IIHHH", data[at + 20 : at + 34])
+        crc, size, _, n, extra, note = struct.unpack("<IIIHHH", data[at + 16 : at + 34])
         offset = struct.unpack("<I", data[at + 42 : at + 46])[0]
         name, more = data[at + 46 : at + 46 + n].decode(), data[at + 46 + n : at + 46 + n + extra]
         while len(more) >= 4:  # large sizes and offsets stand in an extra field, in this order
@@ -229,7 +229,7 @@ def entries(data: bytes, before: int) -> Iterator[tuple[str, int, int, str]]:
                 big = [x[0] for x in struct.iter_unpack("<Q", more[4 : 4 + length // 8 * 8])]
                 size, offset = [big.pop(0) if x == 0xFFFFFFFF and big else x for x in (size, offset)]
             more = more[4 + length :]
-        yield name, offset, size, data[at + 46 + n + extra : at + 46 + n + extra + note].decode()
+        yield name, offset, size, crc, data[at + 46 + n + extra : at + 46 + n + extra + note].decode()
         at += 46 + n + extra + note
 
 
@@ -281,8 +281,9 @@ class ArchiveReader(DataSourceReader):
             if name.endswith(".zip") and (self.only is None or name in self.only):
                 yield (name, info.size, *directory(fs, info.path)[:2])
 
-    def member(self, fs: pafs.FileSystem, path: str, offset: int, size: int, files: list) -> bytes:
-        """One member's bytes by its offset; a failed try opens the file anew and concerns this member alone."""
+    def member(self, fs: pafs.FileSystem, path: str, offset: int, size: int, crc: int, files: list) -> bytes:
+        """One member's bytes by its offset, which must have the directory's checksum; a failed try opens the file anew and
+        concerns this member alone. Members are stored, not compressed."""
         for k in range(self.retries):
             try:
                 if not files:
@@ -294,6 +295,8 @@ class ArchiveReader(DataSourceReader):
                 data = files[0].read_at(size, offset + 30 + n + extra)
                 if len(data) != size:
                     raise ValueError(f"{path}: the member at {offset} is cut off")
+                if zlib.crc32(data) != crc:
+                    raise ValueError(f"{path}: the member at {offset} is damaged")
                 return data
             except (OSError, ValueError, struct.error):
                 files.clear()
@@ -315,9 +318,9 @@ class ArchiveReader(DataSourceReader):
             names, offsets, data, errors = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(names), pa.array(offsets, pa.int64()), pa.array(data, pa.binary()), pa.array(errors, pa.string())], ["name", "offset", "content", "error"])
 
-        for name, offset, size, note in entries(listed, part.last - part.first):
+        for name, offset, size, crc, note in entries(listed, part.last - part.first):
             try:
-                data, error = self.member(fs, path, offset, size, files), None
+                data, error = self.member(fs, path, offset, size, crc, files), None
             except (OSError, ValueError, struct.error) as e:
                 if self.on_error != "null":
                     raise
