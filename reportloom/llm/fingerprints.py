@@ -13,8 +13,8 @@ the part of a text that its predecessor takes over is sent to it.
 
 Defined results: a null text is the empty text, whose one paragraph is empty; two texts without words are alike (1.0);
 a null id comes last; rows of one id follow each other by the hash of their texts; a single row is its own next;
-an empty table gives an empty table; further columns are not read. Rows without an id, and rows of one id, are ordered in one
-task and joined with each other: ids are meant to be unique, and a table of which a great part has none is slow.
+an empty table gives an empty table; further columns are not read. Rows without an id are dealt over tasks by the hash of their text;
+equal rows (id and text) are numbered in one task, without their texts' being held.
 """
 
 from __future__ import annotations
@@ -106,22 +106,25 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def with_next(prints: DataFrame, parts: int) -> DataFrame:
-    """The rows of fingerprints() with ord (id, null lowest), k (place among rows of one id), next_ord, next_k and
-    next_v of the row that follows in descending order of ids; the first follows the last."""
+    """The rows of fingerprints() with ord (id, null lowest), h, k (place among rows of one id and hash), next_ord, next_h, next_k and
+    next_v of the row that follows in descending order of ids, rows of one id by h and k; the first follows the last. Rows
+    without an id are dealt by ranges of h."""
     rows = prints.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)))
-    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("ord").orderBy("h")))
+    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("ord", "h").orderBy(F.lit(0))))
     bounds = prints.agg(F.percentile_approx("doc_id", [j / parts for j in range(1, parts)], 10_000).alias("bounds"))
     # One row of at most `parts` bounds: it is joined to all rows by broadcast.
-    ranged = rows.join(F.broadcast(bounds)).withColumn("range", F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col("ord"))), F.lit(0))).drop("bounds")
-    here = F.struct("ord", "k", "v")
-    inside = W.partitionBy("range").orderBy(F.col("ord").desc(), "k")
+    ids = F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col("ord"))), F.lit(0))
+    # Ranges of rows without an id are negative: a range's number falls along the order, as with ids.
+    ranged = rows.join(F.broadcast(bounds)).withColumn("range", F.when(F.col("doc_id").isNull(), -513 - F.shiftright("h", 54)).otherwise(ids).cast("int")).drop("bounds")
+    here = F.struct("ord", "h", "k", "v")
+    inside = W.partitionBy("range").orderBy(F.col("ord").desc(), "h", "k")
     ranged = ranged.withColumn("nxt", F.lead(here).over(inside))
-    # The first row of each range: at most `parts` rows, so that a window over all of them is small.
-    heads = ranged.groupBy("range").agg(F.min_by(here, F.struct(-(F.col("ord") + 1), F.col("k"))).alias("head"))
+    # The first row of each range: at most `parts` + 1024 rows, so that a window over all of them is small.
+    heads = ranged.groupBy("range").agg(F.min_by(here, F.struct(-(F.col("ord") + 1), F.col("h"), F.col("k"))).alias("head"))
     every = W.orderBy(F.col("range").desc())
     follow = heads.select("range", F.coalesce(F.lead("head").over(every), F.first("head").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("after"))
     out = ranged.join(F.broadcast(follow), "range").withColumn("nxt", F.coalesce("nxt", "after"))
-    return out.select("doc_id", "ord", "k", "n_chars", "v", F.col("nxt.ord").alias("next_ord"), F.col("nxt.k").alias("next_k"), F.col("nxt.v").alias("next_v"))
+    return out.select("doc_id", "ord", "h", "k", "n_chars", "v", F.col("nxt.ord").alias("next_ord"), F.col("nxt.h").alias("next_h"), F.col("nxt.k").alias("next_k"), F.col("nxt.v").alias("next_v"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,14 +133,15 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = written(fingerprints(docs), "prints")
     chain = written(with_next(prints, parts), "chain")
     text = F.coalesce(F.col("text"), F.lit(""))
-    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("ord"), text.alias("text"))
-    whole = whole.withColumn("k", F.row_number().over(W.partitionBy("ord").orderBy(F.xxhash64("text"))))
-    want = chain.select(F.col("ord").alias("to_ord"), F.col("k").alias("to_k"), "next_ord", "next_k", F.floor(F.col("n_chars") / 3).cast("int").alias("need"))
-    # Places among rows of one id are compared as a difference: both sides stay dealt by id alone.
-    sent = whole.join(want, (F.col("ord") == F.col("next_ord")) & (F.col("k") - F.col("next_k") == 0)).select("to_ord", "to_k", "need", F.substring("text", F.lit(1), F.col("need")).alias("lent"))
-    own = whole.join(sent, (F.col("ord") == F.col("to_ord")) & (F.col("k") - F.col("to_k") == 0))
-    own = own.select("ord", "k", F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("need")), "lent").alias("edited"))
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("ord"), F.xxhash64(text).alias("h"), text.alias("text"))
+    whole = whole.withColumn("k", F.row_number().over(W.partitionBy("ord", "h").orderBy(F.lit(0))))
+    want = chain.select(F.col("ord").alias("to_ord"), F.col("h").alias("to_h"), F.col("k").alias("to_k"), "next_ord", "next_h", "next_k", F.floor(F.col("n_chars") / 3).cast("int").alias("need"))
+    same = lambda kind: (F.col("ord") == F.col(f"{kind}_ord")) & (F.col("h") == F.col(f"{kind}_h")) & (F.col("k") - F.col(f"{kind}_k") == 0)
+    # Places among equal rows are compared as a difference: both sides stay dealt by id and hash alone.
+    sent = whole.join(want, same("next")).select("to_ord", "to_h", "to_k", "need", F.substring("text", F.lit(1), F.col("need")).alias("lent"))
+    own = whole.join(sent, same("to"))
+    own = own.select("ord", "h", "k", F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("need")), "lent").alias("edited"))
     edited = own.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    edited = vectors(edited, ["ord", "k", "edited_sha256"], "edited").select("ord", F.col("k").alias("e_k"), "edited_sha256", F.col("v").alias("e"))
-    both = chain.join(edited, "ord").where(F.col("k") - F.col("e_k") == 0)
+    edited = vectors(edited, ["ord", "h", "k", "edited_sha256"], "edited").select("ord", "h", F.col("k").alias("e_k"), "edited_sha256", F.col("v").alias("e"))
+    both = chain.join(edited, ["ord", "h"]).where(F.col("k") - F.col("e_k") == 0)
     return both.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("v")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), likeness(F.col("v"), F.col("e")).alias("near_edited"), likeness(F.col("v"), F.col("next_v")).alias("near_next"))
