@@ -7,8 +7,7 @@ stripes by their statistics and rows by index and filter (`find`). Each row also
 range: with the sums of the ranges, one small row each, that gives every document's start without ordering anything again.
 
 Words between white space are encoded once and remembered, up to SEEN of them; new ones go through the tokenizers library many at a
-time. White space ends a word for normaliser and splitter of the file alike, so this gives the ids of the whole text; texts with the
-four control characters that only Python takes for white space are split without them.
+time. ASCII white space ends a word for normaliser and splitter of the file alike, so this gives the ids of the whole text.
 
 Defined results: a null text is the empty text and has the end id alone; null ids come first; rows that share an id are ordered by hash
 and text, equal rows stand beside each other and differ in start alone; an empty table gives an empty table; further columns aren't read.
@@ -16,41 +15,40 @@ and text, equal rows stand beside each other and differ in start alone; an empty
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table, temporary, texts, written
+from .common import bounded_batches, table, temporary, written
 
 #: The id after each document, by the contract.
 END = 1
-#: Bounds of what a worker remembers: words, and characters of a word.
+#: Words that a worker remembers, and an eighth of their ids, before it starts anew.
 SEEN = 700_000
-LONGEST = 64
 #: Words that go through the library in one text.
-TOGETHER = 2000
+TOGETHER = 200
 #: Rows of a stride of the row index and of its Bloom filters; bytes of a stripe in the writer's memory.
 INDEX_ROWS = 1000
 STRIPE_BYTES = 32 << 20
 
-_ODD = re.compile("[\x1c-\x1f]")
-_BLANK = re.compile("[ \t-\r\x85\xa0]+")
 #: A word of its own with one id; words that have it are encoded alone.
 BAR = "|"
 
 
 class Words:
-    """The ids of texts by a tokenizer file that drops white space between words."""
+    """The ids of texts by a tokenizer file that drops white space between words. The ids of known words lie in one array; a batch's
+    texts are cut, and its distinct words found, by Arrow, and the ids of its words are gathered from the array."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,46 +57,73 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.bar = self.library.encode(BAR, add_special_tokens=False).ids
-        self.seen: dict[str, bytes] = {}
-
-    def alone(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Packed ids of words."""
-        plain = [w for w in new if BAR not in w] if len(self.bar) == 1 else []
-        out = {w: self.alone(w) for w in new if BAR in w or len(self.bar) != 1}
-        cut = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
-        for own, found in zip(cut, self.library.encode_batch_fast([f" {BAR} ".join(x) for x in cut], add_special_tokens=False)):
-            ids = np.array(found.ids, "<i4")
-            ends = np.flatnonzero(ids == self.bar[0]) * 4
-            raw = ids.tobytes()
-            out.update((w, raw[a:b]) for w, a, b in zip(own, [0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)]))
-        return out
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        if _ODD.search(text):
-            return [w for w in _BLANK.split(text) if w]
-        return (text.lower() if text.isascii() and "<|" not in text else text).split()
-
-    def encode_all(self, batch: list[str]) -> list[bytes]:
-        """Packed ids (little-endian 32-bit) of each text."""
-        cut = [self.words(t) for t in batch]
-        words = list(chain.from_iterable(cut))
-        got = list(map(self.seen.get, words))
-        if None in got:
-            found = self.learn(list({w for w, g in zip(words, got) if g is None}))
-            if len(self.seen) + len(found) > SEEN:
-                self.seen.clear()
-            self.seen.update((w, g) for w, g in found.items() if len(w) <= LONGEST)
-            got = [found[w] if g is None else g for w, g in zip(words, got)]
-        out, at = [], 0
-        for own in cut:
-            out.append(b"".join(got[at : at + len(own)]))
-            at += len(own)
-        return out
+        self.bar = self.alone(BAR)
+        self.bare = self._bare(path)
+        self.forget()
+
+    def _bare(self, path: str):
+        """The same tokenizer without the steps that do nothing to lower-case ASCII words: normaliser, letters for bytes and search for
+        special tokens; None for a file whose steps are others."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("normalizer") or {}).get("normalizers") or [{}]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        spec["normalizer"], spec["pre_tokenizer"], spec["added_tokens"] = None, cuts[0], []
+        if not {x.get("type") for x in steps} <= {"NFC", "Replace", "Lowercase"} or [x.get("type") for x in cuts] != ["Split", "ByteLevel"] or cuts[1].get("add_prefix_space") or cuts[1].get("use_regex"):
+            return None
+        bare, probe = Tokenizer.from_str(json.dumps(spec)), " ".join(f"{chr(c)} a{chr(c)}b{chr(c)}{chr(c)}" for c in range(33, 127) if not chr(c).isupper())
+        return bare if bare.encode(probe, add_special_tokens=False).ids == self.library.encode(probe, add_special_tokens=False).ids else None
+
+    def forget(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def alone(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def learn(self, new: list[str]) -> None:
+        """Put the ids of words behind those of the known ones."""
+        kinds: tuple[list[str], ...] = ([], [], [])  # encoded alone, by the whole tokenizer, by the bare one
+        for w in new:
+            kinds[0 if BAR in w or len(self.bar) != 1 else 2 if self.bare and w.isascii() and w.isprintable() and w == w.lower() and "<|" not in w else 1].append(w)
+        found = [self.alone(w) for w in kinds[0]]
+        sizes = [np.array([len(x) for x in found], np.int64)]
+        for tok, own in ((self.library, kinds[1]), (self.bare, kinds[2])):
+            cut = [f" {BAR} ".join(own[k : k + TOGETHER]) for k in range(0, len(own), TOGETHER)]
+            for got in tok.encode_batch_fast(cut, add_special_tokens=False) if cut else ():
+                ids = np.array(got.ids, np.int32)
+                bars = ids == self.bar[0]
+                found.append(ids[~bars])
+                sizes.append(np.diff(np.flatnonzero(bars), prepend=-1, append=len(ids)) - 1)
+        size = np.concatenate(sizes)
+        self.seen.update(zip([*kinds[0], *kinds[1], *kinds[2]], range(len(self.seen), len(self.seen) + len(new))))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *found])
+
+    def encode_all(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, their number in each text); a null text has none."""
+        if len(self.seen) > SEEN or len(self.ids) > 8 * SEEN:
+            self.forget()
+        cut = pc.ascii_split_whitespace(pc.fill_null(batch, ""))
+        flat, bounds = cut.flatten(), cut.offsets.to_numpy()
+        # Only words of ASCII letters are lowered here: that changes nothing, but for the strings of special tokens.
+        small = pc.and_(pc.string_is_ascii(flat), pc.invert(pc.match_substring(flat, "<|")))
+        coded = pc.if_else(small, pc.ascii_lower(flat), flat).dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
+        slots = np.fromiter(map(self.seen.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            self.learn(words[new].tolist())
+            slots[new] = np.fromiter(map(self.seen.get, words[new]), np.int64, len(new))
+        at = slots[coded.indices.to_numpy()]
+        sizes = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.first[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, np.diff(ends[bounds - bounds[0]])
 
 
 _LOADED: dict[str, Words] = {}
@@ -134,13 +159,12 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
     dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, last = words(path or vocabulary_path()), np.array([end], "<i4").tobytes()
-        own, before = TaskContext.get().partitionId(), 0
+        tok, own, before = words(path or vocabulary_path()), TaskContext.get().partitionId(), 0
         for batch in batches:
-            packed = [x + last for x in tok.encode_all(texts(batch, 1))]
-            sizes = np.array([len(x) // 4 for x in packed], np.int64)
+            found, sizes = tok.encode_all(batch.column(1))
+            found, sizes = np.insert(found, np.cumsum(sizes), end), sizes + 1
             ends = np.cumsum(sizes)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(found))
             columns = [batch.column(0), pa.array(np.full(len(sizes), own, np.int32)), pa.array(before + ends - sizes), pa.array(sizes), ids]
             before += int(ends[-1]) if len(ends) else 0
             yield pa.RecordBatch.from_arrays(columns, kind.names)

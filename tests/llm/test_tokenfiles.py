@@ -4,6 +4,7 @@ import glob
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 from reportloom.llm import tokenfiles
@@ -38,9 +39,11 @@ def test_words_equal_library_on_odd_texts(library):
     odd = [t for c in marks for t in (f"ab{c}Cd 1", f"{c} x", f"it{c}'s  é{c}", f"A{c}<|endoftext|> b")]
     odd += ["a|b | c || '|", "x<|endoftext|>y <|ENDOFTEXT|> <|startoftext|>", "", " ", "ΑΣ ΣΑΣ", "é ́e", "a" * 5000, "12345 don't WE'LL"]
     for _ in range(2):  # unknown words, then remembered ones
-        got = tok.encode_all(odd)
-        for t, packed in zip(odd, got):
-            assert np.frombuffer(packed, "<i4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+        ids, sizes = tok.encode_all(pa.array([*odd, None])[1:])
+        ends = np.cumsum(sizes)
+        assert len(sizes) == len(odd) and sizes[-1] == 0
+        for t, a, b in zip(odd[1:], ends - sizes, ends):
+            assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_edge_rows(spark, edge, nothing, library, tmp_path):
