@@ -13,17 +13,31 @@ def part(url: Column, k: int) -> Column:
     return F.regexp_extract(url, _URL, k)
 
 
+def without_dots(path: Column) -> Column:
+    """A path whose . and .. segments are followed; .. at the root is dropped."""
+    empty = F.array().cast("array<string>")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    walked = F.aggregate(F.split(path, "/"), empty, step)
+    folder = path.rlike(r"(^|/)\.\.?$")  # the last segment is a folder
+    text = F.array_join(F.when(folder, F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.when(text.startswith("/"), text).otherwise(F.concat(F.lit("/"), text))).otherwise(path)
+
+
 def resolve(href: Column, page: Column) -> Column:
-    """An absolute address from a link on a page: full, //host, /path, ?query, #fragment or a relative path."""
+    """An absolute address from a link on a page: full, //host, /path, ?query, #fragment or a relative path; dot segments of the
+    latter two are followed and empty segments of a relative path's left out."""
     origin = F.concat(part(page, 1), F.lit("://"), part(page, 2))
     folder = F.regexp_replace(part(page, 3), "[^/]*$", "")
+    path = F.regexp_extract(href, "^[^?#]*", 0)
+    rest = F.substring(href, F.length(path) + 1, F.length(href))
+    inner = F.regexp_replace(F.concat(F.when(folder == "", "/").otherwise(folder), path), "/+", "/")
     return (
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(part(page, 1), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("/"), F.concat(origin, without_dots(path), rest))
         .when(href.startswith("?"), F.concat(origin, part(page, 3), href))
         .when((href == "") | href.startswith("#"), F.concat(origin, part(page, 3), F.when(part(page, 4) != "", F.concat(F.lit("?"), part(page, 4))).otherwise("")))
-        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), href))
+        .otherwise(F.concat(origin, without_dots(inner), rest))
     )
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalised
+from .matcher import matched
+from .spread import spread
 
 
 @dataclass
@@ -72,34 +74,36 @@ def states(text: Column, tax: Taxonomy) -> Column:
 
 @dataclass
 class Noted:
-    """What several rules ask of a record, as columns: normalised title and summary, states named in the title."""
+    """What several rules ask of a record, as columns: states named in the title and, from matcher.matched(), the first rule that
+    hits and the rest; or else the normalised title and summary."""
 
-    title: Column
-    summary: Column
     states: Column
+    told: Column | None = None
+    title: Column | None = None
+    summary: Column | None = None
 
 
 def noted(df: DataFrame, title: Column, summary: Column, tax: Taxonomy) -> tuple[DataFrame, Noted]:
-    """The rows with these columns projected once, and the columns. Rules that name the expressions themselves would have them
-    evaluated anew in each."""
-    names = []
-    for name in ("_title", "_summary", "_states"):
-        while name in df.columns:
-            name += "_"
-        names.append(name)
-    out = df.select("*", normalised(title).alias(names[0]), normalised(summary).alias(names[1]), states(title, tax).alias(names[2]))
-    return out, Noted(*[F.col(x) for x in names])
+    """The rows with what all terms of the taxonomy find in both texts, read once by an automaton, and the columns."""
+    name = "_told"
+    while name in df.columns:
+        name += "_"
+    out = spread(df).select("*", matched(title, summary, tax).alias(name))
+    return out, Noted(F.col(f"{name}.states"), F.col(name))
 
 
 def noted_of(title: Column, summary: Column, tax: Taxonomy) -> Noted:
-    return Noted(normalised(title), normalised(summary), states(title, tax))
+    return Noted(states(title, tax), None, normalised(title), normalised(summary))
 
 
 def classified(title: Column, summary: Column, tax: Taxonomy, n: Noted | None = None) -> Column:
     """struct(key, label, matched_on): the first rule that hits, all rules on the title before any on the summary.
 
-    One CASE chain over two normalised texts; evaluation stops at the first hit."""
+    One CASE chain over two normalised texts, for taxonomies of a few terms; evaluation stops at the first hit. With noted() terms
+    of any number take one reading."""
     n = n or noted_of(title, summary, tax)
+    if n.told is not None:
+        return F.struct(*[n.told[x].alias(x) for x in ("key", "label", "matched_on")])
     has_state = F.size(n.states) > 0
     out = None
     for where, c in (("title", n.title), ("summary", n.summary)):
@@ -128,8 +132,9 @@ def regions(title: Column, summary: Column, found_states: Column, tax: Taxonomy,
     of = lambda array, name: F.arrays_overlap(array, F.array(*[F.lit(s) for s, r in region_of.items() if r == name] or [F.lit(None).cast("string")]))
     alias = {r.name: "|".join(rf"(?<![a-z]){re.escape(a.lower())}(?![a-z])" for a in r.aliases) or r"(?!)" for r in tax.regions}
     by_title = _ordered(names, lambda n: F.coalesce(of(own, n), F.lit(False)))
-    mixed = _ordered(names, lambda r: F.coalesce(of(found_states, r), F.lit(False)) | n.title.rlike(alias[r]))
-    last = _ordered(names, lambda r: n.summary.rlike(alias[r]))
+    in_title = lambda r: n.title.rlike(alias[r]) if n.told is None else F.array_contains(n.told["title_regions"], r)
+    mixed = _ordered(names, lambda r: F.coalesce(of(found_states, r), F.lit(False)) | in_title(r))
+    last = _ordered(names, lambda r: n.summary.rlike(alias[r])) if n.told is None else n.told["summary_regions"]
     return F.when(F.size(own) > 0, by_title).when(F.size(mixed) > 0, mixed).otherwise(last)
 
 
@@ -211,9 +216,9 @@ def record(df: DataFrame, tax: Taxonomy, as_of: str, seen: Column | None = None)
     c = c.withColumn("_c", classified(title, told, tax, n))
     own = n.states
     if tax.states_from_summary:
-        own = F.when(F.size(own) > 0, own).otherwise(states(told, tax))
+        own = F.when(F.size(own) > 0, own).otherwise(n.told["told_states"])
     cover = F.col("pdf_text.text") if "pdf_text" in df.columns else F.lit("")
-    steps = [subject_states(told, tax), cover_states(cover, tax), gazetteer_states(told, tax)]
+    steps = [subject_states(told, tax), cover_states(cover, tax), n.told["places"]]
     fallback = F.when(F.size(steps[0]) > 0, steps[0]).when(F.size(steps[1]) > 0, steps[1]).otherwise(steps[2])
     found = F.when((F.size(own) == 0) & F.col("_c.key").isin(tax.subject_state_from_summary), fallback).otherwise(own)
     c = c.withColumn("states", allowed(found, F.col("_c.key"), tax))

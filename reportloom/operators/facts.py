@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import METRICS, NUMBER, local_subject, number, sentence_key, sentences, subject, subject_place
+from ..functions.text import LABEL_SUBJECTS, METRICS, NUMBER, SUBJECTS, local_subject, number, subject, subject_place
+from .spread import spread
 
 #: Sentences of a report, by the rule that the source after a full one still adds its first new sentence.
 SENTENCES = 45
@@ -35,26 +37,122 @@ def clean_page(text: Column, activities: list[str], place: str) -> Column:
 def sentence_rows(df: DataFrame, keys: list[str], limit: int = SENTENCES) -> DataFrame:
     """keys, idx, text, source: distinct sentences of columns page, summary, pdf, in that order of trust. A source
     takes at most limit less what those before it took, but at least one."""
-    held = df.select(*keys, *[F.transform(sentences(F.col(x)), lambda t: F.struct(sentence_key(t).alias("key"), t.alias("text"))).alias(x) for x in SOURCES])
-    names: list[str] = []
-    for name in SOURCES:
-        # First places of keys inside a source, then what earlier sources hold, then the room that is left.
-        held = held.withColumn(f"{name}_keys", F.transform(name, lambda t: t["key"]))
-        own = F.filter(F.transform(name, lambda t, i: F.struct(t["key"].alias("key"), t["text"].alias("text"), i.alias("i"))), lambda t: F.array_position(f"{name}_keys", t["key"]) == t["i"] + 1)
-        if names:
-            held = held.withColumn("seen", F.concat(*[F.transform(x, lambda t: t["key"]) for x in names]))
-            own = F.filter(own, lambda t: ~F.array_contains("seen", t["key"]))
-            room = F.greatest(F.lit(1), F.lit(limit) - F.size("seen"))
-        else:
-            room = F.lit(limit)
-        held = held.withColumn(f"{name}_own", own).withColumn(f"{name}_kept", F.slice(f"{name}_own", F.lit(1), room))
-        names.append(f"{name}_kept")
-    every = F.concat(*[F.transform(f"{x}_kept", _labelled(x)) for x in SOURCES])
-    return held.select(*keys, F.posexplode(every).alias("idx", "s")).select(*keys, "idx", F.col("s.text").alias("text"), F.col("s.source").alias("source"))
-
-
-def _labelled(source: str):
-    return lambda t: F.struct(t["text"].alias("text"), F.lit(source).alias("source"))
+    return read(df, keys, limit, None).select(*keys, F.explode("s").alias("s")).select(*keys, F.col("s.idx").alias("idx"), F.col("s.text").alias("text"), F.col("s.source").alias("source"))
+
+
+def figure_rows(df: DataFrame, keys: list[str], limit: int = SENTENCES, metrics: list[tuple[str, str]] = METRICS) -> DataFrame:
+    """keys, ord, label, value, idx, subject, source: each (label, value, subject) of a report once, where it comes first, as figures()
+    finds it in sentence_rows(), but in one pass and without a shuffle: a row of df is a report."""
+    names = ("ord", "label", "value", "idx", "subject", "source")
+    return read(df, keys, limit, metrics).select(*keys, F.explode("f").alias("f")).select(*keys, *[F.col(f"f.{x}").alias(x) for x in names])
+
+
+_READ = "s array<struct<idx:int,text:string,source:string>>, f array<struct<ord:int,label:string,value:bigint,idx:int,subject:string,source:string>>"
+
+
+def read(df: DataFrame, keys: list[str], limit: int = SENTENCES, metrics: list[tuple[str, str]] | None = METRICS) -> DataFrame:
+    """keys, s (sentences) and f (figures; empty without metrics) of each row, which has columns page, summary, pdf: every text is read once,
+    by one Arrow pass with patterns compiled once a task. Null texts have no sentences."""
+    kinds = T.StructType([df.schema[k] for k in keys] + T.StructType.fromDDL(_READ).fields)
+    told = [to_arrow_type(f.dataType) for f in kinds.fields[-2:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Searched(metrics or [])
+        for batch in batches:
+            s, f = [], []
+            for texts in zip(*(batch.column(len(keys) + k).to_pylist() for k in range(len(SOURCES)))):
+                own = distinct_sentences(texts, limit)
+                s.append([{"idx": k, "text": t, "source": x} for k, (t, x) in enumerate(own)])
+                f.append(search.figures(own) if metrics else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(s, told[0]), pa.array(f, told[1])], kinds.names)
+
+    return spread(df.select(*keys, *SOURCES)).mapInArrow(run, kinds)
+
+
+_SIGNS = re.compile("[\ufffd\x00-\x08\x0b\x0c\x0e-\x1f\ue000-\uf8ff]")
+_ENDS = re.compile(r"(?<=[.;!?])\s+(?=[A-Z0-9(])")
+
+
+def distinct_sentences(texts: tuple[str | None, ...], limit: int) -> list[tuple[str, str]]:
+    """(sentence, source) of a report, as sentences() cuts them and sentence_rows() chooses."""
+    out: list[tuple[str, str]] = []
+    seen: set[str] = set()
+    for source, text in zip(SOURCES, texts):
+        room, own = max(1, limit - len(out)) if out or source != SOURCES[0] else limit, {}
+        for t in _ENDS.split(" ".join(_SIGNS.sub("", text or "").split())):
+            t = t.strip(" ")
+            if 25 <= len(t) <= 450 and re.search("[0-9]", t):
+                own.setdefault(re.sub(r"\W+", "", t.lower())[:160], t)
+        new = [(k, t) for k, t in own.items() if k not in seen][:room]
+        seen.update(k for k, _ in new)
+        out += [(t, source) for _, t in new]
+    return out
+
+
+class Searched:
+    """The patterns of a list of metrics, compiled for a task."""
+
+    def __init__(self, metrics: list[tuple[str, str]]):
+        self.patterns = [(k, label, stems(noun), re.compile(rf"({NUMBER})(\s+(?:\w+\s+){{0,2}}?(?:{noun})\b)", re.I)) for k, (label, noun) in enumerate(metrics)]
+        self.subjects = [(w, s) for w, s in SUBJECTS]
+
+    def matches(self, text: str | None) -> Iterator[tuple]:
+        """(ord, label, pos, before, num, noun, after) of each number before a metric's noun, by metric."""
+        # The long s is the one letter that matches a stem's and that lower() leaves.
+        low = text.lower().replace("\u017f", "s") if text else ""
+        for k, label, some, rx in self.patterns:
+            if any(x in low for x in some):
+                for pos, m in enumerate(rx.finditer(text)):
+                    yield k, label, pos, text[max(0, m.start() - 60) : m.start()], m[1], m[2], text[m.end() : m.end() + 30]
+
+    def figures(self, sents: list[tuple[str, str]]) -> list[dict]:
+        """Each (label, value, subject) once, where it comes first."""
+        found: dict[tuple, dict] = {}
+        for idx, (text, source) in enumerate(sents):
+            about = None
+            for _, label, _, before, num, noun, after in self.matches(text):
+                value = counted(before, num, noun, after)
+                if value is None:
+                    continue
+                who = self.about(before, after, label)
+                if not who:
+                    about = subject_of(text) if about is None else about
+                    who = about
+                found.setdefault((label, value, who), {"ord": len(found), "label": label, "value": value, "idx": idx, "subject": who, "source": source})
+        return list(found.values())
+
+    def about(self, before: str, after: str, label: str) -> str:
+        """local_subject() of a match."""
+        if label in LABEL_SUBJECTS:
+            return LABEL_SUBJECTS[label]
+        low = before.lower()
+        at, k = max((low.rfind(w), -k) for k, (w, _) in enumerate(self.subjects))
+        if at >= 0:
+            who = self.subjects[-k][1]
+            return "IDPs" if who == "displaced" and "internally displaced" in low[max(0, at - 12) : at + 25] else who
+        tail = re.split("[0-9]", after, maxsplit=1)[0].lower()
+        return next((s for w, s in self.subjects if w in tail), "")
+
+
+_SHARE = re.compile(r"\d\s*%|per ?cent", re.I)
+_AVERAGED = re.compile(r"average|size of|\bper\b|ratio|rate of")
+
+
+def counted(before: str, num: str, noun: str, after: str) -> int | None:
+    """The number of a match that is_count(), else None."""
+    value = float(num.replace(" ", "").replace(",", ""))
+    if value != int(value) or 1900 <= value <= 2035 and "," not in num or _SHARE.search(num + noun + after[:3]) or _AVERAGED.search(before[-22:].lower()):
+        return None
+    return int(value)
+
+
+def subject_of(sentence: str) -> str:
+    """subject() of a text."""
+    t = sentence.lower()
+    back, idp = "returnee" in t or "returned" in t, "idp" in t or "internally displaced" in t
+    if back or idp:
+        return "" if back and idp else "returnees" if back else "IDPs"
+    return "displaced" if "displaced" in t or "fled" in t else "arrivals" if "arriv" in t else ""
 
 
 def stems(noun: str) -> list[str]:
@@ -73,23 +171,14 @@ def metric_matches(df: DataFrame, text: str = "text", metrics: list[tuple[str, s
     batches: the patterns are compiled once a task, and those without a stem in the sentence are skipped. As expressions, matches with
     their places take a plan of 22 nested searches that outgrows generated code. A null text has no matches."""
     at = df.columns.index(text)
-    wanted = [(k, label, stems(noun), rf"({NUMBER})(\s+(?:\w+\s+){{0,2}}?(?:{noun})\b)") for k, (label, noun) in enumerate(metrics)]
     names = ["ord", "label", "pos", "before", "num", "noun", "after"]
     kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = [(k, label, some, re.compile(rx, re.I)) for k, label, some, rx in wanted]
+        search = Searched(metrics)
         for batch in batches:
-            rows, found = [], []
-            for n, s in enumerate(batch.column(at).to_pylist()):
-                # The long s is the one letter that matches a stem's and that lower() leaves.
-                low = s.lower().replace("\u017f", "s") if s else ""
-                for k, label, some, rx in patterns:
-                    if any(x in low for x in some):
-                        for pos, m in enumerate(rx.finditer(s)):
-                            rows.append(n)
-                            found.append((k, label, pos, s[max(0, m.start() - 60) : m.start()], m[1], m[2], s[m.end() : m.end() + 30]))
-            columns = list(zip(*found)) or [()] * len(names)
+            found = [(n, *m) for n, s in enumerate(batch.column(at).to_pylist()) for m in search.matches(s)]
+            rows, *columns = list(zip(*found)) or [()] * (len(names) + 1)
             kept = batch.take(pa.array(rows, pa.int32()))
             yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(c, t) for c, t in zip(columns, kinds)]], [*batch.schema.names, *names])
 
@@ -116,6 +205,13 @@ def figures(sents: DataFrame, keys: list[str], metrics: list[tuple[str, str]] =
     return first.select(*keys, order.alias("ord"), "label", "value", F.col("f.idx").alias("idx"), "subject", F.col("f.source").alias("source"))
 
 
+def index(df: DataFrame, keys: list[str], limit: int = SENTENCES, metrics: list[tuple[str, str]] = METRICS) -> DataFrame:
+    """keys, s, f of each row that has sentences, in order, as indexed() gives them for reports: one pass, nothing is shuffled."""
+    out = read(df, keys, limit, metrics).where(F.size("s") > 0)
+    figure = lambda x: F.struct(*[x[n].alias(n) for n in ("label", "value", "idx", "subject", "source")])
+    return out.select(*keys, F.transform("s", lambda x: x["text"]).alias("s"), F.when(F.size("f") > 0, F.transform("f", figure)).alias("f"))
+
+
 def indexed(sents: DataFrame, figs: DataFrame, key: str = "url") -> DataFrame:
     """One row for each report that has sentences: s and f, in order."""
     s = sents.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]).alias("s"))

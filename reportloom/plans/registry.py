@@ -80,10 +80,14 @@ def noted(s: SparkSession, d: str) -> tuple[DataFrame, classify.Noted]:
     return r.withColumn("states", n.states), n
 
 
-def classed(s: SparkSession, d: str) -> DataFrame:
+def classed_with(s: SparkSession, d: str) -> tuple[DataFrame, classify.Noted]:
     r, n = noted(s, d)
     c = classify.classified(F.col("title"), F.col("summary"), TAX, n)
-    return r.withColumn("_c", c).select("*", F.col("_c.key").alias("component_key"), F.col("_c.label").alias("component"), F.col("_c.matched_on").alias("matched_on")).drop("_c")
+    return r.withColumn("_c", c).select("*", F.col("_c.key").alias("component_key"), F.col("_c.label").alias("component"), F.col("_c.matched_on").alias("matched_on")).drop("_c"), n
+
+
+def classed(s: SparkSession, d: str) -> DataFrame:
+    return classed_with(s, d)[0]
 
 
 @query_of("classify_first_match", _with(_CV, "SELECT url, component_key, component, matched_on FROM classed"))
@@ -91,10 +95,9 @@ def _(s, d):
     return classed(s, d).select("url", "component_key", "component", "matched_on")
 
 
-@query_of("classify_require_state", _with(_CV, "SELECT component_key, len(own)::INT AS n_states, count(*) AS n FROM classed WHERE contains(n_title, '2-high') GROUP BY ALL"))
+@query_of("classify_require_state", _with(_CV, "SELECT component_key, len(own)::INT AS n_states, count(*) AS n FROM classed GROUP BY ALL"))
 def _(s, d):
-    has = tx.normalised(F.col("title")).contains("2-high")
-    return classed(s, d).where(has).groupBy("component_key", F.size("states").alias("n_states")).agg(F.count("*").alias("n"))
+    return classed(s, d).groupBy("component_key", F.size("states").alias("n_states")).agg(F.count("*").alias("n"))
 
 
 @query_of("scope_filter", _with(v.V1, r"SELECT url FROM report_titles WHERE regexp_matches(title, '(?i)^\s*(africa|asia|europe|am[eé]rica)\b')"))
@@ -125,8 +128,8 @@ _RV = f"{_CV}, {REGIONED}"
 
 
 def regioned(s: SparkSession, d: str) -> DataFrame:
-    _, n = noted(s, d)
-    return classed(s, d).withColumn("regions", classify.regions(F.col("title"), F.col("summary"), F.col("states"), TAX, n))
+    r, n = classed_with(s, d)
+    return r.withColumn("regions", classify.regions(F.col("title"), F.col("summary"), F.col("states"), TAX, n))
 
 
 @query_of("region_resolve", _with(_RV, "SELECT url, array_to_string(regions, '; ') AS regions FROM regioned"))
@@ -506,7 +509,7 @@ def _(s, d):
 
 @query_of("figure_dedupe", _with(_FIGURES, "SELECT url, ord, label, value, idx, subject, source FROM figures"))
 def _(s, d):
-    return facts.figures(sents(s, d), ["url"])
+    return facts.figure_rows(v.fact_text(s, d), ["url"])
 
 
 @query_of("metric_reject", _with(_FACTS, "SELECT url, idx, label, num FROM counted"))
@@ -527,10 +530,13 @@ def _(s, d):
     return sents(s, d).select("url", "idx", tx.subject(F.col("text")).alias("subject"))
 
 
-@query_of("fact_index")
+_INDEXED = f"""{_FIGURES}, said AS (SELECT url, list(text ORDER BY idx) AS s FROM sents GROUP BY url),
+stated AS (SELECT url, list({{'label': label, 'value': value, 'idx': idx, 'subject': subject, 'source': source}} ORDER BY ord) AS f FROM figures GROUP BY url), indexed AS (FROM said LEFT JOIN stated USING (url))"""
+
+
+@query_of("fact_index", _with(_INDEXED, "SELECT url, len(s)::INT AS n_sentences, len(f)::INT AS n_figures, to_json(f)::VARCHAR AS f FROM indexed"))
 def _(s, d):
-    x = sents(s, d)
-    i = facts.indexed(x, facts.figures(x, ["url"]))
+    i = facts.index(v.fact_text(s, d), ["url"])
     return i.select("url", F.size("s").alias("n_sentences"), F.size("f").alias("n_figures"), F.to_json("f").alias("f"))
 
 
@@ -541,11 +547,12 @@ def _(s, d):
     return v.report_titles(s, d).select("url", facts.clean_page(F.concat(lead, "summary", F.lit(" Cite as ")), ["Survey", "Other", "Site Survey"], "Place Here").alias("text"))
 
 
-@query_of("figure_lookup")
+@query_of("figure_lookup", _with(f"{v.V1}, {_INDEXED}", """SELECT title, date, url, to_json(list_transform(coalesce(f, [])[1:25], lambda x: {'label': x.label, 'value': x.value, 'sentence': s[x.idx + 1]}))::VARCHAR AS figures, array_to_string(hits[1:15], ' | ') AS sentences
+FROM (SELECT *, list_filter(s, lambda x: contains(lower(x), 'camps')) AS hits FROM (SELECT title, date, url, row_number() OVER (ORDER BY coalesce(date, '') DESC, title DESC, url) AS id FROM report_titles) JOIN indexed USING (url) WHERE contains(lower(title), 'asia') AND contains(lower(title), 'round'))
+WHERE len(hits) > 0 ORDER BY coalesce(date, '') DESC, id LIMIT 5"""))
 def _(s, d):
-    x = sents(s, d)
     r = resolve.ranked(v.report_titles(s, d))
-    return query.figure_lookup(r, facts.indexed(x, facts.figures(x, ["url"])), "asia round", "camps", 5).select("title", "date", "url", F.to_json("figures").alias("figures"), F.array_join("sentences", " | ").alias("sentences"))
+    return query.figure_lookup(r, facts.index(v.fact_text(s, d), ["url"]), "asia round", "camps", 5).select("title", "date", "url", F.to_json("figures").alias("figures"), F.array_join("sentences", " | ").alias("sentences"))
 
 
 # ---- addresses, pages, discovery ----
@@ -648,8 +655,8 @@ def _(s, d):
 
 @query_of("pdf_check_set", _with(f"{v.V1}, {_EVIDENCE}", "SELECT url FROM evidence WHERE NOT ruled AND key % 6 = 2 AND key % 4 > 1"))
 def _(s, d):
-    e = evidence(s, d)
-    return e.where(~F.col("ruled") & F.col("check_kind").isNull() & F.col("x.file").isNotNull() & ~F.col("x.why").startswith("file name")).select("url")
+    e = evidence(s, d).withColumn("role", F.lit("main")).withColumn("pdf_check", F.col("check_kind"))
+    return discovery.undecided(e).select("url")
 
 
 @query_of("scan_pages", "SELECT page_id, url, length(html)::INT AS n FROM pages")
@@ -706,10 +713,30 @@ def _(s, d):
 @query_of("file_refs", _with(v.V1, "SELECT key, 'https://a.example.org/sites/g/files/' || key || '.xlsx; https://a.example.org/sites/g/files/' || key || '.pdf' AS files, 'https://a.example.org/sites/g/files/' || key || '.pdf' AS pdf FROM report_titles"))
 def _(s, d):
     t = template(s, d).select("key", html.files(F.col("html"), F.concat(F.lit("https://a.example.org"), "url")).alias("f"))
-    return t.select("key", _join(F.slice("f", 1, 20)).alias("files"), html.first_pdf(F.col("f")).alias("pdf"))
+    return t.select("key", _join(html.attached(F.col("f"))).alias("files"), html.first_pdf(F.col("f")).alias("pdf"))
+
+
+_SEEN = """seen AS (SELECT key, CASE WHEN key % 5 <> 0 THEN priority ELSE 'T' END AS t, 'Menu ' || priority || CASE WHEN key % 5 <> 0 THEN ' ' || priority ELSE '' END || ' short ' || summary || ' ' || summary
+  || CASE WHEN key % 2 = 0 THEN ' Example Press (EP), May 3, 2016 end' ELSE '' END || CASE WHEN key % 7 = 0 THEN ' x' ELSE '' END || ' Beta Alpha Beta f g' AS text FROM report_titles)"""
+_BODY_SQL = _with(f"{v.V1}, {_SEEN}", r"""SELECT key, left(trim(regexp_replace(coalesce(CASE WHEN start > 0 THEN substring(head, start) END, ''), '\s+', ' ', 'g')), 6000) AS body FROM (
+SELECT *, CASE WHEN cited > 1 THEN CASE WHEN instr(reverse(head), reverse(t)) > 0 THEN length(head) - instr(reverse(head), reverse(t)) + 2 END WHEN instr(text, t) > 0 THEN instr(text, t) + length(t) END AS start
+FROM (SELECT *, CASE WHEN cited > 1 THEN left(text, cited - 1) ELSE text END AS head FROM (SELECT *, instr(text, 'Example Press (EP),') AS cited FROM seen)))""")
+
+
+@query_of("html_text", _with(f"{v.V1}, {_SEEN}", "SELECT key, text FROM seen"))
+def _(s, d):
+    return from_template(s, d).select("key", F.col("p.text").alias("text"))
+
+
+@query_of("relative_links", r"""SELECT page_id, 'https://' || regexp_extract(url, '^[a-z]+://([^/]*)', 1) || CASE page_id % 5 WHEN 0 THEN '/a/c/x?q=../y' WHEN 1 THEN '/up' WHEN 2 THEN '/a/b' WHEN 3 THEN '/a/x' ELSE '/a/b/c' END AS link FROM pages""")
+def _(s, d):
+    k = (F.col("page_id") % 5).cast("int")
+    href = F.element_at(F.array(*[F.lit(x) for x in ("../c/./x?q=../y#z", "../../../up/", "./", "/a/b/../x", "c//")]), k + 1)
+    page = F.concat(F.lit("https://"), urls.part(F.col("url"), 2), F.lit("/a/b/page.html"))
+    return v.read(s, d, "pages").select("page_id", urls.canonical(href, page).alias("link"))
 
 
-@query_of("body_slice_whole")
+@query_of("body_slice_whole", _BODY_SQL)
 def body_slice(s, d):
     return from_template(s, d).select("key", html.body("Example Press (EP),").alias("body"))
 

@@ -39,8 +39,9 @@ def run(pages: DataFrame, tax: Taxonomy, rounds: Rounds, as_of: str, now: str, o
     body = F.col("body") if "body" in pages.columns else F.lit(None).cast("string")
     pdf = F.col("pdf_text.text") if "pdf_text" in pages.columns else F.lit(None).cast("string")
     text = unique.select("url", facts.clean_page(body, activities, place).alias("page") if activities else body.alias("page"), "summary", pdf.alias("pdf"))
-    sentences = cut(facts.sentence_rows(text, ["url"]))
-    figures = cut(facts.figures(sentences, ["url"]))
+    told = cut(facts.read(text, ["url"]))  # texts are read once
+    sentences = told.select("url", F.explode("s").alias("x")).select("url", "x.*")
+    figures = told.select("url", F.explode("f").alias("x")).select("url", "x.*")
     old, before, listed = None, None, None
     if last:
         told = spark.read.parquet(f"{last}/status").first()

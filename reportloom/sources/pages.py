@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,6 +17,10 @@ _CARD = {"article", "li", "div"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+#: Files that are kept of a page.
+FILES = 20
+
+
 class _Page(HTMLParser):
     """What a page's tags hold. Texts are the page's pieces of text from where an element opens to where it closes, so that a piece
     is kept once however deep it lies."""
@@ -45,11 +50,12 @@ class _Page(HTMLParser):
             self.close("p")
         if tag == "time" and self.when is None and a.get("datetime"):
             self.when = a["datetime"]
+        around = bool(self.pager_tags)  # by what lies around it: a link's own class makes no pager of it
         if "pager" in (a.get("class") or ""):
             self.pager_tags.append(len(self.open))
         link = None
         if tag == "a" and a.get("href") is not None:
-            link = {"href": a["href"], "text": "", "rel": a.get("rel") or "", "blob": "", "pager": bool(self.pager_tags)}
+            link = {"href": a["href"], "text": "", "rel": a.get("rel") or "", "blob": "", "pager": around}
             self.links.append(link)
             if self.cards:
                 self.cards[-1].append(link)
@@ -113,9 +119,9 @@ def parsed(pages: DataFrame, *keep: str) -> DataFrame:
     return pages.select(*keep, F.pandas_udf(_parse_all, SCHEMA)("html").alias("p"))
 
 
-def pagers(url: Column) -> Column:
+def pagers(url: Column, is_report: Callable[[Column], Column] | None = None) -> Column:
     """Addresses of a listing page's further pages: same path with a page parameter, a link to the next page, or a link of the same
-    path inside a pager."""
+    path inside a pager; never a report's, which is_report tells of an address."""
     from ..functions.urls import canonical
 
     path = lambda u: F.rtrim(F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit("")), F.lit("/"))
@@ -124,7 +130,8 @@ def pagers(url: Column) -> Column:
     def is_pager(x: Column) -> Column:
         same = path(x["u"]) == path(url)
         paged = F.coalesce(F.try_parse_url(x["u"], F.lit("QUERY")), F.lit("")).contains("page=")
-        return (same & (paged | x["pager"])) | F.array_contains(F.split(F.lower(x["rel"]), r"\s+"), "next")
+        found = (same & (paged | x["pager"])) | F.array_contains(F.split(F.lower(x["rel"]), r"\s+"), "next")
+        return found & ~is_report(x["u"]) if is_report else found
 
     return F.array_distinct(F.transform(F.filter(full, is_pager), lambda x: x["u"]))
 
@@ -166,6 +173,11 @@ def files(source: Column, url: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda f: F.split_part(resolve(F.replace(f, F.lit("&amp;"), F.lit("&")), url), F.lit("?"), F.lit(1))))
 
 
+def attached(found: Column, most: int = FILES) -> Column:
+    """The files of a page that are kept: the first ones."""
+    return F.slice(found, 1, most)
+
+
 def first_pdf(found: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(found, lambda f: F.lower(f).endswith(".pdf")), F.lit(1)), F.lit(""))
 
