@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def pivot_by_year(df: DataFrame, years: list[int], label: str = "component", year: str = "year") -> DataFrame:
-    """Dated rows counted by label and year, zero where there are none, with their total."""
+def pivot_by_year(df: DataFrame, years: list[int] | None = None, label: str = "component", year: str = "year") -> DataFrame:
+    """Dated rows counted by label and year, zero where there are none, with their total; years: by default all that occur, in order."""
+    if years is None:
+        years = sorted(r[year] for r in df.where(F.col(year) != 0).select(year).distinct().collect())
     counts = df.where(F.col(year).isin(*years)).groupBy(label).pivot(year, years).agg(F.count(F.lit(1))).na.fill(0)
     return counts.select(label, *[F.col(str(y)) for y in years], sum((F.col(str(y)) for y in years), F.lit(0)).alias("total"))
 
@@ -24,7 +26,7 @@ def additions(old: DataFrame, new: DataFrame, limit: int = 50, key: str = "url")
 
 
 def additions_or_last(old: DataFrame, new: DataFrame, last: DataFrame, limit: int = 50, key: str = "url") -> DataFrame:
-    """The new additions, or the list published last where there are none."""
+    """The new additions, or the list published last where there are none; both are at most a page of rows."""
     fresh = additions(old, new, limit, key).select(*last.columns)
     return fresh.unionByName(last.join(fresh.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left").where("_any IS NULL").drop("_any"))
 

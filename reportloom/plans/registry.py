@@ -394,6 +394,18 @@ def _(s, d):
     return publish.additions(r.where("key % 10 <> 3"), r).select("url", "id")
 
 
+@query_of("latest_additions_kept", _with(v.V1, "SELECT url, title, date, '2016-01-01' AS added FROM (SELECT *, row_number() OVER (ORDER BY coalesce(date, '') DESC, title DESC, url) AS id FROM report_titles) WHERE key % 10 = 3 ORDER BY id LIMIT 50"))
+def _(s, d):
+    r = resolve.ranked(v.report_titles(s, d)).select("id", "url", "title", "date", "key")
+    shown = publish.additions(r.where("key % 10 <> 3"), r).select("url", "title", "date", F.lit("2016-01-01").alias("added"))
+    return publish.additions_or_last(r, r.withColumn("added", F.lit("2016-02-01")), shown)
+
+
+@query_of("pivot_all_years", _with(_CV, f"SELECT component, {', '.join(f'count(*) FILTER (WHERE year = {y}) AS "{y}"' for y in YEARS)}, count(*) AS total FROM classed GROUP BY component"))
+def _(s, d):
+    return publish.pivot_by_year(classed(s, d))
+
+
 @query_of("run_counters", _with(_CV, f"SELECT count(*) FILTER (WHERE NOT scoped) AS skipped, count(*) FILTER (WHERE scoped) - count(DISTINCT {v.TITLE_KEY.format('title')}) FILTER (WHERE scoped) AS dupes, count(*) FILTER (WHERE scoped AND component_key = 'other') AS unclassified FROM (SELECT *, regexp_matches(title, '(?i)^\\s*(africa|asia|europe|am[eé]rica)\\b') AS scoped FROM classed)"))
 def _(s, d):
     return publish.counters(classed(s, d), classify.in_scope(F.col("title"), TAX), F.col("component_key") == "other", tx.title_key(F.col("title")))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import Region, Rule, Taxonomy
@@ -87,14 +89,57 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_script(df: DataFrame, path: str, variable: str) -> None:
-    """One text file "variable = [...];" for a page to load; "</" is escaped. For published, small tables."""
-    rows = df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("j"))
-    text = F.concat(F.lit(f"{variable} = "), F.replace("j", F.lit("</"), F.lit("<\\/")), F.lit(";"))
-    rows.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_document(rows: DataFrame, path: str, head: str, tail: str, order: list[Column], item: Column, script: bool = False) -> None:
+    """One text file: the head, an item of text for each row in this order, with commas between them, the tail; script: "</" is escaped, for
+    files that a page loads. The rows are sorted by all tasks and stream through the one that writes; none holds them all."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda values: pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
+        yield line([head])
+        some = False
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            if script:
+                values = [x.replace("</", "<\\/") for x in values]
+            if values:
+                yield line([("," if some else "") + values[0], *("," + x for x in values[1:])])
+                some = True
+        yield line([tail])
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header whose first name begins with a byte order mark, as spreadsheet programs want it."""
+    items = rows.orderBy(*order).select(item.alias("value")).where("value IS NOT NULL").coalesce(1)
+    items.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
+def write_script(df: DataFrame, path: str, variable: str, order: list[Column] | None = None) -> None:
+    """One text file "variable = [...];" for a page to load; "</" is escaped."""
+    write_document(df, path, f"{variable} = [", "];", order or [F.lit(0)], F.to_json(F.struct(*df.columns)), script=True)
+
+
+def write_csv(df: DataFrame, path: str, order: list[Column] | None = None) -> None:
+    """One CSV file with a header whose first name begins with a byte order mark, as spreadsheet programs want it; its rows in this order,
+    sorted by all tasks and streamed through the one that writes."""
     first, *rest = df.columns
-    df.withColumnRenamed(first, "\ufeff" + first).select("\ufeff" + first, *rest).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    rows = (df.orderBy(*order) if order else df).withColumnRenamed(first, "\ufeff" + first)
+    rows.select("\ufeff" + first, *rest).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def point(spark: SparkSession, root: str, folder: str) -> None:
+    """Make this folder the published one of a root, at once: readers of current() see the one before or this one, never a part."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+    new, kept = at(f".current-{uuid.uuid4().hex}"), at("current")
+    out = new.getFileSystem(conf).create(new, True)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, kept, over)
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    """The published folder of a root; None before the first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/current")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.text(f"{root.rstrip('/')}/current", wholetext=True).first()["value"].strip()
