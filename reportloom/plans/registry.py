@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, rounds, urls
 from ..functions import text as tx
-from ..operators import classify, discovery, facts, geometry, publish, query, reference, resolve
+from ..operators import classify, discovery, facetindex, facts, geometry, publish, query, reference, resolve
 from ..sources import pages as html
 from ..sources import pdf, workbook
 from ..sources.files import scratch
@@ -372,6 +372,31 @@ def _(s, d):
     return regioned(s, d).where(query.facets(["urgent", "Early warning"], [2014, 2016], [1, 5, 9], ["Asia", "Africa"], ["NATION_0", "NATION_2", "NATION_7"], "Report ROUND 1")).select("url")
 
 
+def facet_index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The index of V1, written, and id, url, title, summary of its reports."""
+    r = faceted(s, d)
+    folder = scratch(s, "facets")
+    facetindex.build(r).write.partitionBy("facet").parquet(folder)
+    return s.read.parquet(folder), r.select("id", "url", "title", "summary")
+
+
+for _name in ("year", "month", "component", "region", "state", "total"):
+    query_of(f"index_count_by_{_name}", _SQL[f"count_by_{_name}" if _name != "total" else "count_total"])(lambda s, d, name=_name: facetindex.count_by(facet_index(s, d)[0], "none" if name == "total" else name))
+
+
+@query_of("index_facet_filter", _SQL["facet_filter"])
+def _(s, d):
+    index, rows = facet_index(s, d)
+    found = facetindex.matching(index, ["urgent", "Early warning"], [2014, 2016], [1, 5, 9], ["Asia", "Africa"], ["NATION_0", "NATION_2", "NATION_7"])
+    return facetindex.rows_of(found, rows).where(query.facets(keyword="Report ROUND 1")).select("url")
+
+
+@query_of("index_filtered_counts", _with(_RV, f"SELECT key, count(*) AS n FROM (SELECT unnest(CASE WHEN len(own) > 0 THEN own ELSE ['(none)'] END) AS key FROM regioned WHERE year IN (2014, 2015) AND list_has_any(regions, ['Asia', 'Europe'])) GROUP BY key UNION ALL SELECT 'total', count(*) FROM regioned WHERE year IN (2014, 2015) AND list_has_any(regions, ['Asia', 'Europe'])"))
+def _(s, d):
+    index, _ = facet_index(s, d)
+    return facetindex.count_by(index, "state", facetindex.matching(index, years=[2014, 2015], regions=["Asia", "Europe"]))
+
+
 @query_of("list_topk", _with(f"{_RV}, {_FACETED}", "SELECT id, title, date, component, url FROM faceted WHERE year = 2015 ORDER BY id LIMIT 15"))
 def _(s, d):
     return query.listed(faceted(s, d).where(query.facets(years=[2015])))
