@@ -20,6 +20,39 @@ def changed_rows(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFram
     return a.exceptAll(b).withColumn("side", F.lit("old")).unionByName(b.exceptAll(a).withColumn("side", F.lit("new")))
 
 
+#: Buckets of keys whose digests are kept with a snapshot.
+DIGESTS = 1024
+
+
+def digest_bucket(key: str = "url") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(DIGESTS)).cast("int")
+
+
+def digests(df: DataFrame, columns: list[str], key: str = "url") -> DataFrame:
+    """bucket, n, a, b: for each bucket of keys the number of rows and two sums of their 64-bit hashes. Sums don't depend on the order of rows
+    and count each as often as it stands, so equal multisets have equal digests, and unlike ones equal digests with a
+    probability of about 2^-128. Partial sums are formed before the shuffle: a few numbers a task and bucket."""
+    # Each column is hashed with the names around it as text, since hashes pass over nulls.
+    row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    total = lambda x: F.sum(F.xxhash64(F.lit(x), row).cast("decimal(20,0)")).cast("string")
+    return df.groupBy(digest_bucket(key).alias("bucket")).agg(F.count("*").alias("n"), total(0).alias("a"), total(1).alias("b"))
+
+
+def changed_buckets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """bucket of each pair of digests() that differs; a bucket that one side lacks differs."""
+    both = old.select("bucket", F.struct("n", "a", "b").alias("o")).join(new.select("bucket", F.struct("n", "a", "b").alias("w")), "bucket", "full")
+    return both.where(~F.col("o").eqNullSafe(F.col("w"))).select("bucket")
+
+
+def changed_rows_of(old: DataFrame, new: DataFrame, columns: list[str], old_digests: DataFrame, new_digests: DataFrame, key: str = "url") -> DataFrame:
+    """changed_rows(), where only rows of buckets whose digests differ are compared; equal snapshots aren't read at all."""
+    differ = [r["bucket"] for r in changed_buckets(old_digests, new_digests).collect()]  # at most DIGESTS
+    if not differ:
+        return changed_rows(old.limit(0), new.limit(0), columns)
+    inside = digest_bucket(key).isin(differ) if len(differ) < DIGESTS else F.lit(True)
+    return changed_rows(old.where(inside), new.where(inside), columns)
+
+
 def additions(old: DataFrame, new: DataFrame, limit: int = 50, key: str = "url") -> DataFrame:
     """The first rows by rank whose key the old snapshot lacks; none without an old snapshot."""
     return new.join(old.select(key).distinct(), key, "left_anti").orderBy("id").limit(limit)
@@ -35,18 +68,18 @@ def additions_or_last(old: DataFrame, new: DataFrame, last: DataFrame, limit: in
 FINGERPRINT = ("url", "title", "date", "component_key", "regions", "states", "round", "round_zone", "mt_main", "matched_on", "date_basis", "period_date", "pdf")
 
 
-def status_row(old: DataFrame | None, new: DataFrame, last_changed: str | None, now: str, seconds: float | None = None, columns: tuple[str, ...] = FINGERPRINT) -> DataFrame:
+def status_row(old: DataFrame | None, new: DataFrame, last_changed: str | None, now: str, seconds: float | None = None, columns: tuple[str, ...] = FINGERPRINT, kept: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row: checked_at, last_changed, count, changed_this_run, new_this_run, crawl_seconds. Without an old snapshot all is changed
-    and nothing new; where nothing changed, last_changed is that of the last run."""
+    and nothing new; where nothing changed, last_changed is that of the last run. With kept, the digests() of both snapshots, rows aren't compared."""
     total = new.agg(F.count("*").alias("count"))
     if old is None:
         found = total.select("*", F.lit(True).alias("changed_this_run"), F.lit(0).cast("long").alias("new_this_run"))
     else:
-        differ = changed_rows(old, new, list(columns)).agg((F.count("*") > 0).alias("changed_this_run"))
+        differ = (changed_buckets(*kept) if kept else changed_rows(old, new, list(columns))).agg((F.count("*") > 0).alias("changed_this_run"))
         fresh = additions(old, new).agg(F.count("*").alias("new_this_run"))
         found = total.crossJoin(differ).crossJoin(fresh)  # one row each
-    kept = F.when(F.col("changed_this_run"), F.lit(now)).otherwise(F.coalesce(F.lit(last_changed), F.lit(now)))
-    return found.select(F.lit(now).alias("checked_at"), kept.alias("last_changed"), "count", "changed_this_run", "new_this_run", F.lit(seconds).cast("double").alias("crawl_seconds"))
+    since = F.when(F.col("changed_this_run"), F.lit(now)).otherwise(F.coalesce(F.lit(last_changed), F.lit(now)))
+    return found.select(F.lit(now).alias("checked_at"), since.alias("last_changed"), "count", "changed_this_run", "new_this_run", F.lit(seconds).cast("double").alias("crawl_seconds"))
 
 
 def joined(c: Column) -> Column:

@@ -53,12 +53,17 @@ def listed(df: DataFrame, limit: int | None = None) -> DataFrame:
 def figure_lookup(reports: DataFrame, index: DataFrame, title_words: str = "", keyword: str = "", limit: int | None = None) -> DataFrame:
     """Newest reports whose title has all words and whose text has the keyword in some sentence: figures with their
     sentences (at most 25), sentences with the keyword (at most 15)."""
-    words = [w for w in title_words.lower().split() if w]
+    both = reports.join(index, F.substring_index(reports["url"], "#", 1) == index["url"]).drop(index["url"])
+    return stated(both, title_words, keyword, limit)
+
+
+def stated(both: DataFrame, title_words: str = "", keyword: str = "", limit: int | None = None) -> DataFrame:
+    """figure_lookup() over reports that are joined with their sentences s and figures f."""
     asked = F.lit(True)
-    for w in words:
+    for w in title_words.lower().split():
         asked &= F.lower("title").contains(w)
     hits = F.filter("s", lambda x: F.lower(x).contains(keyword.lower())) if keyword else F.col("s")
-    both = reports.where(asked).join(index, F.substring_index(reports["url"], "#", 1) == index["url"]).drop(index["url"]).withColumn("sentences", hits).where(F.size("sentences") > 0)
+    found = both.where(asked).withColumn("sentences", hits).where(F.size("sentences") > 0)
     told = F.slice(F.transform(F.coalesce("f", F.array()), lambda f: F.struct(f["label"].alias("label"), f["value"].alias("value"), F.element_at("s", f["idx"] + 1).alias("sentence"))), 1, 25)
-    newest = both.orderBy(F.coalesce("date", F.lit("")).desc(), "id").limit(min(limit or 5, 20))
+    newest = found.orderBy(F.coalesce("date", F.lit("")).desc(), "id").limit(min(limit or 5, 20))
     return newest.select("title", "date", "url", told.alias("figures"), F.slice("sentences", 1, 15).alias("sentences"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, rounds, urls
 from ..functions import text as tx
-from ..operators import classify, discovery, facetindex, facts, geometry, publish, query, reference, resolve
+from ..operators import classify, discovery, facetindex, facts, geometry, lookup, publish, query, reference, resolve
 from ..sources import pages as html
 from ..sources import pdf, workbook
 from ..sources.files import scratch
@@ -413,6 +413,13 @@ def _(s, d):
     return publish.changed_rows(c.where("event_id % 3 <> 0"), c.where("event_id % 5 <> 0"), ["url", "title", "date"])
 
 
+@query_of("digest_changes", _SQL["setop_except_all"])
+def _(s, d):
+    c, columns = v.cache_rows(s, d).select("url", "title", "date", "event_id"), ["url", "title", "date"]
+    old, new = c.where("event_id % 3 <> 0"), c.where("event_id % 5 <> 0")
+    return publish.changed_rows_of(old, new, columns, publish.digests(old, columns), publish.digests(new, columns))
+
+
 @query_of("latest_additions", _with(v.V1, "SELECT url, id FROM (SELECT *, row_number() OVER (ORDER BY coalesce(date, '') DESC, title DESC, url) AS id FROM report_titles) WHERE key % 10 = 3 ORDER BY id LIMIT 50"))
 def _(s, d):
     r = resolve.ranked(v.report_titles(s, d))
@@ -592,6 +599,14 @@ def _(s, d):
     return query.figure_lookup(r, facts.index(v.fact_text(s, d), ["url"]), "asia round", "camps", 5).select("title", "date", "url", F.to_json("figures").alias("figures"), F.array_join("sentences", " | ").alias("sentences"))
 
 
+@query_of("index_figure_lookup", _SQL["figure_lookup"])
+def _(s, d):
+    folder = scratch(s, "lookup")
+    lookup.build(resolve.ranked(v.report_titles(s, d)), facts.index(v.fact_text(s, d), ["url"]), folder)
+    found = lookup.search(s, folder, "asia round", "camps", 5)
+    return found.select("title", "date", "url", F.to_json("figures").alias("figures"), F.array_join("sentences", " | ").alias("sentences"))
+
+
 # ---- addresses, pages, discovery ----
 
 _U = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"

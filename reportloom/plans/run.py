@@ -56,7 +56,9 @@ def run(pages: DataFrame, tax: Taxonomy, rounds: Rounds, as_of: str, now: str, o
         before, listed = row["last_changed"], row["reports_at"]
         old = spark.read.parquet(listed)
         shown = spark.read.parquet(f"{last}/additions")
-    status = publish.status_row(old, reports, before, now, seconds)
+    sums = cut(publish.digests(reports, list(publish.FINGERPRINT)))
+    kept = (spark.read.parquet(f"{last}/digests"), sums) if last else None
+    status = publish.status_row(old, reports, before, now, seconds, kept=kept)
     state = status.first()
     changed = bool(state["changed_this_run"])
     dated = reports.withColumn("added", F.lit(now[:10]))
@@ -66,6 +68,7 @@ def run(pages: DataFrame, tax: Taxonomy, rounds: Rounds, as_of: str, now: str, o
         where = f"{out}/reports" if changed else listed
         status.withColumn("reports_at", F.lit(where)).write.parquet(f"{out}/status")
         told.write.parquet(f"{out}/facts")
+        sums.write.parquet(f"{out}/digests")
         added.write.parquet(f"{out}/additions")
         added = spark.read.parquet(f"{out}/additions")
         read = told.join(unique.select("url", (F.length(pdf) > 0).alias("_read")), "url").agg(F.count_if("_read").alias("n"), F.count("*").alias("m")).first()

@@ -56,3 +56,22 @@ def test_documents_of_no_rows_and_many(spark, tmp_path):
         assert [r["id"] for r in rows] == list(range(n))[::-1] and "</" not in text
     files.write_json_lines(spark.range(3), f"file://{tmp_path}/lines")
     assert spark.read.json(f"file://{tmp_path}/lines").count() == 3
+
+
+def test_digests_tell_what_changed(spark):
+    from reportloom.operators import publish
+
+    rows = [(f"/{k % 400}", None if k % 7 == 0 else f"t{k % 50}", k % 3) for k in range(3000)]
+    columns = ["url", "t", "n"]
+    frame = lambda r: spark.createDataFrame(r, "url string, t string, n int")
+    old = frame(rows)
+    prints = publish.digests(old, columns)
+    assert publish.changed_buckets(prints, publish.digests(frame(rows[::-1]).repartition(7), columns)).count() == 0
+    assert publish.changed_rows_of(old, frame(rows[::-1]), columns, prints, prints).collect() == []
+    for new in (rows[1:], [*rows, rows[0]], [("/1", None, 1), *rows[1:]], [("/5", rows[0][2], rows[0][1] and 0), *rows], [], [(None, None, None), *rows]):
+        df = frame([(a, None if b is None else str(b), c) for a, b, c in new])
+        got = publish.changed_rows_of(old, df, columns, prints, publish.digests(df, columns))
+        assert sorted(map(str, got.collect())) == sorted(map(str, publish.changed_rows(old, df, columns).collect())) and got.count() > 0
+    # A null and its neighbour's value don't trade places unseen.
+    a, b = frame([("/1", None, 1), ("/1", "1", None)]), frame([("/1", "1", 1), ("/1", None, None)])
+    assert publish.changed_buckets(publish.digests(a, columns), publish.digests(b, columns)).count() == 1
