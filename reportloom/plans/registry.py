@@ -944,9 +944,12 @@ def _(s, d):
 
 @query_of("harvest_upsert", _with(v.V7, "SELECT url, title, date, fetched FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY event_id DESC) AS rn FROM cache_rows) WHERE rn = 1"))
 def _(s, d):
-    from ..streaming.harvest import latest
+    from ..streaming.harvest import upsert
 
-    return latest(v.cache_rows(s, d), "url", ["event_id"]).select("url", "title", "date", "fetched")
+    c, path = v.cache_rows(s, d), scratch(s, "harvest")
+    for part in range(3):  # batches come in any order of events
+        upsert(s, c.where(F.col("event_id") % 3 == part), path, "url", ["event_id"])
+    return s.read.parquet(path).select("url", "title", "date", "fetched")
 
 
 def queries() -> dict[str, Query]:
