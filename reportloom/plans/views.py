@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import Region, Rule, Taxonomy
+from ..operators.spread import spread
 
 #: The day on which the test runs stand.
 AS_OF = "2016-06-30"
@@ -47,7 +48,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def report_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: url, title, summary, date_raw, date, fetched, key, nation, zone, round, status, price."""
     t = lambda n: read(spark, sf_dir, n)
-    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    o = spread(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
     o = o.join(t("part"), F.col("o_orderkey") % 200 + 1 == F.col("p_partkey"))  # every order has a part
     day = F.add_months(F.to_date("o_orderdate"), 18 * 12)
     told = F.date_format(day, "d MMMM yyyy")
@@ -101,7 +102,7 @@ def dup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: url, page, summary, pdf: sentences with figures, shares, years and averages."""
-    o = read(spark, sf_dir, "orders")
+    o = spread(read(spark, sf_dir, "orders"))
     k, p = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
     s = lambda c: c.cast("string")
     return o.select(
