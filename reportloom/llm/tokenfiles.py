@@ -35,7 +35,7 @@ from .common import bounded_batches, table, temporary, written
 #: The id after each document, by the contract.
 END = 1
 #: Words that a worker remembers, and an eighth of their ids, before it starts anew.
-SEEN = 700_000
+SEEN = 1_000_000
 #: Words that go through the library in one text.
 TOGETHER = 200
 #: Rows of a stride of the row index and of its Bloom filters; bytes of a stripe in the writer's memory.
