@@ -41,7 +41,7 @@ PATHS = 3
 BROADCAST_HOSTS = 10_000
 SALTS = 16
 #: Code points of a block from which it reads like prose, if it isn't mostly links.
-PROSE = 60
+PROSE = 40
 #: A container's score falls by this for each level between it and a block.
 DECAY = 0.85
 
