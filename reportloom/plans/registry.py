@@ -12,8 +12,8 @@ from ..functions import dates, rounds, urls
 from ..functions import text as tx
 from ..operators import classify, discovery, facetindex, facts, geometry, lookup, publish, query, reference, resolve
 from ..sources import pages as html
-from ..sources import pdf, workbook
-from ..sources.files import scratch
+from ..sources import bigjson, pdf, workbook
+from ..sources.files import scratch, write_document
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -799,6 +799,16 @@ def _(s, d):
     return html.with_hints(c.select("url", F.when(F.col("m") % 3 != 0, F.col("t")).alias("title")), c.select("url", F.concat(F.lit("hint "), "url").alias("title")), "url", ["title"])
 
 
+@query_of("json_entries", "SELECT o_orderkey AS key, o_orderstatus AS status, o_orderpriority AS priority FROM orders")
+def _(s, d):
+    folder, k = scratch(s, "map"), F.col("o_orderkey").cast("string")
+    entry = F.concat(F.lit('"'), k, F.lit('": '), F.to_json(F.struct("o_orderstatus", "o_orderpriority")))
+    write_document(v.read(s, d, "orders"), folder, "{", "}", [F.col("o_orderkey")], entry)
+    (file,) = s.read.text(folder).inputFiles()
+    found = bigjson.entries(s, file, range_bytes=1 << 18).select("key", F.from_json("value", "o_orderstatus string, o_orderpriority string").alias("r"))
+    return found.select(F.col("key").cast("long").alias("key"), F.col("r.o_orderstatus").alias("status"), F.col("r.o_orderpriority").alias("priority"))
+
+
 # ---- reference totals ----
 
 _STATE = "CASE WHEN state IS NULL THEN 'NAN' ELSE upper(trim(state)) END"

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import Region, Rule, Taxonomy
+from . import bigjson
 
 #: Largest file that is read whole.
 FILE_BYTES = 60_000_000
@@ -33,9 +34,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """key and the record's columns of a JSON file that maps keys to records of this schema."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", f"map<string, struct<{value}>>")).alias("key", "r")).select("key", "r.*")
+    """key and the record's columns of a JSON file that maps keys to records of this schema; read in ranges, so the file may be of any size."""
+    return bigjson.entries(spark, path).select("key", F.from_json("value", value).alias("r")).select("key", "r.*")
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> Taxonomy:
@@ -69,9 +69,8 @@ def header_rows(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def geometry_points(spark: SparkSession, path: str) -> DataFrame:
-    """name, poly, ring, seq, x, y of a GeoJSON file's polygons and multipolygons."""
-    text = spark.read.text(path, wholetext=True)
-    features = text.select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("f"))
+    """name, poly, ring, seq, x, y of a GeoJSON file's polygons and multipolygons; features are read in ranges of the file."""
+    features = bigjson.entries(spark, path, "features").select(F.col("value").alias("f"))
     geo = features.select(F.get_json_object("f", "$.properties.name").alias("name"), F.get_json_object("f", "$.geometry.type").alias("kind"), F.get_json_object("f", "$.geometry.coordinates").alias("c"))
     many = F.from_json("c", "array<array<array<array<double>>>>")
     polys = F.when(F.col("kind") == "MultiPolygon", many).otherwise(F.array(F.from_json("c", "array<array<array<double>>>")))
