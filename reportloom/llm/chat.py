@@ -2,7 +2,7 @@
 
 Successive prefixes of a conversation are rendered and consecutive outputs compared: what a turn adds is its span. A
 template whose output for a prefix is not a prefix of its next output rewrites history, and is told so instead of
-giving wrong spans. Where the text lies inside a span is found by rendering the same turn with a probe text.
+giving wrong spans. Where the text lies inside a span is found by rendering the same turn with two probe texts.
 
 Every prefix of the whole conversation is rendered, so that a template may look at all turns so far; this is quadratic in the
 turns. A template that declares itself local (attribute local: what a turn adds depends on it and the one before alone) costs
@@ -34,7 +34,7 @@ Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 #: Turns that are rendered together.
 PIECE = 64
-PROBE = "\ue000"
+PROBES = ("\ue000", "\ue001")
 LEARNT = ("assistant",)
 _CONTROL = re.compile(r"[\\#<:\n]")
 _TEXT_CONTROL = re.compile(r"[\\#<]")
@@ -77,8 +77,9 @@ def located(template: Template, turns: list[Turn], context: list[Turn] = []) ->
         now = template(so_far + [(role, text)])
         rewritten |= not now.startswith(last)
         a, b = len(last) - len(start), len(now) - len(start)
-        probe = template(so_far + [(role, PROBE)])[len(last) :]
-        at = probe.find(PROBE)
+        # Two probes differ where the text is, and there alone, whatever marks or characters stand around it.
+        probe, other = (template(so_far + [(role, x)])[len(last) :] for x in PROBES)
+        at = next((i for i, (x, y) in enumerate(zip(probe, other)) if x != y), -1)
         spans.append((a, b, a + at, b - (len(probe) - at - 1)) if at >= 0 else (a, b, b, b))
         last = now
     return last[len(start) :], spans, rewritten
