@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Dates as pages write them (month day year, day month year, ISO), and month and year in a title, with or without a day.
+MONTH_DAY_YEAR = r"\b([A-Za-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})\b"
+DAY_MONTH_YEAR = r"\b(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\b"
+ISO = r"(\d{4})-(\d{2})-(\d{2})"
+IN_TITLE = r"(?:(\d{1,2})\s*(?:st|nd|rd|th)?\s+)?([A-Za-z]{3,9})\.?,?\s+(\d{4})\b"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
@@ -25,7 +30,7 @@ def _first(c: Column, pattern: str, group: int) -> Column:
 
 def parse_date(c: Column) -> Column:
     """The first date of candidates joined by " | ": month day year, then day month year, then ISO, for each candidate."""
-    a, b, d = r"\b([A-Za-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})\b", r"\b(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\b", r"(\d{4})-(\d{2})-(\d{2})"
+    a, b, d = MONTH_DAY_YEAR, DAY_MONTH_YEAR, ISO
 
     def one(part: Column) -> Column:
         return F.coalesce(
@@ -40,9 +45,8 @@ def parse_date(c: Column) -> Column:
 
 def title_date(c: Column, first: int = 2010, last: int = 2035) -> Column:
     """The last month and year in a title's text order, of day 1 if there is no day."""
-    rx = r"(?:(\d{1,2})\s*(?:st|nd|rd|th)?\s+)?([A-Za-z]{3,9})\.?,?\s+(\d{4})\b"
     c = F.coalesce(c, F.lit(""))
-    hits = F.arrays_zip(*[F.regexp_extract_all(c, F.lit(rx), F.lit(g)).alias(n) for g, n in ((1, "d"), (2, "m"), (3, "y"))])
+    hits = F.arrays_zip(*[F.regexp_extract_all(c, F.lit(IN_TITLE), F.lit(g)).alias(n) for g, n in ((1, "d"), (2, "m"), (3, "y"))])
     dates = F.transform(hits, lambda h: F.when(h["y"].cast("int").between(first, last), iso(h["y"], month(h["m"]), F.coalesce(F.nullif(h["d"], F.lit("")), F.lit("1")))))
     return F.try_element_at(F.filter(dates, lambda x: x.isNotNull()), F.lit(-1))
 

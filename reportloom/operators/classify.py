@@ -147,18 +147,25 @@ def default_region(key: Column, date: Column, found_states: Column, tax: Taxonom
     return F.when((F.size(found_states) == 0) & date.isNotNull(), out)
 
 
+#: How a summary names its states, and how a cover line does, in capitals or not.
+OF_STATE = r"(?U)([A-Z][a-z]+(?:\s[A-Z][a-z]+)?)\s+States?\b"
+SPACED = r"(?<=[A-Z]{3}) (?=[A-Z]\b)"
+COVER_CAPITALS = r"\bIN\s+((?:[A-Z][A-Z]+[ ,]*(?:AND\s+)?){1,6}?)\s*STATES?\b"
+COVER = r"\b(?:in|across)\s+((?:[A-Z][a-z]+,?\s+(?:and\s+)?){1,4}?)States?\b"
+
+
 def subject_states(summary: Column, tax: Taxonomy) -> Column:
     """States named as "X State(s)" in the opening sentence."""
     opening = F.split(F.coalesce(summary, F.lit("")), r"(?<=[.!?])\s", 2)[0]
-    names = F.array_join(F.regexp_extract_all(opening, F.lit(r"(?U)([A-Z][a-z]+(?:\s[A-Z][a-z]+)?)\s+States?\b"), F.lit(1)), " ")
+    names = F.array_join(F.regexp_extract_all(opening, F.lit(OF_STATE), F.lit(1)), " ")
     return states(names, tax)
 
 
 def cover_states(cover: Column, tax: Taxonomy) -> Column:
     """States of a cover line "... IN A AND B STATES" or "in A and B States"; letter-spaced capitals are closed up."""
-    c = F.regexp_replace(F.substring(F.coalesce(cover, F.lit("")), 1, 1500), r"(?<=[A-Z]{3}) (?=[A-Z]\b)", "")
+    c = F.regexp_replace(F.substring(F.coalesce(cover, F.lit("")), 1, 1500), SPACED, "")
     first = lambda rx: F.nullif(F.regexp_extract(c, rx, 1), F.lit(""))
-    hit = F.coalesce(first(r"\bIN\s+((?:[A-Z][A-Z]+[ ,]*(?:AND\s+)?){1,6}?)\s*STATES?\b"), first(r"\b(?:in|across)\s+((?:[A-Z][a-z]+,?\s+(?:and\s+)?){1,4}?)States?\b"))
+    hit = F.coalesce(first(COVER_CAPITALS), first(COVER))
     return states(hit, tax)
 
 

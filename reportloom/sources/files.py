@@ -88,30 +88,33 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_document(rows: DataFrame, path: str, head: str, tail: str, order: list[Column], item: Column, script: bool = False) -> None:
-    """One text file: the head, an item of text for each row in this order, with commas between them, the tail; script: "</" is escaped, for
+def write_document(rows: DataFrame, path: str, head: str, tail: str, order: list[Column] | None, item: Column, script: bool = False) -> None:
+    """One text file: the head, an item of text for each row in this order (None: as they come), with commas between them, the tail; script: "</" is escaped, for
     files that a page loads. The rows are sorted by all tasks and stream through the one that writes; none holds them all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        line = lambda values: pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
-        yield line([head])
-        some = False
+        held, lead = head, ""  # the last line, which the tail may follow
         for batch in batches:
             values = batch.column(0).to_pylist()
             if script:
                 values = [x.replace("</", "<\\/") for x in values]
-            if values:
-                yield line([("," if some else "") + values[0], *("," + x for x in values[1:])])
-                some = True
-        yield line([tail])
-
-    items = rows.orderBy(*order).select(item.alias("value")).where("value IS NOT NULL").coalesce(1)
+            out = []
+            for x in values:
+                if lead:
+                    out.append(held)
+                    held = lead + x
+                else:
+                    held, lead = held + x, ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([held + tail], pa.string())], ["value"])
+
+    items = (rows.orderBy(*order) if order else rows).select(item.alias("value")).where("value IS NOT NULL").coalesce(1)
     items.mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def write_script(df: DataFrame, path: str, variable: str, order: list[Column] | None = None) -> None:
     """One text file "variable = [...];" for a page to load; "</" is escaped."""
-    write_document(df, path, f"{variable} = [", "];", order or [F.lit(0)], F.to_json(F.struct(*df.columns)), script=True)
+    write_document(df, path, f"{variable} = [", "];", order, F.to_json(F.struct(*df.columns)), script=True)
 
 
 def write_csv(df: DataFrame, path: str, order: list[Column] | None = None) -> None:
