@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 from reportloom.functions import text as tx
-from reportloom.operators import facts
+from reportloom.operators import facetindex, facts
 from reportloom.plans import registry
+from reportloom.sources import pages as html
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +36,41 @@ def test_sentences_that_differ_in_digits_share_what_is_found():
     search = facts.Searched(tx.METRICS)
     a, b = ([tuple(x) for x in search.told(f"The flood affected {n} individuals in {m} camps.")] for n, m in (("1,234", "1900"), ("5,678", "2899")))
     assert len(search.kept) == 1 and [x[3:5] for x in a] == [("1,234", True), ("1900", False)] and [x[3:5] for x in b] == [("5,678", True), ("2899", True)]
+
+
+def test_bitmaps_are_made_without_rows_by_value(spark):
+    found = facetindex.build(spark.createDataFrame([(1, "a", "b", None, None, ["x", "x"], None)], "id long, component_key string, component string, date string, year int, regions array<string>, states array<string>"))
+    assert "Generate" not in plan(found) and found.count() == 8
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    parts = ["<p>", "</p>", "<h1>", "</h1>", '<a href="/x" rel="next">', "</a>", "<br/>", '<div class="pager">', "</div>", "text ", "a & b ", "&amp;x", "&lt", "<title>", "</title>", "<script>", "</script>", "<!-- c -->", "<!DOCTYPE html>", "<", '<time datetime="2">', "<A HREF=\"/y?a=1&amp;b\">", "</li >", '<meta name="description" content="d">', "<textarea>", "<a href='z'>"]
+    random.seed(3)
+    plain = 0
+    for _ in range(3000):
+        source = "".join(random.choices(parts, k=random.randint(0, 12)))
+        page = html._Page()
+        page.feed(source)
+        while page.open:
+            page.close(page.open[-1][0])
+        assert html._parse(source) == {name: of(page) for name, of in html._FIELDS.items()}
+        plain += html._plain(source) is not None
+    assert plain > 500
+
+
+def test_headings_decode_what_their_sql_decodes(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, "https://a", x) for k, x in enumerate(["<h1>a &amp;&nbsp; b &quot;c&quot; &amp</h1>", "<h1> x\ny </h1>", '<title>t</title><h1 id="a">b</h1>', "", None, "<h1></h1><h1>two</h1>", "<h1>a\r b\u000bc</h1>"])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = registry.queries()["html_title"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.oracle_sql()["html_title"]).fetchall())
+
+
+def test_pages_are_read_few_at_a_time(spark):
+    df = spark.range(0, 1000, 1, 1).selectExpr("id", "'<a href=\"/x\">y</a>' AS html")
+    got = html.parsed(df, "id", fields=("links",))
+    assert got.schema["p"].dataType.names == ["links"] and got.where("p.links[0].href = '/x'").count() == 1000
+    assert "ArrowEvalPython" not in plan(got)
