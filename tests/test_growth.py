@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from reportloom.functions import text as tx
-from reportloom.operators import facetindex, facts
+from reportloom.operators import facetindex, facts, lookup
 from reportloom.plans import registry
 from reportloom.sources import pages as html
 
@@ -74,3 +75,9 @@ def test_pages_are_read_few_at_a_time(spark):
     got = html.parsed(df, "id", fields=("links",))
     assert got.schema["p"].dataType.names == ["links"] and got.where("p.links[0].href = '/x'").count() == 1000
     assert "ArrowEvalPython" not in plan(got)
+
+
+def test_postings_are_made_without_rows_by_piece():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 32769]), pa.array(["ab", "abc"]), pa.array([f"xyz{lookup.CUT}yz", "wxyz"])], ["id", "title", "text"])
+    got = {(r["kind"], r["piece"], r["bucket"]) for out in lookup._postings(iter([batch])) for r in out.to_pylist()}
+    assert got == {("title", "abc", 2), ("text", "xyz", 1), ("text", "wxy", 2), ("text", "xyz", 2)}
