@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,9 @@ DAY_ONE = {False: datetime.datetime(1899, 12, 30), True: datetime.datetime(1904,
 
 _ROW = re.compile(rb"<(?:\w+:)?row[\s>/]")
 _PLACE = re.compile(rb'<(?:\w+:)?row\s[^>]*?\br="(\d+)"')
+#: A row of plain cells in order: a place, an optional kind that is no date's, and a value without markup.
+_PLAIN_ROW = re.compile(rb'<row r="(\d+)">((?:<c r="[A-Z]{1,3}\d+"(?: t="s")?><v>[^<&]*</v></c>)*)</row>')
+_PLAIN_CELL = re.compile(r'<c r="([A-Z]+)\d+"( t="s")?><v>([^<]*)</v></c>')
 _CODES = re.compile(r'"[^"]*"|\\.|\[[^\]]*\]')
 
 
@@ -100,7 +104,9 @@ class Book:
             count, rest = 0, b""
             while head:
                 count += len(_ROW.findall(rest + head))
-                rest, head = (rest + head)[-8:].rpartition(b"<")[1] + (rest + head)[-8:].rpartition(b"<")[2], f.read(1 << 20)
+                rest, head = b"".join((rest + head)[-8:].rpartition(b"<")[1:]), f.read(1 << 20)
+                if _ROW.match(rest):  # it is counted
+                    rest = b""
             return count
 
     def value(self, cell: ET.Element) -> str | None:
@@ -114,14 +120,17 @@ class Book:
         if kind == "b":
             return "TRUE" if v.strip() == "1" else "FALSE"
         if kind == "n" and int(cell.get("s", 0)) in self.dates:
-            moment = self.base + datetime.timedelta(seconds=round(float(v) * 86400))
-            return moment.isoformat(sep=" ") if moment.time() != datetime.time() else moment.date().isoformat()
+            return self.moment(v)
         return v
 
+    def moment(self, v: str) -> str:
+        moment = self.base + datetime.timedelta(seconds=round(float(v) * 86400))
+        return moment.isoformat(sep=" ") if moment.time() != datetime.time() else moment.date().isoformat()
+
     def rows(self, sheet: str, first: int, last: int) -> Iterator[tuple[int, list[str | None]]]:
         """(row, cells) from one row to another."""
         with self.zip.open(self.sheets[sheet]) as f:
-            number, rest, begun = 0, b"", False
+            number, rest, begun, fed = 0, b"", False, False
             parser: ET.XMLPullParser | None = None
             while data := f.read(1 << 18):
                 data = rest + data
@@ -143,6 +152,22 @@ class Book:
                         continue
                 rest = b""
                 data, over = self._until_end(data)
+                if not fed:
+                    # Rows of plain cells are told by a pattern; at the first that is more, the parser goes on to the end.
+                    at = 0
+                    while m := _PLAIN_ROW.match(data, at):
+                        at, number = m.end(), int(m[1])
+                        if number > last:
+                            return
+                        if number >= first:
+                            yield number, self._plain_cells(m[2].decode())
+                    if over and at == len(data):
+                        return
+                    data = data[at:]
+                    if not over and (b"<row ".startswith(data[:5]) or data.startswith(b"</")) and b"</row>" not in data and len(data) < 1 << 18:
+                        rest = data  # a row, or the sheet's end, that goes on in what is read next
+                        continue
+                    fed = True
                 parser.feed(data)
                 for row in self._parsed(parser, number, first, last):
                     number = row[0]
@@ -151,12 +176,24 @@ class Book:
                     yield row
                 if over:
                     return
-            if rest:
+            if rest and parser is not None:
                 at = _ROW.search(rest)
                 if at:
                     parser.feed(self._until_end(rest[at.start() :])[0])
                     yield from (r for r in self._parsed(parser, number, first, last) if first <= r[0] <= last)
 
+    def _plain_cells(self, row: str) -> list[str | None]:
+        cells: list[str | None] = []
+        dated = 0 in self.dates
+        for letters, shared, v in _PLAIN_CELL.findall(row):
+            place = _COLUMNS.get(letters)
+            if place is None:
+                place = _COLUMNS[letters] = column(letters)
+            if place != len(cells):
+                cells += [None] * (place - len(cells))
+            cells.append(self.strings[int(v)] if shared else self.moment(v) if dated else v)
+        return cells
+
     @staticmethod
     def _until_end(data: bytes) -> tuple[bytes, bool]:
         m = re.search(rb"</(?:\w+:)?sheetData>", data)
@@ -187,6 +224,10 @@ def column(place: str) -> int:
     return n - 1
 
 
+#: Places of columns by their letters, of which there are at most 16,384 in the format.
+_COLUMNS: dict[str, int] = {}
+
+
 @dataclass
 class Rows(InputPartition):
     file: str
@@ -295,7 +336,7 @@ class BookWriter:
     """One workbook of one sheet, row by row: strings are shared, dates are days in a date style, nulls are no cells."""
 
     def __init__(self, file, name: str, header: list[str]):
-        self.zip = zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED)
+        self.zip = zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
         for part, text in _FIXED.items():
             self.zip.writestr(part, text)
         self.zip.writestr("xl/workbook.xml", f'<workbook {_ROOT} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{escape(name, {chr(34): "&quot;"})}" sheetId="1" r:id="rId1"/></sheets></workbook>')
@@ -322,6 +363,33 @@ class BookWriter:
                 cells.append(f"<c {at}><v>{x}</v></c>")
         self.sheet.write(f'<row r="{self.number}">{"".join(cells)}</row>'.encode())
 
+    def put_all(self, columns: list[pa.Array]) -> None:
+        """Rows of a batch, made column by column: only strings and moments are looked at one by one, a string that a batch repeats once."""
+        n = len(columns[0])
+        numbers = pc.cast(pa.array(range(self.number + 1, self.number + 1 + n), pa.int32()), pa.string())
+        parts: list = ['<row r="', numbers, '">']
+        for k, column in enumerate(columns):
+            kind = column.type
+            if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+                told = column.dictionary_encode()
+                places = pa.array([None if x is None else self.shared.setdefault(x, len(self.shared)) for x in told.dictionary.to_pylist()], pa.int64())
+                values, sign = places.take(told.indices), ' t="s"'
+            elif pa.types.is_integer(kind):
+                values, sign = column, ""
+            elif pa.types.is_boolean(kind):
+                values, sign = pc.cast(column, pa.int8()), ' t="b"'
+            elif pa.types.is_timestamp(kind):
+                values, sign = pa.array([None if x is None else repr((x.replace(tzinfo=None) - DAY_ONE[False]) / datetime.timedelta(days=1)) for x in column.to_pylist()], pa.string()), ' s="2"'
+            elif pa.types.is_date(kind):
+                values, sign = pa.array([None if x is None else x.toordinal() - DAY_ONE[False].toordinal() for x in column.to_pylist()], pa.int64()), ' s="1"'
+            else:
+                values, sign = pa.array([None if x is None else str(x) for x in column.to_pylist()], pa.string()), ""
+            cell = pc.binary_join_element_wise(f'<c r="{_letters(k)}', numbers, f'"{sign}><v>', pc.cast(values, pa.string()), "</v></c>", "")
+            parts.append(pc.fill_null(cell, ""))
+        rows = pc.binary_join_element_wise(*parts, "</row>", "")
+        self.number += n
+        self.sheet.write("".join(rows.to_pylist()).encode())
+
     def close(self) -> None:
         self.sheet.write(b"</sheetData></worksheet>")
         self.sheet.close()
@@ -333,9 +401,10 @@ class BookWriter:
         self.zip.close()
 
 
-def write_workbooks(df: DataFrame, folder: str, name: str = "Sheet1", most: int = SHEET_ROWS - 1) -> int:
+def write_workbooks(df: DataFrame, folder: str, name: str = "Sheet1", most: int = PART_ROWS - 1) -> int:
     """Write the rows as workbooks of one sheet each into a new folder, one for each task or more where it has over `most` rows; returns how
-    many. A file gets its name once it is whole, so that a task that is run again replaces what it wrote."""
+    many. A file gets its name once it is whole, so that a task that is run again replaces what it wrote. By default a sheet is one partition
+    of a reader, which would pass over the rows of those before it again for each further one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, book, file, at = TaskContext.get(), 0, None, None, None
@@ -348,7 +417,8 @@ def write_workbooks(df: DataFrame, folder: str, name: str = "Sheet1", most: int
             fs.move(at, f"{base}/part-{task.partitionId():05d}-{made:03d}.xlsx")
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            start = 0
+            while start < batch.num_rows:
                 if book is None or book.number > most:
                     if book:
                         over()
@@ -356,7 +426,9 @@ def write_workbooks(df: DataFrame, folder: str, name: str = "Sheet1", most: int
                     at = f"{base}/_{task.partitionId()}-{made}-{task.taskAttemptId()}"
                     file = fs.open_output_stream(at)
                     book = BookWriter(file, name, batch.schema.names)
-                book.put(list(row))
+                some = batch.slice(start, min(BATCH_ROWS, most + 1 - book.number))
+                book.put_all(some.columns)
+                start += some.num_rows
         if book:
             over()
             made += 1
