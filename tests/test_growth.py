@@ -8,6 +8,7 @@ from reportloom.functions import text as tx
 from reportloom.operators import facetindex, facts, lookup
 from reportloom.plans import registry
 from reportloom.sources import pages as html
+from reportloom.sources import pdf, workbook
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +82,17 @@ def test_postings_are_made_without_rows_by_piece():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 32769]), pa.array(["ab", "abc"]), pa.array([f"xyz{lookup.CUT}yz", "wxyz"])], ["id", "title", "text"])
     got = {(r["kind"], r["piece"], r["bucket"]) for out in lookup._postings(iter([batch])) for r in out.to_pylist()}
     assert got == {("title", "abc", 2), ("text", "xyz", 1), ("text", "wxy", 2), ("text", "xyz", 2)}
+
+
+def test_a_sheet_is_written_for_one_reader(spark, tmp_path):
+    df = spark.range(0, workbook.PART_ROWS + 5, 1, 1).selectExpr("id AS n", "IF(id % 3 = 0, NULL, concat('s<', id % 7)) AS s")
+    folder = f"file://{tmp_path}/books"
+    assert workbook.write_workbooks(df, folder, "S") == 2
+    assert len(workbook.WorkbookReader({"path": folder}).partitions()) == 2
+    back = workbook.sheet(spark, folder, "S", "n long, s string")
+    assert back.exceptAll(df).count() == 0 and back.count() == workbook.PART_ROWS + 5
+
+
+def test_files_are_made_few_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100))], ["n"])
+    assert [x.num_rows for x in pdf.slices(iter([batch]))] == [32, 32, 32, 4]
