@@ -4,7 +4,8 @@
 row (from 1) and cells, an array of strings with nulls for cells that aren't there. Shared, inline and formula strings are read,
 true and false are TRUE and FALSE, numbers keep their digits, and numbers in a date format are ISO dates. A task inflates its sheet as a
 stream, passes over the rows before its range without parsing them, and stops behind it; what it holds is one batch of rows and the file's
-shared strings. `sheet` makes a table with names and types of one sheet by its header row.
+shared strings. `sheet` makes a table with names and types of one sheet by its header row: with options names (a list as JSON) and header_row
+the source gives the cells below those names, one string column each, and reads plain rows many at a time in numpy.
 
 Defined results: sheets without rows give none; rows and cells without a place of their own follow the one before; an error value is
 null; a damaged file fails its task; an empty folder gives an empty table.
@@ -13,13 +14,16 @@ null; a damaged file fails its task; an empty folder gives an empty table.
 from __future__ import annotations
 
 import datetime
+import json
 import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -33,6 +37,8 @@ SCHEMA = "file string, sheet string, row int, cells array<string>"
 #: Rows of a partition, of a batch, and the most of a sheet.
 PART_ROWS = 100_000
 BATCH_ROWS = 2000
+#: Bytes of a sheet whose plain rows are read at a time.
+BLOCK = 1 << 20
 SHEET_ROWS = 1_048_576
 #: Fixed values of the format: built-in number formats that are dates, and where days begin (the 1900 system counts a 29 February 1900).
 DATE_FORMATS = frozenset([*range(14, 23), 27, 30, 36, 45, 46, 47, 50, 57])
@@ -71,6 +77,7 @@ class Book:
         self.dates = self._dates() if "xl/styles.xml" in names else set()
         self.has_strings = "xl/sharedStrings.xml" in names
         self._strings: list[str] | None = None
+        self._told: pa.Array | None = None  # the same in Arrow
 
     def _dates(self) -> set[int]:
         """The cell styles that show dates."""
@@ -96,7 +103,9 @@ class Book:
         return self._strings
 
     def row_count(self, sheet: str) -> int:
-        """The last row by the sheet's own dimension, or by counting its row elements."""
+        """The last row as our writer notes it beside the sheet, by the sheet's own dimension, or by counting its row elements."""
+        if m := re.fullmatch(rb"rows (\d+)", self.zip.getinfo(self.sheets[sheet]).comment):
+            return int(m[1])
         with self.zip.open(self.sheets[sheet]) as f:
             head = f.read(4096)
             if m := re.search(rb'<(?:\w+:)?dimension\s[^>]*ref="(?:[A-Z]+\d+:)?[A-Z]+(\d+)"', head):
@@ -182,6 +191,126 @@ class Book:
                     parser.feed(self._until_end(rest[at.start() :])[0])
                     yield from (r for r in self._parsed(parser, number, first, last) if first <= r[0] <= last)
 
+    def columns(self, sheet: str, first: int, last: int, names: list[str], header: int) -> Iterator[list[pa.Array]]:
+        """The cells below these names of the header row, as strings, of rows with any value from one row to another; plain rows many at a time,
+        and from the first block that is more row by row."""
+        heads = next((cells for _, cells in self.rows(sheet, header, header)), None)
+        if heads is None:
+            return
+        heads = [x and x.strip(" ") for x in heads]
+        places = [heads.index(x) if x in heads else -1 for x in names]
+        first, seen = max(first, header + 1), 0
+        for block in self._plain_blocks(sheet):
+            found = block and self._plain_table(block, first, last, places)
+            if not found:
+                break
+            count, over, arrays = found
+            seen += count
+            if len(arrays[0]):
+                yield arrays
+            if over:
+                return
+        else:
+            return
+        held: list[list[str | None]] = []
+        for _, cells in islice(self.rows(sheet, first, last), seen, None):
+            if any(x is not None for x in cells):
+                held.append([cells[k] if 0 <= k < len(cells) else None for k in places])
+            if len(held) >= BATCH_ROWS:
+                yield [pa.array(c, pa.string()) for c in zip(*held)]
+                held = []
+        if held:
+            yield [pa.array(c, pa.string()) for c in zip(*held)]
+
+    def _plain_blocks(self, sheet: str) -> Iterator[bytes | None]:
+        """The sheet's rows in blocks of whole ones; None, and no more, where what is read isn't told as rows."""
+        with self.zip.open(self.sheets[sheet]) as f:
+            data = f.read(BLOCK)
+            at = data.find(b"<sheetData>")
+            rest = data[at + 11 :] if at >= 0 else b""
+            while at >= 0:
+                cut = rest.rfind(b"</row>") + 6
+                if cut > 5:
+                    yield rest[:cut]
+                    rest = rest[cut:]
+                if rest.startswith(b"</sheetData>"):
+                    return
+                data = f.read(BLOCK)
+                if not data:
+                    break
+                rest += data
+            yield None
+
+    def _plain_table(self, block: bytes, first: int, last: int, places: list[int]) -> tuple[int, bool, list[pa.Array]] | None:
+        """Of a block of plain rows in order: how many lie in the range, whether it ends here, and the columns at these places of those with any value;
+        None where anything is more than a plain cell (a place, an optional kind that is no date's, a value without markup)."""
+        b = np.frombuffer(block, np.uint8)
+        tags = np.flatnonzero(b == 60)
+        kind = b[tags + 1]
+        ends = kind == 47
+        kind = np.where(ends, b[tags + 2], kind)
+        of_row = kind == 114
+        starts, stops = tags[of_row & ~ends], tags[of_row & ends]
+        inner = tags[~of_row]
+        if len(starts) != len(stops) or len(inner) % 4 or 0 in self.dates or (b == 38).any() or starts[0] != 0:
+            return None
+        cells, values, closes, outs = inner.reshape(-1, 4).T
+        shape, shut = kind[~of_row].reshape(-1, 4), ends[~of_row].reshape(-1, 4)
+        after = np.append(tags[1:], len(b))  # where a tag must be followed by the next at once
+        row_ends = after[of_row & ~ends]
+        told = (
+            (shape == (99, 118, 118, 99)).all() and (shut == (False, False, True, True)).all()
+            and (starts[1:] == stops[:-1] + 6).all() and stops[-1] + 6 == len(b) and (starts < stops).all()
+            and (after[~of_row].reshape(-1, 4)[:, 3] == outs + 4).all() and (outs == closes + 4).all() and (closes > values + 3).all()
+            and _are(b, starts + 2, b'ow r="') and _are(b, row_ends - 2, b'">') and _are(b, stops + 3, b"ow>")
+            and _are(b, cells + 2, b' r="') and _are(b, values - 1, b">") and _are(b, values + 2, b">") and _are(b, closes + 3, b">") and _are(b, closes + 7, b">")
+        )
+        if not told:
+            return None
+        digits = row_ends - 10 - starts
+        if (digits < 1).any() or (digits > 7).any():
+            return None
+        try:
+            numbers = pc.cast(_slices(block, starts + 8, row_ends - 2), pa.int64()).to_numpy()
+        except pa.ArrowInvalid:
+            return None
+        row = np.repeat(np.arange(len(starts)), np.diff(np.append(np.flatnonzero(of_row & ~ends), len(tags))) // 4)
+        column_of = b[cells + 6].astype(np.int64) - 64
+        letters = ((column_of > 0) & (column_of < 27)).astype(np.int64)
+        for k in (1, 2):
+            x = b[cells + 6 + k].astype(np.int64)
+            here = (letters == k) & (x >= 65) & (x <= 90)
+            if not here.any():
+                break
+            column_of[here] = column_of[here] * 26 + x[here] - 64
+            letters[here] += 1
+        column_of -= 1
+        quote = cells + 6 + letters + digits[row]
+        shared = values == quote + 8
+        if (letters == 0).any() or (b[cells + 6 + letters] - 48 > 9).any() or (quote >= values).any() or (b[quote] != 34).any() or not (shared | (values == quote + 2)).all() or not _are(b, quote[shared], b'" t="s">'):
+            return None
+        if (np.diff(numbers) <= 0).any() or numbers[0] < 1 or (np.diff(row * 16384 + column_of) <= 0).any() or (column_of > 16383).any():
+            return None
+        inside = (numbers >= first) & (numbers <= last)
+        keep = inside & (np.bincount(row, minlength=len(starts)) > 0)
+        at_row = np.cumsum(keep) - 1
+        if not keep.all():
+            column_of[~keep[row]] = -2
+        out = []
+        for place in places:
+            mine = np.flatnonzero(column_of == place)
+            strings = shared[mine]
+            parts = [_slices(block, values[mine[~strings]] + 3, closes[mine[~strings]])]
+            if strings.any():
+                if self._told is None:
+                    self._told = pa.array(self.strings, pa.string())
+                parts.append(self._told.take(pc.cast(_slices(block, values[mine[strings]] + 3, closes[mine[strings]]), pa.int64())))
+            source = np.full(int(keep.sum()), -1, np.int64)
+            source[at_row[row[mine]]] = np.where(strings, len(parts[0]) + np.cumsum(strings) - 1, np.cumsum(~strings) - 1)
+            whole = pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
+            out.append(whole if len(whole) == len(source) and not strings.any() else whole.take(pa.array(source, mask=source < 0)))
+        return int(inside.sum()), bool(numbers[-1] > last), out
+
     def _plain_cells(self, row: str) -> list[str | None]:
         cells: list[str | None] = []
         dated = 0 in self.dates
@@ -214,6 +343,20 @@ class Book:
             yield number, cells
 
 
+def _are(b: np.ndarray, at: np.ndarray, text: bytes) -> bool:
+    """Whether these bytes stand at each place."""
+    return all((b[at + k] == x).all() for k, x in enumerate(text))
+
+
+def _slices(data: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Texts of data from places to places, which are in order."""
+    offsets = np.empty(2 * len(starts) + 1, np.int32)
+    offsets[0:-1:2], offsets[1:-1:2], offsets[-1] = starts, ends, ends[-1] if len(ends) else 0
+    # Every second one is asked for, those between lie between them.
+    both = pa.Array.from_buffers(pa.binary(), 2 * len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return pc.cast(both.take(pa.array(np.arange(0, 2 * len(starts), 2))), pa.string())
+
+
 def column(place: str) -> int:
     """The place of a cell's column ("A1": 0)."""
     n = 0
@@ -240,14 +383,15 @@ class Rows(InputPartition):
 
 
 class WorkbookSource(DataSource):
-    """Options: path (a file, or a folder whose .xlsx files are read), sheet (a name; by default all), part_rows."""
+    """Options: path (a file, or a folder whose .xlsx files are read), sheet (a name; by default all), part_rows; names and header_row."""
 
     @classmethod
     def name(cls) -> str:
         return "workbook"
 
     def schema(self) -> str:
-        return SCHEMA
+        names = self.options.get("names")
+        return ", ".join(f"c{k} string" for k in range(len(json.loads(names)))) if names else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return WorkbookReader(dict(self.options))
@@ -257,6 +401,7 @@ class WorkbookReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.sheet = options["path"], options.get("sheet")
         self.part_rows = int(options.get("part_rows", PART_ROWS))
+        self.names, self.header_row = json.loads(options.get("names", "null")), int(options.get("header_row", 1))
 
     def files(self) -> list[str]:
         fs, path = opened(self.path)
@@ -283,6 +428,11 @@ class WorkbookReader(DataSourceReader):
             return
         kinds = {"file": pa.string(), "sheet": pa.string(), "row": pa.int32(), "cells": pa.list_(pa.string())}
         fs, path = opened(part.file)
+        if self.names:
+            with fs.open_input_file(path) as f:
+                for arrays in Book(f).columns(part.sheet, part.first, part.last, self.names, self.header_row):
+                    yield pa.RecordBatch.from_arrays(arrays, [f"c{k}" for k in range(len(arrays))])
+            return
         held: list[tuple] = []
         with fs.open_input_file(path) as f:
             for number, cells in Book(f).rows(part.sheet, part.first, part.last):
@@ -303,17 +453,14 @@ def read_workbook(spark: SparkSession, path: str, **options: str) -> DataFrame:
 def sheet(spark: SparkSession, path: str, name: str, columns: str, header_row: int = 1) -> DataFrame:
     """One sheet as a table of these columns (a schema by DDL): each is found by its name in the header row of its file; a column that isn't there is
     null, and so is a value that isn't of its type. Rows up to the header and rows without any value are left out."""
-    rows = read_workbook(spark, path, sheet=name)
     kinds = T.StructType.fromDDL(columns)
-    heads = rows.where(F.col("row") == header_row).select(F.col("file").alias("f"), F.transform("cells", lambda c: F.trim(c)).alias("names"))
-    body = rows.where((F.col("row") > header_row) & F.exists("cells", lambda c: c.isNotNull())).join(heads, F.col("file") == F.col("f"))
+    body = read_workbook(spark, path, sheet=name, names=json.dumps(kinds.names), header_row=str(header_row))
 
-    def typed(f: T.StructField) -> F.Column:
-        at = F.get("cells", (F.array_position("names", f.name) - 1).cast("int"))
+    def typed(f: T.StructField, at: F.Column) -> F.Column:
         # 3.0 in a sheet is as whole as 3.
         return (F.coalesce(at.try_cast(f.dataType), at.try_cast("double").try_cast(f.dataType)) if isinstance(f.dataType, T.IntegralType) else at.try_cast(f.dataType)).alias(f.name)
 
-    return body.select(*map(typed, kinds.fields))
+    return body.select(*[typed(f, F.col(f"c{k}")) for k, f in enumerate(kinds)])
 
 
 def _letters(k: int) -> str:
@@ -366,33 +513,48 @@ class BookWriter:
     def put_all(self, columns: list[pa.Array]) -> None:
         """Rows of a batch, made column by column: only strings and moments are looked at one by one, a string that a batch repeats once."""
         n = len(columns[0])
-        numbers = pc.cast(pa.array(range(self.number + 1, self.number + 1 + n), pa.int32()), pa.string())
+        numbers = pc.cast(pa.array(np.arange(self.number + 1, self.number + 1 + n)), pa.string())
         parts: list = ['<row r="', numbers, '">']
+
+        def more(*some: pa.Array | str) -> None:
+            for x in some:
+                if isinstance(x, str) and isinstance(parts[-1], str):
+                    parts[-1] += x
+                else:
+                    parts.append(x)
+
         for k, column in enumerate(columns):
-            kind = column.type
+            kind, sign = column.type, ""
             if pa.types.is_string(kind) or pa.types.is_large_string(kind):
                 told = column.dictionary_encode()
-                places = pa.array([None if x is None else self.shared.setdefault(x, len(self.shared)) for x in told.dictionary.to_pylist()], pa.int64())
-                values, sign = places.take(told.indices), ' t="s"'
+                values, sign = pa.array([None if x is None else str(self.shared.setdefault(x, len(self.shared))) for x in told.dictionary.to_pylist()], pa.string()).take(told.indices), ' t="s"'
             elif pa.types.is_integer(kind):
-                values, sign = column, ""
+                values = pc.cast(column, pa.string())
             elif pa.types.is_boolean(kind):
-                values, sign = pc.cast(column, pa.int8()), ' t="b"'
+                values, sign = pc.cast(pc.cast(column, pa.int8()), pa.string()), ' t="b"'
             elif pa.types.is_timestamp(kind):
                 values, sign = pa.array([None if x is None else repr((x.replace(tzinfo=None) - DAY_ONE[False]) / datetime.timedelta(days=1)) for x in column.to_pylist()], pa.string()), ' s="2"'
             elif pa.types.is_date(kind):
-                values, sign = pa.array([None if x is None else x.toordinal() - DAY_ONE[False].toordinal() for x in column.to_pylist()], pa.int64()), ' s="1"'
+                values, sign = pa.array([None if x is None else str(x.toordinal() - DAY_ONE[False].toordinal()) for x in column.to_pylist()], pa.string()), ' s="1"'
+            else:
+                values = pa.array([None if x is None else str(x) for x in column.to_pylist()], pa.string())
+            cell = f'<c r="{_letters(k)}', numbers, f'"{sign}><v>', values, "</v></c>"
+            if values.null_count:
+                more(pc.fill_null(pc.binary_join_element_wise(*cell, ""), ""))
             else:
-                values, sign = pa.array([None if x is None else str(x) for x in column.to_pylist()], pa.string()), ""
-            cell = pc.binary_join_element_wise(f'<c r="{_letters(k)}', numbers, f'"{sign}><v>', pc.cast(values, pa.string()), "</v></c>", "")
-            parts.append(pc.fill_null(cell, ""))
-        rows = pc.binary_join_element_wise(*parts, "</row>", "")
+                more(*cell)
+        more("</row>")
+        rows = pc.binary_join_element_wise(*parts, "")
         self.number += n
-        self.sheet.write("".join(rows.to_pylist()).encode())
+        ends = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + n + 1]
+        self.sheet.write(memoryview(rows.buffers()[2])[ends[0] : ends[-1]])  # a batch's rows lie one behind the other
 
     def close(self) -> None:
         self.sheet.write(b"</sheetData></worksheet>")
         self.sheet.close()
+        # How many rows there are is known only now, and what a sheet says of it stands before them: it is noted beside it, where a reader
+        # finds it without inflating the sheet.
+        self.zip.getinfo("xl/worksheets/sheet1.xml").comment = b"rows %d" % self.number
         with self.zip.open("xl/sharedStrings.xml", "w", force_zip64=True) as f:
             f.write(f"<sst {_ROOT}>".encode())
             for x in self.shared:
