@@ -7,6 +7,7 @@ import zipfile
 
 import pyarrow as pa
 import pytest
+from reportloom.plans import registry
 from reportloom.sources import workbook
 
 NAMES = ["n", "s", "none", "wide"]
@@ -23,6 +24,11 @@ def test_a_sheet_that_was_written_is_planned_and_read_once(spark, tmp_path, monk
     assert len(workbook.WorkbookReader({"path": folder, "part_rows": "50"}).partitions()) == 7
 
 
+def test_places_of_workbooks_take_one_reading(spark):
+    plan = registry.queries()["workbook_places"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 1
+
+
 def made(rng):
     """A sheet's rows: mostly plain ones, some with another kind of cell, row or order."""
     head = [f'<row r="{h}"><c r="A{h}" t="s"><v>0</v></c><c r="B{h}" t="s"><v>1</v></c><c r="AB{h}" t="s"><v>2</v></c></row>' for h in [2]]
